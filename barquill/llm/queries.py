@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barquill.llm.minhash import near_duplicates
+from barquill.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=13, texts=False).drop("removed_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
+    "op5_suffix_tree_dedup": op5_suffix_tree_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,7 +36,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
 ), x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
@@ -42,5 +48,22 @@ reach AS (
 ), comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN comp USING (doc_id)
+""",
+    "op5_suffix_tree_dedup": rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), win AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM w WHERE len(ws) >= 13
+), h AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 12], ' ')) AS h FROM win),
+low AS (SELECT h, min(doc_id) AS low FROM h GROUP BY 1),
+again AS (SELECT h.doc_id, h.p FROM h JOIN low USING (h) WHERE h.doc_id > low.low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM again),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """,
 }
