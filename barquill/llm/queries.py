@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barquill.llm.minhash import near_duplicates
+from barquill.llm.mixing import PARTS, SEED, mix_sources
+from barquill.llm.packing import pack
 from barquill.llm.substrings import remove_repeats
 
 
@@ -14,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_monotone_queue_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -23,6 +36,8 @@ def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_monotone_queue_packing": op2_monotone_queue_packing,
+    "op3_systematic_mixing": op3_systematic_mixing,
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op5_suffix_tree_dedup": op5_suffix_tree_dedup,
 }
@@ -31,6 +46,36 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_systematic_mixing": rf"""
+WITH w AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents
+), d AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) END AS step,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % {PARTS} AS part FROM w
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1
+), a AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s
+), b AS (
+  SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM a
+), f AS (
+  SELECT *, cap / weight AS full_at, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone,
+    coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b
+), l AS (
+  SELECT *, (total * 1.5::DOUBLE - gone) / (weights - used) AS level FROM f
+), m AS (
+  SELECT *, min(level) FILTER (WHERE level <= full_at) OVER () AS fill FROM l
+), t AS (
+  SELECT source, source_size, least(cap, coalesce(fill * weight, cap)) AS target,
+    ('0x' || substr(md5('{SEED}' || coalesce('|' || source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m
+), r AS (
+  SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY step, part, size, doc_id) AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate * k + u) - floor(rate * (k - 1) + u)))::BIGINT AS taken FROM r
+""",
     "op4_minmax_near_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents
