@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
     Sources in order of their code points, null last, get ``weights`` in turn and ``share`` times all words between
     them by weight; a target stops at ``most`` times its source, and what is over goes to the others by weight. Sources
-    are filled in the order in which they reach their limit, so one pass over running sums settles all of them.
+    are taken in the order in which they reach their limit; the level that the rest would share rises until the first
+    that stays below its limit and falls after it, so its largest value over running sums settles all targets at once.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -41,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     rows = rows.withColumn("total", F.sum("source_size").over(every)).withColumn("weights", F.sum("weight").over(every))
     rows = rows.withColumn("gone", F.coalesce(F.sum("limit").over(by_fill), F.lit(0.0))).withColumn("used", F.coalesce(F.sum("weight").over(by_fill), F.lit(0.0)))
     level = (F.col("total") * share - F.col("gone")) / (F.col("weights") - F.col("used"))
-    rows = rows.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
-    target = F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit")))
+    rows = rows.withColumn("level", level).withColumn("level", F.max("level").over(every))
+    target = F.least(F.col("limit"), F.col("level") * F.col("weight"))
     return rows.select("source", "source_size", target.alias("target"))
 
 

@@ -65,9 +65,9 @@ WITH w AS (
 ), l AS (
   SELECT *, (total * 1.5::DOUBLE - gone) / (weights - used) AS level FROM f
 ), m AS (
-  SELECT *, min(level) FILTER (WHERE level <= full_at) OVER () AS fill FROM l
+  SELECT *, max(level) OVER () AS fill FROM l
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(fill * weight, cap)) AS target,
+  SELECT source, source_size, least(cap, fill * weight) AS target,
     ('0x' || substr(md5('{SEED}' || coalesce('|' || source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM m
 ), r AS (
   SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
