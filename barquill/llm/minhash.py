@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquill.llm.components import connected_components
@@ -102,6 +102,43 @@ def _confirm(k: int, percent: int):
     return confirm
 
 
+def _spread(k: int):
+    """Of rows (node, n, component, k1, text), one for each distinct shingle of the text, if k1 is the text's key."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, component, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for words in chunks_of(batch.column(4)):
+                shingle, bounds = shingles(words, k)
+                own = words.fingerprint(words.hashes(LOWER), 21).view(np.int64)
+                each = [np.unique(shingle[a:b]) if own[i] == key[words.first + i] else shingle[:0] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+                at = np.repeat(np.arange(words.first, words.first + words.n_texts), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (node, n, component)] + [pa.array(np.concatenate(each).view(np.int64))], names=["node", "n", "component", "shingle"])
+
+    return spread
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar enough; none that is similar enough is left out.
+
+    A node's shingles are put in order of how many nodes have them. Two sets that are similar enough share one of the
+    first (100 - percent) % of each, and from the first that they share on must have enough shingles left for the
+    overlap that their sizes ask for. What is rare comes first, so a passage that very many nodes share does not pair
+    those that differ elsewhere; the join emits a row only if these bounds hold.
+    """
+    sets = materialize(sets.distinct(), "sets")
+    often = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    rows = sets.join(often, "shingle")
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
+    rows = materialize(rows.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("shingle", "node", "n", "component", "place"), "prefixes")
+    x, y = (rows.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "place"))) for side in "ab")
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = left * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & enough)
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -112,10 +149,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
 
     With 32 bands of 6 values a pair at similarity 0.85 shares no band with probability 3e-7, at 0.8 with 6e-5.
 
-    Exact copies are folded into one node first. In each shared band all members are compared with one pivot, which a
-    hash picks, so that a group of m members costs m comparisons; links found give components. Then members of
-    different components that still share a band are compared, all of them, so that no link between components is lost;
-    pairs inside one component need no comparison. Sets of very unlike sizes cannot be linked and are not compared.
+    Exact copies are folded into one node first. In each shared band all members are compared with one pivot, the one
+    that meets most others over all its bands (most like what the group was copied from), so that a group of m members costs m comparisons; links found give components. Among the nodes of
+    bands that still hold several components, an exact filter on rare shingles and sizes then finds every further pair
+    that can be similar enough, so that no link between components is lost; pairs inside one component need none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = docs.mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
@@ -125,9 +162,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    order = F.xxhash64("node")
-    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(order, "node", "n")).alias("pivot")).where("m > 1")
-    members = materialize(banded.join(shared.select("band", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "band"), "members")
+    shared = banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(banded.join(shared, "band"), "members")
+    known = members.groupBy("node").agg(F.sum("m").alias("met"))
+    first = members.join(known, "node").groupBy("band").agg(F.max(F.struct("met", F.xxhash64("node"), "node", "n")).alias("pivot"))
+    members = materialize(members.join(first.select("band", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "band"), "pivoted")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n")))
     star = materialize(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
@@ -147,10 +186,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     placed = members.join(component, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    placed = placed.join(mixed, "band")
-    left, right = (placed.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "component"))) for x in "ab")
-    rest = left.join(right, "band").where("a_node < b_node and a_component <> b_component").where(alike(F.col("a_n"), F.col("b_n")))
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    open_nodes = materialize(placed.join(mixed, "band").select("node", "n", "component").distinct(), "open")
+    sets = open_nodes.join(who, "node").join(texts, "first_id").select("node", "n", "component", "k1", "text")
+    rest = _prefix_pairs(sets.mapInArrow(_spread(k), "node long, n long, component long, shingle long"), percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = links(rest.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
