@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barquill.llm.ann import approximate_top_k
 from barquill.llm.chat import format_chat, read_chat, read_loss
 from barquill.llm.minhash import near_duplicates
 from barquill.llm.mixing import PARTS, SEED, mix_sources
 from barquill.llm.packing import pack
 from barquill.llm.substrings import remove_repeats
 from barquill.llm.tables import shared_dir
+from barquill.llm.topk import exact_top_k
 from barquill.llm.warc import archive_pages
 
 
@@ -56,6 +58,14 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op8_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_typed_chat_format": op1_typed_chat_format,
     "op2_monotone_queue_packing": op2_monotone_queue_packing,
@@ -63,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op5_suffix_tree_dedup": op5_suffix_tree_dedup,
     "op6_arc_to_warc": op6_arc_to_warc,
+    "op8_va_file_top_k": op8_va_file_top_k,
+    "op10_multi_index_hashing": op10_multi_index_hashing,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,5 +170,17 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> stored THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> stored THEN stored END AS refers_to
 FROM d
+""",
+    "op8_va_file_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
 }
