@@ -14,6 +14,8 @@ from barquill.llm.chat import format_chat, read_chat, read_loss
 from barquill.llm.minhash import near_duplicates
 from barquill.llm.mixing import PARTS, SEED, mix_sources
 from barquill.llm.packing import pack
+from barquill.llm.pii import replace_pii
+from barquill.llm.quality import grade, ratings_of, train
 from barquill.llm.substrings import remove_repeats
 from barquill.llm.tables import shared_dir
 from barquill.llm.topk import exact_top_k
@@ -58,10 +60,22 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_sort(F.array_distinct("pii_entities.kind"))
+    return done.select("doc_id", F.col("pii_text").alias("text"), F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))
+
+
 def op8_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, ratings_of(_table(spark, sf_dir, "labels")), grades=3)
+    return grade(docs, model).select("doc_id", F.col("quality_grade").alias("expected_grade"), F.col("quality_tail").alias("tail_probability"), F.col("quality_kept").alias("kept"))
+
+
 def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -73,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op5_suffix_tree_dedup": op5_suffix_tree_dedup,
     "op6_arc_to_warc": op6_arc_to_warc,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_va_file_top_k": op8_va_file_top_k,
+    "op9_ordinal_quality": op9_ordinal_quality,
     "op10_multi_index_hashing": op10_multi_index_hashing,
 }
 

@@ -65,10 +65,15 @@ class Words:
 
     def hashes(self, fold: np.ndarray = SAME) -> np.ndarray:
         """A 64-bit hash of each word, with its bytes replaced by ``fold``."""
+        return self.parts(fold, [(self.start, self.end)])[0]
+
+    def parts(self, fold: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Hashes of several lists of byte ranges (from, to), with bytes replaced by ``fold``."""
         n = len(self.data)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[fold][self.data] * _power("up", _BASE, n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power("down", _INVERSE, max(n, 1))[self.start]) if n else sums[:0]
+        down = _power("down", _INVERSE, n + 1)
+        return [mix((sums[to] - sums[at]) * down[at]) for at, to in bounds]
 
     def windows(self, hashed: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         """A hash of the k words from each word on; what begins in one text and ends in another is not meaningful."""
