@@ -24,8 +24,8 @@ CONFIG = FeatureConfig(
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable values: decimals cut, minus zero as zero."""
-    return df.select(*((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if k in ("double", "int", "bigint") else F.col(c) for c, k in df.dtypes))
+    """Comparable values: decimals cut, minus zero as zero, dates as text."""
+    return df.select(*((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if k in ("double", "int", "bigint") else F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for c, k in df.dtypes))
 
 
 def _block(*blocks: str):

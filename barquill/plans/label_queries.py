@@ -147,6 +147,6 @@ l AS (SELECT *, coalesce(max(CASE WHEN i < pk AND NOT near THEN i END) OVER w, -
 g AS (SELECT symbol, ts, max(CASE WHEN i = lo THEN span END) AS q25, max(CASE WHEN i = pk THEN span END) AS q50, max(CASE WHEN i = hi THEN span END) AS q75, any_value(hi - lo) / 3.0 AS width,
   any_value(best) - max(CASE WHEN i < lo OR i > hi THEN obj END) AS edge, any_value(best_r) AS best_r FROM l GROUP BY 1, 2)
 SELECT symbol, ts, q25 AS span_q25, q50 AS span_q50, q75 AS span_q75, round(width, 6) AS span_entropy,
-  round(1 + 6 * pow(0.55 * coalesce(greatest(0, least(1, edge / 0.01)), 0) + 0.25 * greatest(0, least(1, abs(best_r) / 0.03)) + 0.2 * (1 - width), 2.2), 6) AS span_weight FROM g""")
+  round(1 + 6 * pow(0.55 * CASE WHEN edge IS NULL THEN 0 ELSE greatest(0, least(1, edge / 0.01)) END + 0.25 * greatest(0, least(1, abs(best_r) / 0.03)) + 0.2 * (1 - width), 2.2), 6) AS span_weight FROM g""")
 def label_exit_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(L.exit_spans(hourly(spark, sf_dir), list(_SPANS), horizon=10, hold=1, confirm=2))
