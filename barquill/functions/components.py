@@ -12,25 +12,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b); a component is named by its smallest node.
 
     In each round every node moves to the smallest node among itself and its neighbours, chains of moves are followed
-    twice, and edges are rewritten to the nodes moved to; edges inside one node vanish. Each round is a few hash joins
+    once more, and edges are rewritten to the nodes moved to; edges inside one node vanish. Each round is a few hash joins
     and a minimum by key, so a node with very many edges costs map-side combined minima, never a gathered list. Rounds
     grow with the logarithm of the longest path. Loops and repeated edges are harmless; null ends are ignored.
     """
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    n = edges.count()
+    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges", n)
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component"))
-    labels, left = materialize(labels, "labels"), edges.count()
+    labels, left = materialize(labels, "labels", 2 * n), edges.count()
     while left:
         both = edges.union(edges.select("b", "a")).toDF("node", "next")
-        moves = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next"))
-        moves = materialize(moves.where("node <> next"), "moves")
-        for _ in range(2):
-            onward = moves.select(F.col("node").alias("next"), F.col("next").alias("onward"))
-            moves = moves.join(onward, "next", "left").select("node", F.coalesce("onward", "next").alias("next"))
-        moves = materialize(moves, "moves")
-        to = lambda c: moves.select(F.col("node").alias(c), F.col("next").alias(f"{c}_next"))
+        moves = both.groupBy("node").agg(F.min("next").alias("next")).where("next < node")
+        moves = materialize(moves, "moves", 2 * left)
+        onward = moves.select(F.col("node").alias("next"), F.col("next").alias("onward"))
+        moves = moves.join(onward, "next", "left").select("node", F.coalesce("onward", "next").alias("next"))
+        to = lambda c, moves=moves: moves.select(F.col("node").alias(c), F.col("next").alias(f"{c}_next"))
         edges = edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
         edges = edges.select(F.coalesce("a_next", "a").alias("a"), F.coalesce("b_next", "b").alias("b"))
-        edges = materialize(edges.where("a <> b").distinct(), "edges")
+        edges = materialize(edges.where("a <> b").distinct(), "edges", left)
         labels = labels.join(to("component"), "component", "left").select("node", F.coalesce("component_next", "component").alias("component"))
-        labels, left = materialize(labels, "labels"), edges.count()
+        labels, left = materialize(labels, "labels", 2 * n), edges.count()
     return labels
