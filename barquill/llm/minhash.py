@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquill.llm.components import connected_components
-from barquill.llm.tables import materialize
+from barquill.functions.components import connected_components
+from barquill.functions.tables import materialize
 from barquill.llm.words import LOWER, Words, bytes_of, chunks_of, mix, randoms, words_of
 
 BANDS, ROWS = 32, 6
@@ -131,7 +131,8 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     rows = sets.join(often, "shingle")
     own = Window.partitionBy("node")
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
-    rows = materialize(rows.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("shingle", "node", "n", "component", "place"), "prefixes")
+    rows = rows.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("shingle", "node", "n", "component", "place")
+    rows = materialize(rows, "prefixes", sets.count())
     x, y = (rows.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "place"))) for side in "ab")
     left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     enough = left * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
@@ -166,10 +167,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     members = materialize(banded.join(shared, "band"), "members")
     known = members.groupBy("node").agg(F.sum("m").alias("met"))
     first = members.join(known, "node").groupBy("band").agg(F.max(F.struct("met", F.xxhash64("node"), "node", "n")).alias("pivot"))
-    members = materialize(members.join(first.select("band", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "band"), "pivoted")
+    met = members.count()
+    members = members.join(first.select("band", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "band")
+    members = materialize(members.select("band", "node", "n", "pivot", "pivot_n"), "pivoted", met)
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = members.where(F.col("node") != F.col("pivot")).where(alike(F.col("n"), F.col("pivot_n")))
-    star = materialize(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    star = materialize(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star", met)
 
     who = nodes.select("node", "first_id", "k1")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first_id"), "text")
@@ -184,9 +187,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     found = links(star)
     component = connected_components(found)
     placed = members.join(component, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
+    placed = materialize(placed, "placed", met)
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_nodes = materialize(placed.join(mixed, "band").select("node", "n", "component").distinct(), "open")
+    open_nodes = materialize(placed.join(mixed, "band").select("node", "n", "component").distinct(), "open", met)
     sets = open_nodes.join(who, "node").join(texts, "first_id").select("node", "n", "component", "k1", "text")
     rest = _prefix_pairs(sets.mapInArrow(_spread(k), "node long, n long, component long, shingle long"), percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

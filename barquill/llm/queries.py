@@ -17,7 +17,7 @@ from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
 from barquill.llm.substrings import remove_repeats
-from barquill.llm.tables import shared_dir
+from barquill.functions.tables import shared_dir
 from barquill.llm.topk import exact_top_k
 from barquill.llm.warc import archive_pages
 
