@@ -37,6 +37,16 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Python at most 1000 rows or 2 MB at a time.
+
+    Whole texts are far larger than the rows that Spark's default of 10,000 is meant for; both sides hold a batch.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    return df
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` has written for this application."""
     jvm = spark.sparkContext._jvm
