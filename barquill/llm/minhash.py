@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquill.functions.components import connected_components
-from barquill.functions.tables import materialize
+from barquill.functions.tables import materialize, small_batches
 from barquill.llm.words import LOWER, Words, bytes_of, chunks_of, mix, randoms, words_of
 
 BANDS, ROWS = 32, 6
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     bands that still hold several components, an exact filter on rare shingles and sizes then finds every further pair
     that can be similar enough, so that no link between components is lost; pairs inside one component need none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = docs.mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
     signed = materialize(signed, "signed")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2")

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import small_batches
+
 #: Parts that documents of like size in one source are dealt into, by a hash of doc_id.
 PARTS = 64
 SEED = "barquill-mix"
@@ -60,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     that holds a third of all rows is ranked by many tasks. The counts table has at most 64 cells for each size step.
     """
     bits = F.length(F.bin("mix_size"))
-    rows = docs.withColumn("mix_size", word_count("text"))
+    rows = small_batches(docs).withColumn("mix_size", word_count("text"))
     rows = rows.withColumn("mix_step", F.when(F.col("mix_size") == 0, F.lit(0).cast("long")).otherwise(bits * 8 + F.expr("shiftright(mix_size, greatest(length(bin(mix_size)) - 3, 0))")))
     rows = rows.withColumn("mix_part", _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % PARTS)
     cells = rows.groupBy("source", "mix_step", "mix_part").agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"))

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import small_batches
+
 SIZE, END_ID = 2048, 1
 #: What a cut inside a document costs, in tokens of padding: after a sentence, and elsewhere.
 AFTER_SENTENCE, ELSEWHERE = 8, 128
@@ -183,4 +185,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = Fal
     files.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, size, with_ids), schema + ", ids array<int>" * with_ids)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, size, with_ids), schema + ", ids array<int>" * with_ids)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import small_batches
+
 KEY = b"barquill surrogates"
 
 # Given names by script and gender.
@@ -254,4 +256,4 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         done = [(None, []) if x is None else replace(x, key) for x in text.to_pylist()]
         return pa.array([{"pii_text": t, "pii_entities": e} for t, e in done], kind)
 
-    return docs.withColumn("pii_done", run(F.col("text"))).select(*docs.columns, "pii_done.pii_text", "pii_done.pii_entities")
+    return small_batches(docs).withColumn("pii_done", run(F.col("text"))).select(*docs.columns, "pii_done.pii_text", "pii_done.pii_entities")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import small_batches
 from barquill.llm.words import LOWER, Words, chunks_of, mix, randoms
 
 #: Bits of a hashed feature, and rated documents that a model is fitted on at most.
@@ -133,7 +134,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
         used = np.flatnonzero(model.weights)
         return pa.table({"feature": [used.astype(np.int32)], "weight": [model.weights[used]], "threshold": [model.thresholds]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
     learned = texts.mapInArrow(extract, "doc_id long, grade int, feature array<int>").groupBy(F.lit(1).alias("all")).applyInArrow(
         lambda table: learn(table), "feature array<int>, weight array<double>, threshold array<double>"
     )
@@ -159,7 +160,7 @@ def grade(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
         above = np.concatenate(above) if above else np.zeros((0, 1))
         return pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["quality_grade", "quality_tail"])
 
-    rated = docs.withColumn("quality_rated", rate(F.col("text")))
+    rated = small_batches(docs).withColumn("quality_rated", rate(F.col("text")))
     out = rated.select(*docs.columns, "quality_rated.quality_grade", "quality_rated.quality_tail")
     return out.withColumn("quality_kept", F.col("quality_tail") >= keep)
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import materialize
+from barquill.functions.tables import small_batches
 from barquill.llm.words import Words, chunks_of, words_of
 
 #: Suffixes that one group holds, about; and characters of text that one chunk of documents holds, about.
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most:
     64 bits and a place, so a passage that all texts share costs one entry a chunk. Groups of suffixes say which
     entries an earlier chunk has too; a chunk then settles its own texts with those answers.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     chars = known.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     parts = int(max(1, -(-chars // chunk_chars)))

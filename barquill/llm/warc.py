@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import small_batches
+
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -223,7 +225,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> Da
     their digest; digests of which there is one are not joined. A file holds a bounded number of records.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.when(F.col("bytes") >= least, F.sha1(payload)))
     shared = rows.where("digest is not null").groupBy("digest", "bytes").agg(F.count("*").alias("m"), F.max(F.struct("page_id", "url")).alias("stored")).where("m > 1")
     shared = shared.select(F.col("digest").alias("of"), F.col("bytes").alias("of_bytes"), F.col("stored.page_id").alias("stored_id"), F.col("stored.url").alias("stored_url"))
