@@ -27,9 +27,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows become one; documents without words are no duplicates, and rows without a doc_id stay.
     """
-    kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(docs.columns).union(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("near_rows"))
+    once = docs.join(kept.where("near_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.where("near_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(docs.columns).union(again.select(docs.columns)).union(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
