@@ -113,7 +113,7 @@ def _suffixes(window: int, table: np.ndarray):
         order = np.argsort(group, kind="stable")
         group, place, full = group[order], place[order], full[order]
         cut = np.flatnonzero(np.diff(group, prepend=-1))
-        rows = [(int(group[lo]), full[lo:hi], np.diff(place[lo:hi], prepend=0)) for lo, hi in zip(cut, [*cut[1:], len(group)], strict=True)]
+        rows = [(int(group[lo]), full[lo:hi], np.diff(place[lo:hi], prepend=0)) for lo, hi in zip(cut, [*cut[1:], len(group)][: len(cut)], strict=True)]
         return pa.table({
             "group": pa.array([x[0] for x in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int32()),
             "hashes": pa.array([x[1].tobytes() for x in rows], pa.binary()), "places": pa.array([_small(x[2]) for x in rows], pa.binary()),
