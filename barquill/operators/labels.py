@@ -324,3 +324,10 @@ def first_hit(bars: DataFrame, up: float, down: float, horizon: int) -> DataFram
     rows = bars.where("close > 0").withColumn("ahead", F.collect_list("close").over(by().rowsBetween(1, horizon)))
     reach = lambda test: F.nullif(F.array_position(F.transform("ahead", test), F.lit(True)), F.lit(0).cast("long"))
     return rows.select("symbol", "ts", reach(lambda p: p >= F.col("close") * (1 + up)).alias("target_in"), reach(lambda p: p <= F.col("close") * (1 - down)).alias("stop_in"))
+
+
+def exit_span_bars(span: int, windows_minutes: list[float], candle: int) -> int:
+    """Bars of the exit average: the span if one is given, else the first window, else 0."""
+    if span > 0:
+        return span
+    return max(1, round(windows_minutes[0] * 60 / max(1, candle))) if windows_minutes else 0

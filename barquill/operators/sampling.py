@@ -152,3 +152,15 @@ def rank_group(ts: Column, symbol_id: Column, minutes: int = 4320) -> Column:
 def positive_rate(df: DataFrame, label: str = "label", weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1.0)
     return df.where(F.col(label).isNotNull()).agg((F.sum(w * F.col(label)) / F.sum(w)).alias("positive_rate"))
+
+
+def pool_slice(pool: DataFrame, key: Column, cutoff: str, most: int, ratio: float, horizon_seconds: int = 0, ts: str = "ts", seed: str = "0") -> DataFrame:
+    """What a model trained up to a cutoff may see of a pool of rows, with its classes in ratio again."""
+    return class_ratio(purge(pool, cutoff, horizon_seconds, ts), key, most, ratio, seed=seed)
+
+
+def balanced(df: DataFrame, key: Column, target: str, n: int, bins: int = 10, seed: str = "0") -> DataFrame:
+    """n rows for a regression, the more likely the rarer their stretch of the target is and the more they weigh."""
+    rows = balance_map(df, target, bins)
+    rows = rows.withColumn("_w", F.col("balance") * F.col("weight"))
+    return weighted(rows, key, n, "_w", seed).drop("_w")

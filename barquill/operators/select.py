@@ -231,3 +231,51 @@ def progress(log: DataFrame) -> DataFrame:
 def unfinished(configs: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Settings that have not been tried with success."""
     return configs.join(log.where("status = 'ok'").select(*keys).distinct(), keys, "left_anti")
+
+
+# How each way of selecting blends scores, in hundredths, and what it sorts by, all from the top.
+MODES: dict[str, tuple[dict[str, int], list[str]]] = {
+    "causal_cluster": ({"causal_cluster_score": 62, "local_dd_score": 23, "local_robust_score": 10, "cluster_center_rank": 5}, ["causal_cluster_score", "robust_score", "cluster_score", "cluster_center_rank", "neighbor_q25_score", "score"]),
+    "cluster_blend": ({"cluster_score": 55, "local_dd_score": 30, "local_robust_score": 10, "cluster_center_rank": 5}, ["cluster_score", "robust_score", "local_q25", "size", "cluster_center_rank", "score"]),
+    "family_causal": ({"family_causal_score": 58, "prudent_variant_score": 24, "local_dd_score": 10, "local_robust_score": 8}, ["family_causal_score", "prudent_variant_score", "robust_score", "family_center_rank", "score"]),
+    "local": ({"local_robust_score": 100}, ["robust_score", "neighbor_q25_score", "neighbor_mean_score", "score"]),
+    "local_dd": ({"local_dd_score": 100}, ["robust_score", "dd_rank", "neighbor_q25_score", "neighbor_mean_score", "score"]),
+}
+
+
+def selected(candidates: DataFrame, mode: str, n: int = 1) -> DataFrame:
+    """The n best candidates by one of ``MODES``; ties to the smaller id. cluster_filter guards the local score by cluster."""
+    if mode == "cluster_filter":
+        every = Window.partitionBy()
+        half = lambda c: F.percentile(c, F.lit(0.5)).over(every)
+        guard = (F.col("size") >= 2).cast("double") * 0.5 + (F.col("local_q25") >= half("local_q25")).cast("double") * 0.3 + (F.col("dd_median") <= half("dd_median")).cast("double") * 0.2
+        rows = candidates.withColumn("cluster_guard", guard).withColumn("robust_score", F.col("local_dd_score") * (0.92 + 0.12 * F.col("cluster_guard")))
+        order = ["cluster_guard", "robust_score", "size", "neighbor_q25_score", "score"]
+    else:
+        blend, order = MODES[mode]
+        score = F.lit(0.0)
+        for name, weight in blend.items():
+            score = score + F.coalesce(F.col(name), F.lit(0.0)) * (weight / 100)
+        rows = candidates.withColumn("dd_rank", percent_rank("max_dd", False)).withColumn("robust_score", score)
+    return pick(rows, [*(F.col(c).desc_nulls_last() for c in order), F.col("id").asc()], n)
+
+
+def candidates(runs: DataFrame, columns: list[str], memory: DataFrame, step: float, floor: float = 0.55) -> DataFrame:
+    """Viable settings with every score: neighbours, clusters, families, and nearness to what earlier steps chose."""
+    rows = local_scores(smoothed(scaled(elite(viable(runs)), columns)))
+    rows = clustered(rows, cluster_radius(rows, floor))
+    clusters = causal_score(continuity(cluster_stats(rows), memory, step))
+    rows = rows.join(clusters, "cluster_id").withColumn("center_dist", apart(F.col("x"), F.col("center"))).drop("center")
+    rows = rows.withColumn("cluster_center_rank", percent_rank("center_dist", False))
+    families = centres(rows, "family_key").join(family_stats(rows), "family_key")
+    families = continuity(families, memory, step).select(
+        "family_key", "center", F.col("family_size"), (percent_rank("family_score_median") * 0.5 + percent_rank("family_score_q25") * 0.22 + percent_rank("causal_continuity") * 0.20 + percent_rank("causal_coverage_steps") * 0.08).alias("family_causal_score")
+    )
+    rows = rows.join(families, "family_key").withColumn("family_dist", apart(F.col("x"), F.col("center"))).drop("center")
+    return rows.withColumn("family_center_rank", percent_rank("family_dist", False))
+
+
+def remembered(chosen: DataFrame, clusters: DataFrame, step: float, n: int = 3) -> DataFrame:
+    """(step, center, quality) of the best n clusters of a step, to be remembered by later ones."""
+    top = clusters.orderBy(F.col("causal_cluster_score").desc(), "cluster_id").limit(n)
+    return top.select(F.lit(float(step)).alias("step"), "center", F.col("causal_cluster_score").alias("quality"))

@@ -92,3 +92,23 @@ def windows(start: str, end: str, days: int, spark) -> DataFrame:
     rows = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}' - INTERVAL '{days}' DAY, INTERVAL '{days}' DAY)) AS step_start")
     rows = rows.withColumn("step_end", F.date_add("step_start", days))
     return rows.select((F.floor(F.datediff("step_start", F.lit(start)) / days)).cast("int").alias("step"), "step_start", "step_end")
+
+
+def next_active(ranked: DataFrame, most: int = 0, changes: int = 0, least: int = 0) -> DataFrame:
+    """(symbol, tier) of the next step's symbols from (symbol, score, pnl, trades, trades_step, was).
+
+    Symbols with a gain so far are wanted (all, if none has one), best score first. Of ``most`` at most, all but ``changes``
+    are kept from those active now. If fewer than ``least`` are in, others follow: with trades in the last step, with any,
+    then the rest. Tiers: 0 kept, 1 wanted, 2 to 4 filled up.
+    """
+    by_score = [F.col("score").desc(), F.col("symbol")]
+    none = F.max((F.col("pnl") > 0).cast("int")).over(Window.partitionBy()) == 0
+    rows = ranked.withColumn("wanted", none | (F.col("pnl") > 0))
+    held = F.row_number().over(Window.partitionBy(F.col("wanted") & F.col("was")).orderBy(*by_score))
+    kept = F.col("wanted") & F.col("was") & (held <= max(0, most - changes)) if most and changes else F.lit(False)
+    rest = F.when(F.col("trades_step") > 0, 2).when(F.col("trades") > 0, 3).otherwise(4)
+    rows = rows.withColumn("tier", F.when(kept, 0).when(F.col("wanted"), 1).otherwise(rest))
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("tier", *by_score)))
+    wanted = F.sum((F.col("tier") <= 1).cast("int")).over(Window.partitionBy())
+    room = F.least(wanted, F.lit(most)) if most else wanted
+    return rows.withColumn("room", F.greatest(room, F.lit(least))).where("place <= room").select("symbol", "tier")
