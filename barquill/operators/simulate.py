@@ -217,10 +217,11 @@ def common_window(bars: DataFrame, least_rows: int = 1000, earliest: bool = True
 
 
 def rolling_correlation(pairs: DataFrame, n: int, least: int) -> DataFrame:
-    """Adds ``correlation`` of columns a and b over n rows of a key, null with fewer than ``least`` pairs."""
+    """Adds ``correlation`` of columns a and b over n rows of a key, null with fewer than ``least`` pairs or if either does not vary."""
     w = Window.partitionBy("key").orderBy("ts").rowsBetween(-(n - 1), 0)
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return pairs.withColumn("correlation", F.when(F.count(F.when(both, 1)).over(w) >= least, F.corr("a", "b").over(w)))
+    spread = F.stddev_pop(F.when(both, F.col("a"))).over(w) * F.stddev_pop(F.when(both, F.col("b"))).over(w)
+    return pairs.withColumn("correlation", F.when(F.count(F.when(both, 1)).over(w) >= least, F.try_divide(F.covar_pop("a", "b").over(w), spread)))
 
 
 def paper_account(fills: DataFrame, cash: float = 10_000.0, fee: float = 0.001) -> DataFrame:

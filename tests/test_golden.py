@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barquill.functions import rolling as R
 from barquill.functions.recursive import averages, span
+from barquill.operators.simulate import rolling_correlation
 from barquill.operators import bars as B
 from barquill.operators import labels as L
 from barquill.operators import metrics as M
@@ -139,3 +140,10 @@ def test_features_do_not_look_ahead(spark):
     part = build(bars(spark, range(150), px[:150]), cfg).orderBy("ts").toPandas()
     pd.testing.assert_frame_equal(whole, part)
     assert len(whole.columns) > 60 and whole.iloc[-1].notna().mean() > 0.9
+
+
+def test_rolling_correlation_of_flat_series(spark):
+    """A window in which a side does not vary, or has too few pairs, has no correlation."""
+    rows = [("k", t, a, b) for t, (a, b) in enumerate([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0), (2.0, None), (2.0, 4.0), (3.0, 6.0)])]
+    got = rolling_correlation(spark.createDataFrame(rows, "key string, ts long, a double, b double"), 3, 2).orderBy("ts").collect()
+    assert [None if r.correlation is None else round(r.correlation, 9) for r in got] == [None, None, None, None, -1.0, 1.0]
