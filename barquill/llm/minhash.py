@@ -124,7 +124,8 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     A node's shingles are put in order of how many nodes have them. Two sets that are similar enough share one of the
     first (100 - percent) % of each, and from the first that they share on must have enough shingles left for the
     overlap that their sizes ask for. What is rare comes first, so a passage that very many nodes share does not pair
-    those that differ elsewhere; the join emits a row only if these bounds hold.
+    those that differ elsewhere. Components are paired before nodes are, so what the members of one component share
+    among themselves is never met pair by pair; both joins emit a row only if these bounds can hold.
     """
     sets = materialize(sets.distinct(), "sets")
     often = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -132,12 +133,16 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("node")
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
     rows = rows.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("shingle", "node", "n", "component", "place")
-    rows = materialize(rows, "prefixes", sets.count())
-    x, y = (rows.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "place"))) for side in "ab")
-    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    enough = left * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
-    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & enough)
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    rows = materialize(rows.withColumn("left", F.col("n") - F.col("place")).drop("place"), "prefixes", sets.count())
+    cells = rows.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"))
+    several = cells.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
+    cells = materialize(cells.join(several, "shingle"), "cells", sets.count())
+    enough = F.least("a_left", "b_left") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    named = lambda table, side, *others: table.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in (*others, "component", "n", "left")))
+    met = named(cells, "a").join(named(cells, "b"), "shingle").where((F.col("a_component") < F.col("b_component")) & enough)
+    met = met.select("shingle", "a_component", "b_component")
+    pairs = met.join(named(rows, "a", "node"), ["shingle", "a_component"]).join(named(rows, "b", "node"), ["shingle", "b_component"]).where(enough)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
