@@ -22,8 +22,8 @@ from barquill.llm.words import Words, chunks_of, words_of
 
 #: Suffixes that one group holds, about; and characters of text that one chunk of documents holds, about.
 GROUP_SUFFIXES, CHUNK_CHARS = 1 << 20, 8 << 20
-#: Counters for each length of prefix: a fixed number, whatever the input.
-CELLS = 1 << 14
+#: Counters for each length of prefix, and ranges of doc_id that the driver knows: fixed numbers, whatever the input.
+CELLS, RANGES = 1 << 14, 1 << 14
 
 
 def prefix_lengths(window: int) -> list[int]:
@@ -49,27 +49,35 @@ def _count(window: int):
     return count
 
 
-def routes(counts: np.ndarray, most: int) -> np.ndarray:
-    """For each prefix length and cell the group of suffixes, or -1 where the prefix is to be taken longer."""
+def routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each prefix length and cell the group of suffixes, or -1 where the prefix is to be taken longer; and for each
+    cell of the longest prefix the groups, from that one on, that its suffixes are dealt to by further bits of their path."""
     out = np.full(counts.shape, -1, np.int64)
     group = 0
-    for level in range(len(counts)):
-        last = level == len(counts) - 1
-        cells = np.flatnonzero((counts[level] <= most) | last)
+    for level in range(len(counts) - 1):
+        cells = np.flatnonzero(counts[level] <= most)
         out[level, cells] = group + np.cumsum(counts[level, cells]) // most
         group = int(out[level].max(initial=group)) + 1
-    return out
+    out[-1] = group + (np.cumsum(counts[-1]) - counts[-1]) // most
+    return out, 1 + counts[-1] // most
 
 
-def _place(splits: np.ndarray):
-    """Chunk and compressed bytes of each text; chunks are ranges of doc_id."""
+def _place(splits: np.ndarray, ends: tuple[int, int], parts: int):
+    """Chunk and compressed bytes of each text. Chunks are ranges of doc_id: those between ``splits``, in ``parts`` of equal width."""
+    edge = np.concatenate([[ends[0]], splits, [ends[1]]]).astype(np.float64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                chunk = np.searchsorted(splits, part.column(0).to_numpy(), "right").astype(np.int32)
+                ids = part.column(0).to_numpy()
+                chunk = np.searchsorted(splits, ids, "right")
+                if parts > 1:
+                    lo_id, hi_id = edge[chunk], edge[chunk + 1]
+                    inner = np.clip((ids - lo_id) / np.maximum(hi_id - lo_id, 1) * parts, 0, parts - 1)
+                    chunk = chunk * parts + inner.astype(np.int64)
+                chunk = chunk.astype(np.int32)
                 body = pa.array([pack.compress((x or "").encode()) for x in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(chunk), part.column(0), body], names=["chunk", "doc_id", "body"])
 
@@ -94,7 +102,7 @@ def _first(words: Words, hashed: np.ndarray, window: int) -> tuple[np.ndarray, n
     return at, distinct, index.reshape(-1), first
 
 
-def _suffixes(window: int, table: np.ndarray):
+def _suffixes(window: int, table: np.ndarray, spread: np.ndarray):
     """One row for each group that a chunk has suffixes in: the hash and the place of each; repeats within the chunk are folded."""
 
     def suffixes(batch: pa.Table) -> pa.Table:
@@ -109,7 +117,10 @@ def _suffixes(window: int, table: np.ndarray):
         group = np.full(len(place), -1, np.int64)
         for level, length in enumerate(prefix_lengths(window)):
             left = np.flatnonzero(group < 0)
-            group[left] = table[level, _cells(words, hashed, keep, length)[left]]
+            cell = _cells(words, hashed, keep, length)[left]
+            group[left] = table[level, cell]
+            if level == len(table) - 1:
+                group[left] += ((full[left] & np.uint64(0xFFFFFFFF)) % spread[cell].astype(np.uint64)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         group, place, full = group[order], place[order], full[order]
         cut = np.flatnonzero(np.diff(group, prepend=-1))
@@ -200,7 +211,7 @@ def _untouched(texts: bool):
     return untouched
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most: int = GROUP_SUFFIXES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most: int = GROUP_SUFFIXES, chunk_chars: int = CHUNK_CHARS, ranges: int = RANGES) -> DataFrame:
     """Take out of each text of ``docs`` (doc_id, text) the passages that a text with a smaller doc_id has too.
 
     A word goes if it is covered by ``window`` consecutive words of its text that are also found, in that order, in a
@@ -211,23 +222,27 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most:
 
     Texts are dealt once into chunks, ranges of doc_id by size; each chunk sends every window it has once, as a hash of
     64 bits and a place, so a passage that all texts share costs one entry a chunk. Groups of suffixes say which
-    entries an earlier chunk has too; a chunk then settles its own texts with those answers.
+    entries an earlier chunk has too; a chunk then settles its own texts with those answers. The driver holds at most
+    ``ranges`` splits of doc_id and a fixed number of counters; where there are more chunks, ranges are cut evenly, and
+    where prefixes of the window's own length are still shared by too many, further bits of the path part them.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    chars = known.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    parts = int(max(1, -(-chars // chunk_chars)))
-    cuts = [i / parts for i in range(1, parts)]
-    splits = known.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("x")).first().x if cuts else []
+    found = known.agg(F.sum(F.length("text")).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    chunks = int(max(1, -(-(found.n or 0) // chunk_chars)))
+    parts = -(-chunks // ranges)
+    some = -(-chunks // parts)
+    cuts = [i / some for i in range(1, some)]
+    splits = known.agg(F.percentile_approx("doc_id", cuts, 100 * some).alias("x")).first().x if cuts else []
     splits = np.unique(np.array(splits or [], np.int64))
     counted = known.select("text").mapInArrow(_count(window), "level int, cell int, n long")
     counts = np.zeros((len(prefix_lengths(window)), CELLS), np.int64)
     for x in counted.groupBy("level", "cell").agg(F.sum("n").alias("n")).collect():
         counts[x.level, x.cell] = x.n
-    table = routes(counts, most)
+    table, spread = routes(counts, most)
 
-    placed = known.mapInArrow(_place(splits), "chunk int, doc_id long, body binary")
-    entries = placed.groupBy("chunk").applyInArrow(_suffixes(window, table), "group long, chunk int, hashes binary, places binary")
+    placed = known.mapInArrow(_place(splits, (found.lo or 0, (found.hi or 0) + 1), parts), "chunk int, doc_id long, body binary")
+    entries = placed.groupBy("chunk").applyInArrow(_suffixes(window, table, spread), "group long, chunk int, hashes binary, places binary")
     flags = entries.groupBy("group").applyInArrow(_meet, "chunk int, places binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<long>>" + ", kept_text string" * texts
     done = placed.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_remove(window, texts), schema)

@@ -100,18 +100,19 @@ def without_repeats(rows, k=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most, chars", [(1 << 20, 8 << 20), (50, 2000)])
-def test_repeats_like_brute_force(spark, docs, most, chars):
+@pytest.mark.parametrize("most, chars, ranges", [(1 << 20, 8 << 20, 1 << 14), (50, 2000, 1 << 14), (3, 500, 3)])
+def test_repeats_like_brute_force(spark, docs, most, chars, ranges):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = substrings.remove_repeats(docs, 13, most=most, chunk_chars=chars).collect()
+    got = substrings.remove_repeats(docs, 13, most=most, chunk_chars=chars, ranges=ranges).collect()
     assert sorted((r.doc_id if r.doc_id is not None else math.inf, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
 def test_routes_split_what_many_share():
     counts = np.array([[100, 5, 5, 0], [60, 40, 5, 5], [30, 30, 30, 20]])
-    table = substrings.routes(counts, 50)
+    table, spread = substrings.routes(counts, 50)
     assert table[0, 0] == -1 and table[1, 0] == -1 and (table[2] >= 0).all() and table[0, 1] == table[0, 2]
+    assert (spread == 1).all() and substrings.routes(np.array([[500, 0], [260, 240]]), 50)[1].tolist() == [6, 5]
 
 
 def test_packing_edges(spark, docs, none):
@@ -297,7 +298,7 @@ def test_exact_search_like_brute_force(spark, vectors):
 def test_exact_search_beyond_doubles(spark):
     rows = [(0, [1e17, 3.0]), (1, [1e-3, 5.0]), (2, [-1e17, 1.0]), (3, [1e17, 2.0])]
     got = {r.vec_id: r.score for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert got[3] == (1 << 63) - 1 and got[2] == -(1 << 63) and got[1] == 102400000000000000000 + 3072 * 5120 if False else got[1] == min((1 << 63) - 1, 1024 * 10**17 * 1 + 3072 * 5120)
+    assert got[3] == (1 << 63) - 1 and got[2] == -(1 << 63) and got[1] == min((1 << 63) - 1, 1024 * 10**17 * 1 + 3072 * 5120)
 
 
 def test_approximate_search_edges(spark, vectors):
