@@ -135,8 +135,6 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).select("shingle", "node", "n", "component", "place")
     rows = materialize(rows.withColumn("left", F.col("n") - F.col("place")).drop("place"), "prefixes", sets.count())
     cells = rows.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max("left").alias("left"))
-    several = cells.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
-    cells = materialize(cells.join(several, "shingle"), "cells", sets.count())
     enough = F.least("a_left", "b_left") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
     named = lambda table, side, *others: table.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in (*others, "component", "n", "left")))
     met = named(cells, "a").join(named(cells, "b"), "shingle").where((F.col("a_component") < F.col("b_component")) & enough)

@@ -37,6 +37,8 @@ _BYTE = randoms(11, 256)
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps from one call to the next; a longer text makes its own.
+_KEPT = 1 << 20
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
@@ -46,7 +48,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 1 << 23:
+        if n <= _KEPT + 1:
             _powers[name] = have
     return have[:n]
 
