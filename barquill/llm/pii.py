@@ -56,8 +56,23 @@ PATTERNS = {
     "name": rf"(?<!\w)(?P<t>{_TITLES})\.?[  ](?P<x>{_NAME}(?: {_NAME}){{0,2}})",
 }
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
-#: A text in which this finds nothing has no entity; names are looked for besides.
-_HINT = re.compile(r"[0-9@]|[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Bb]earer|[Kk]ey|KEY|sk-|xox|AIza|glpat")
+_PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk_live_", "sk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "glpat-")
+_DIGIT = re.compile(r"\d").search
+
+
+def _needed(text: str) -> list[str]:
+    """The kinds whose patterns can match in a text: each is left out only if something that its pattern cannot do without is missing."""
+    can = dict.fromkeys(("iban", "card", "ssn", "ip", "phone"), _DIGIT(text) is not None)
+    can["email"] = "@" in text
+    can["access_key"] = "AKIA" in text or "ASIA" in text
+    can["api_token"] = any(x in text for x in _PREFIXES)
+    can["ipv6"] = text.count(":") >= 7
+    can["secret"] = "=" in text or ":" in text
+    if can["secret"]:
+        folded = text.casefold()  # every character that (?i) takes for one of these letters is folded to it
+        can["secret"] = any(x in folded for x in ("pass", "pwd", "secret", "key", "token", "bearer"))
+    return [kind for kind in _COMPILED if can.get(kind, True)]
+
 
 _VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
 _CLASSES = [
@@ -74,6 +89,8 @@ def _classes(text: str, hexadecimal: bool, spoken: bool) -> list[str]:
             out.append("0123456789abcdef")
         elif spoken and c in _VOWELS + _CONSONANTS:
             out.append(_VOWELS if c in _VOWELS else _CONSONANTS)
+        elif c.isdecimal():
+            out.append("".join(chr(ord(c) - int(c) + i) for i in range(10)))  # of its own script
         else:
             out.append(next((x for x in _CLASSES if c in x), ""))
     return out
@@ -216,11 +233,8 @@ class Names:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(from, to, kind, gender or nothing) of the entities of a text, in order, none inside another."""
     found: list[tuple[int, int, str, str]] = []
-    kinds = list(_COMPILED) if _HINT.search(text) else ["name"]
     taken: list[tuple[int, int]] = []
-    for kind in kinds:
-        if kind == "email" and "@" not in text:
-            continue
+    for kind in _needed(text):
         for m in _COMPILED[kind].finditer(text):
             at, to = m.span("x" if "x" in m.re.groupindex else 0)
             if kind == "phone" and not 9 <= sum(c.isdigit() for c in m[0]) <= 15:
