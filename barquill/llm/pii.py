@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -38,8 +39,20 @@ TITLES = {
     "n": "Dr Prof Professor Doctor доктор профессор".split(),
 }
 _GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
-_NAME = r"[^\W\d_a-zа-яёα-ωß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _TITLES = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=len, reverse=True))
+# What stands in lower case between or before the words of a name, and what follows it.
+PARTICLES = "van von vom der den de del della delle dei degli di da das dos do du des la le las los lo al el bin ibn bint ben abu zu zum zur ter ten te tot af av y e".split()
+SUFFIXES = "Jr Jnr Sr II III IV PhD MD Esq".split()
+_SMALL = "".join(c for c in map(chr, range(0x80, 0x3000)) if c.islower())
+_SPACE, _LETTER, _CAPITAL = "[  ]", r"[^\W\d_]", rf"[^\W\d_a-z{_SMALL}]"
+_JOINED = rf"(?:[-'’](?![sS](?!\w)){_LETTER}+)"
+_WORD = rf"(?:[dl]['’]|[ae]l-)?{_CAPITAL}(?:{_LETTER}+{_JOINED}*|{_JOINED}+)"
+_BEFORE = rf"(?:(?:{'|'.join(PARTICLES)}){_SPACE})*"
+_INITIALS = rf"{_CAPITAL}\.(?:-?{_CAPITAL}\.)*(?:{_WORD})?|{_CAPITAL}(?={_SPACE}{_BEFORE}{_CAPITAL})"
+_END = rf"(?:(?i:{_TITLES})\.?{_SPACE}{_BEFORE}{_CAPITAL}|(?:{'|'.join(SUFFIXES)})(?!\w))"
+_UNIT = rf"{_BEFORE}(?!{_END})(?:{_WORD}|{_INITIALS})"
+#: Words of a name, as they are exchanged.
+_PARTS = re.compile(rf"{_LETTER}+{_JOINED}*")
 
 #: Kinds by name, the one that counts first: a pattern whose group "x", or the whole, is the entity.
 PATTERNS = {
@@ -53,7 +66,7 @@ PATTERNS = {
     "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "phone": r"(?<![\w.])(?:\+(?P<c>\d{1,3})[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w)",
-    "name": rf"(?<!\w)(?P<t>{_TITLES})\.?[  ](?P<x>{_NAME}(?: {_NAME}){{0,2}})",
+    "name": rf"(?<!\w)(?P<t>(?i:{_TITLES}))\.?{_SPACE}(?P<x>{_UNIT}(?:{_SPACE}{_UNIT})*)",
 }
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 _PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "pk_live_", "sk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "glpat-")
@@ -81,10 +94,16 @@ _CLASSES = [
 ]
 
 
+def _low(text: str) -> str:
+    """In lower case, character for character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _classes(text: str, hexadecimal: bool, spoken: bool) -> list[str]:
     """For each character the ones that may stand in its place; an empty string where it stays."""
     out = []
-    for c in text.lower():
+    for c in _low(text):
         if hexadecimal and c in "0123456789abcdef":
             out.append("0123456789abcdef")
         elif spoken and c in _VOWELS + _CONSONANTS:
@@ -119,12 +138,12 @@ def permute(text: str, kind: str, key: bytes = KEY, ok: Callable[[str], bool] |
     """
     classes = _classes(text, hexadecimal, spoken)
     size, value = 1, 0
-    for c, chars in zip(text.lower(), classes, strict=True):
+    for c, chars in zip(_low(text), classes, strict=True):
         if chars:
             size, value = size * len(chars), value * len(chars) + chars.index(c)
     if size == 1:
         return text
-    form = "".join(c if not chars else chr(0x2460 + len(chars)) for c, chars in zip(text.lower(), classes, strict=True))
+    form = "".join(c if not chars else chr(0x2460 + len(chars)) for c, chars in zip(_low(text), classes, strict=True))
     wanted = ok(text) if ok else True
     while True:
         value = _permuted(value, size, f"{kind} {form}", key)
@@ -214,36 +233,88 @@ class Names:
         self.key, self.given, self.taken = key, {}, {}
 
     def __call__(self, text: str, gender: str) -> str:
-        *given, family = text.split(" ")
-        new = permute(family, "family", self.key, spoken=True)
-        out = []
-        for name in given:
-            script = _script(name)
+        family = _families(text)
+
+        def exchanged(m: re.Match) -> str:
+            word = m[0]
+            if word in PARTICLES:
+                return word
+            if len(word) == 1 or _low(word) in family:
+                return permute(word, "initial" if len(word) == 1 else "family", self.key, spoken=len(word) > 1)
+            name, script = _low(word), _script(word)
             pool = GIVEN.get((script, gender)) or GIVEN[(script, "m")]
             for attempt in range(64):
-                found = self.given.get((name.lower(), gender)) or _drawn(name, pool, self.key, attempt)
-                owner = self.taken.setdefault((found, family.lower()), name.lower())
-                if owner == name.lower() and found.lower() != name.lower():
+                found = self.given.get((name, gender)) or _drawn(name, pool, self.key, attempt)
+                owner = self.taken.setdefault((found, *family), name)
+                if owner == name and found.lower() != name:
                     break
-            self.given[(name.lower(), gender)] = found
-            out.append(found)
-        return " ".join([*out, new])
+            self.given[(name, gender)] = found
+            return found.upper() if word.isupper() else found
+
+        return _PARTS.sub(exchanged, text)
+
+
+def _families(name: str) -> list[str]:
+    """Family names in a name, in lower case: its last word, those after a particle, and those that y or e joins to another."""
+    words = [w for w in _PARTS.findall(name) if len(w) > 1 or w in PARTICLES]
+    after = [w for v, w in zip(words, words[1:]) if v in PARTICLES]
+    before = [v for v, w in zip(words, words[1:]) if w in ("y", "e")]
+    return list(dict.fromkeys(_low(w) for w in [*words[-1:], *after, *before] if w not in PARTICLES))
+
+
+def _again(text: str, names: list[tuple[str, str]]) -> Iterator[tuple[int, int, str]]:
+    """(from, to, gender) wherever a full name of (name, gender), or a family name of one, stands in a text, in any case but without capitals."""
+    plain = lambda x: _low(x).replace("\u00a0", " ")
+    family: dict[str, str] = {}
+    full: dict[str, dict[int, dict[str, str]]] = {}
+    for name, gender in names:
+        for word in _families(name):
+            family.setdefault(word, gender)
+        if len(name) > 1:
+            full.setdefault(_low(_PARTS.search(name)[0]), {}).setdefault(len(name), {}).setdefault(plain(name), gender)
+    end = 0
+    for m in _PARTS.finditer(text):
+        at, word = m.start(), m[0]
+        if at < end:
+            continue
+        known = full.get(_low(word), {})
+        for n in sorted(known, reverse=True):
+            if plain(text[at : at + n]) in known[n] and not text[at : at + n].islower() and not re.match(r"\w", text[at + n : at + n + 1]):
+                end = at + n
+                yield at, end, known[n][plain(text[at:end])]
+                break
+        else:
+            for start, part in [(at, word)] if _low(word) in family else [(at + x.start(), x[0]) for x in re.finditer(rf"{_LETTER}+", word)]:
+                if _low(part) in family and not part[0].islower() and not re.match(r"\w", text[start - 1 : start]) and not re.match(r"\w", text[start + len(part) : start + len(part) + 1]):
+                    yield start, start + len(part), family[_low(part)]
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(from, to, kind, gender or nothing) of the entities of a text, in order, none inside another."""
+    """(from, to, kind, gender or nothing) of the entities of a text, in order, none inside another.
+
+    Names are found after titles; then their full and family names wherever else they stand.
+    """
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+
+    def take(at: int, to: int, kind: str, gender: str = "") -> bool:
+        i = bisect_left(found, (at,))
+        if (i < len(found) and found[i][0] < to) or (i and found[i - 1][1] > at):
+            return False
+        found.insert(i, (at, to, kind, gender))
+        return True
+
+    names = []
     for kind in _needed(text):
         for m in _COMPILED[kind].finditer(text):
             at, to = m.span("x" if "x" in m.re.groupindex else 0)
             if kind == "phone" and not 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
-            if any(a < to and at < b for a, b in taken):
-                continue
-            taken.append((at, to))
-            found.append((at, to, kind, _GENDER.get(m["t"].lower(), "n") if kind == "name" else ""))
-    return sorted(found)
+            gender = _GENDER.get(m["t"].lower(), "n") if kind == "name" else ""
+            if take(at, to, kind, gender) and kind == "name":
+                names.append((text[at:to], gender))
+    for at, to, gender in _again(text, names) if names else ():
+        take(at, to, "name", gender)
+    return found
 
 
 def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:

@@ -272,6 +272,24 @@ def test_surrogates_are_distinct_and_refer_to_the_same():
     assert got[0].split()[0] in pii.GIVEN[("latin", "m")] and got[1].split()[0] in pii.GIVEN[("latin", "f")] and got[5].split()[0] in pii.GIVEN[("cyrillic", "m")]
 
 
+NAMED = {
+    "Señora María José García López vino": ["María José García López"], "Herr Ludwig van Beethoven kam; Beethoven ging": ["Ludwig van Beethoven", "Beethoven"],
+    "Dr. J. Smith, Mr J.R.R. Tolkien, Mr. John F. Kennedy": ["J. Smith", "J.R.R. Tolkien", "John F. Kennedy"], "MR. JOHN SMITH; mr. de la Cruz": ["JOHN SMITH", "de la Cruz"],
+    "John Smith? Mr John Smith said, John Smith said, JOHN SMITH, Smith's, Smith-led, a smith, Blacksmith": ["John Smith"] * 3 + ["JOHN SMITH", "Smith", "Smith"],
+    "Prof. Dr. Ann Lee Jr. and Mr O'Brien's car": ["Ann Lee", "O'Brien"], "Mr. Smith I believe; Mr İnönü": ["Smith", "İnönü"], "Señor García y Madame Curie": ["García", "Curie"],
+}
+
+
+@pytest.mark.parametrize("text", sorted(NAMED))
+def test_whole_names_and_their_further_mentions(text):
+    new, entities = pii.replace(text)
+    assert [text[e["start"] : e["end"]] for e in entities] == NAMED[text]
+    assert not {w for name in NAMED[text] for w in re.findall(r"\w{3,}", name) if not w.islower()} & set(re.findall(r"\w{3,}", new))  # particles stay
+    same = {}
+    for e in entities:
+        assert same.setdefault(text[e["start"] : e["end"]].lower(), e["surrogate"].lower()) == e["surrogate"].lower()
+
+
 def test_clean_texts_are_left_alone(spark, docs, none):
     for text in ("Version 2.0 of 2024-01-31, at 10:20:30", "1,234.56 of 3/4", "see section 12.3.4", "a 99 % share", ""):
         assert pii.replace(text) == (text, [])
