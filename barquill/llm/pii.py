@@ -2,8 +2,8 @@
 
 Surrogates come from keyed permutations of all strings of an entity's own format (its letters, digits and signs, place
 by place), so the same entity gets the same surrogate in every document, and two entities never get one: what would be a
-collision check over all documents holds by construction, without a shuffle. Given names are drawn from short lists by
-gender and script, where that cannot hold; a document's names are checked against each other and drawn again.
+collision check over all documents holds by construction, without a shuffle. That goes for names word by word: those of
+lists by gender and script are exchanged within their list, all others are permuted past what the lists give.
 """
 
 from __future__ import annotations
@@ -22,24 +22,22 @@ from barquill.functions.tables import small_batches
 
 KEY = b"barquill surrogates"
 
-# Given names by script and gender.
+# Given names by script and gender; none is in two lists.
 GIVEN = {
-    ("latin", "f"): "Alma Clara Edith Greta Helen Irene Julia Laura Marta Nora Paula Sofia".split(),
-    ("latin", "m"): "Adam Bruno David Emil Felix Hugo Jonas Karl Leon Martin Oscar Paul".split(),
+    ("latin", "f"): "Agnes Alice Alma Anna Anne Barbara Carmen Clara Edith Elena Elizabeth Emma Erika Eva Greta Hannah Helen Irene Jane Jennifer Julia Karen Laura Linda Lucía Margaret María Marie Marta Mary Nora Patricia Paula Rosa Sarah Sofia Susan Teresa Ursula".split(),
+    ("latin", "m"): "Adam Alan Antonio Brian Bruno Carlos Charles Daniel David Emil Felix Francisco George Hans Henry Hugo Jack James John Jonas José Juan Karl Leon Luis Mark Martin Michael Miguel Oscar Paul Pedro Peter Pierre Robert Thomas Walter William".split(),
     ("latin", "n"): "Alex Andrea Chris Eden Jean Kim Noel Robin Sam Sasha Toni Yael".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Лидия Мария Нина Ольга Раиса Софья".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Леонид Макар Никита Олег Павел".split(),
+    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Леонид Макар Никита Олег Павел Пётр Сергей".split(),
     ("greek", "f"): "Άννα Δήμητρα Ειρήνη Ελένη Ζωή Θάλεια Ιωάννα Κλειώ Λυδία Μαρία Σοφία Χλόη".split(),
     ("greek", "m"): "Άρης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λεωνίδας Μάρκος Νίκος Πέτρος Σταύρος Φίλιππος".split(),
 }
-# Titles before a name, by the gender they tell.
-TITLES = {
-    "f": "Mrs Ms Miss Mme Madame Mademoiselle Frau Señora Señorita Sra Srta Signora Lady г-жа госпожа κυρία".split(),
-    "m": "Mr Mister Monsieur Herr Señor Sr Signor Sir г-н господин κύριος".split(),
-    "n": "Dr Prof Professor Doctor доктор профессор".split(),
-}
-_GENDER = {t.lower(): g for g, titles in TITLES.items() for t in titles}
-_TITLES = "|".join(sorted((t for titles in TITLES.values() for t in titles), key=len, reverse=True))
+# Titles before a name.
+TITLES = (
+    "Mrs Ms Miss Mme Madame Mademoiselle Frau Señora Señorita Sra Srta Signora Lady г-жа госпожа κυρία "
+    "Mr Mister Monsieur Herr Señor Sr Signor Sir г-н господин κύριος Dr Prof Professor Doctor доктор профессор"
+).split()
+_TITLES = "|".join(sorted(TITLES, key=len, reverse=True))
 # What stands in lower case between or before the words of a name, and what follows it.
 PARTICLES = "van von vom der den de del della delle dei degli di da das dos do du des la le las los lo al el bin ibn bint ben abu zu zum zur ter ten te tot af av y e".split()
 SUFFIXES = "Jr Jnr Sr II III IV PhD MD Esq".split()
@@ -192,7 +190,9 @@ def _iban(text: str, key: bytes) -> str:
 
 
 def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
-    """The replacement of an entity other than a name; of the same kind, length and format."""
+    """The replacement of an entity; of the same kind and format, and, but for names and e-mail, length."""
+    if kind == "name":
+        return _name(text, key)
     if kind == "email":
         local, _, domain = text.partition("@")
         return f"{permute(local, 'local', key)}@{permute(domain.lower(), 'domain', key)}.example"
@@ -217,41 +217,35 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return permute(text, kind, key, hexadecimal=kind == "ipv6" or (kind == "secret" and lower_hex))
 
 
-def _script(name: str) -> str:
-    return "cyrillic" if re.search("[а-яёА-ЯЁ]", name) else "greek" if re.search("[α-ωΑ-Ωά-ώΆ-Ώ]", name) else "latin"
-
-
-def _drawn(text: str, pool: list[str], key: bytes, attempt: int) -> str:
-    told = hashlib.blake2b(f"{attempt} {text.lower()}".encode(), digest_size=8, key=key).digest()
-    return pool[int.from_bytes(told, "big") % len(pool)]
-
+@lru_cache(8)
+def _exchanged(key: bytes) -> tuple[dict[str, str], dict[str, str]]:
+    """Each listed name, in lower case, by the one that it is exchanged for, and back: a keyed circle through each list."""
+    to = {}
+    for names in GIVEN.values():
+        circle = sorted(names, key=lambda x: hashlib.blake2b(_low(x).encode(), digest_size=16, key=key).digest())
+        to |= {_low(a): b for a, b in zip(circle, [*circle[1:], circle[0]])}
+    return to, {_low(b): a for a, b in to.items()}
 
-class Names:
-    """Surrogates of one document's names: given names by gender and script, family names by permutation."""
 
-    def __init__(self, key: bytes):
-        self.key, self.given, self.taken = key, {}, {}
+def named(word: str, key: bytes = KEY) -> str:
+    """The surrogate of one word of a name, the same wherever it stands; no two words share one, capitals apart.
 
-    def __call__(self, text: str, gender: str) -> str:
-        family = _families(text)
+    A word that is not listed is permuted; if that gives a listed name, which is another's surrogate, the permutation
+    goes on from the name exchanged for it. This is one to one, and ends, since no step leads to a word not listed.
+    """
+    to, back = _exchanged(key)
+    if _low(word) in to:
+        found = to[_low(word)]
+        return found.upper() if word.isupper() else found
+    found = permute(word, "name", key, spoken=len(word) > 1)
+    while _low(found) in back:
+        found = permute(back[_low(found)].title(), "name", key, spoken=True)
+        found = found.upper() if word.isupper() else found
+    return found
 
-        def exchanged(m: re.Match) -> str:
-            word = m[0]
-            if word in PARTICLES:
-                return word
-            if len(word) == 1 or _low(word) in family:
-                return permute(word, "initial" if len(word) == 1 else "family", self.key, spoken=len(word) > 1)
-            name, script = _low(word), _script(word)
-            pool = GIVEN.get((script, gender)) or GIVEN[(script, "m")]
-            for attempt in range(64):
-                found = self.given.get((name, gender)) or _drawn(name, pool, self.key, attempt)
-                owner = self.taken.setdefault((found, *family), name)
-                if owner == name and found.lower() != name:
-                    break
-            self.given[(name, gender)] = found
-            return found.upper() if word.isupper() else found
 
-        return _PARTS.sub(exchanged, text)
+def _name(text: str, key: bytes) -> str:
+    return _PARTS.sub(lambda m: m[0] if m[0] in PARTICLES else named(m[0], key), text)
 
 
 def _families(name: str) -> list[str]:
@@ -262,45 +256,42 @@ def _families(name: str) -> list[str]:
     return list(dict.fromkeys(_low(w) for w in [*words[-1:], *after, *before] if w not in PARTICLES))
 
 
-def _again(text: str, names: list[tuple[str, str]]) -> Iterator[tuple[int, int, str]]:
-    """(from, to, gender) wherever a full name of (name, gender), or a family name of one, stands in a text, in any case but without capitals."""
+def _again(text: str, names: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) wherever a full name or a family name of one stands in a text, in any case but without capitals."""
     plain = lambda x: _low(x).replace("\u00a0", " ")
-    family: dict[str, str] = {}
-    full: dict[str, dict[int, dict[str, str]]] = {}
-    for name, gender in names:
-        for word in _families(name):
-            family.setdefault(word, gender)
-        if len(name) > 1:
-            full.setdefault(_low(_PARTS.search(name)[0]), {}).setdefault(len(name), {}).setdefault(plain(name), gender)
+    family = {word for name in names for word in _families(name)}
+    full: dict[str, dict[int, set[str]]] = {}
+    for name in names:
+        full.setdefault(_low(_PARTS.search(name)[0]), {}).setdefault(len(name), set()).add(plain(name))
+    whole = lambda at, to: not re.match(r"\w", text[at - 1 : at]) and not re.match(r"\w", text[to : to + 1])
     end = 0
     for m in _PARTS.finditer(text):
         at, word = m.start(), m[0]
         if at < end:
             continue
         known = full.get(_low(word), {})
-        for n in sorted(known, reverse=True):
-            if plain(text[at : at + n]) in known[n] and not text[at : at + n].islower() and not re.match(r"\w", text[at + n : at + n + 1]):
-                end = at + n
-                yield at, end, known[n][plain(text[at:end])]
-                break
-        else:
-            for start, part in [(at, word)] if _low(word) in family else [(at + x.start(), x[0]) for x in re.finditer(rf"{_LETTER}+", word)]:
-                if _low(part) in family and not part[0].islower() and not re.match(r"\w", text[start - 1 : start]) and not re.match(r"\w", text[start + len(part) : start + len(part) + 1]):
-                    yield start, start + len(part), family[_low(part)]
+        to = next((at + n for n in sorted(known, reverse=True) if plain(text[at : at + n]) in known[n] and not text[at : at + n].islower() and whole(at, at + n)), None)
+        if to and any(len(w) > 1 for w in _PARTS.findall(text[at:to])):
+            end = to
+            yield at, to
+            continue
+        for start, part in [(at, word)] if _low(word) in family else [(at + x.start(), x[0]) for x in re.finditer(rf"{_LETTER}+", word)]:
+            if _low(part) in family and not part[0].islower() and whole(start, start + len(part)):
+                yield start, start + len(part)
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(from, to, kind, gender or nothing) of the entities of a text, in order, none inside another.
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(from, to, kind) of the entities of a text, in order, none inside another.
 
     Names are found after titles; then their full and family names wherever else they stand.
     """
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str]] = []
 
-    def take(at: int, to: int, kind: str, gender: str = "") -> bool:
+    def take(at: int, to: int, kind: str) -> bool:
         i = bisect_left(found, (at,))
         if (i < len(found) and found[i][0] < to) or (i and found[i - 1][1] > at):
             return False
-        found.insert(i, (at, to, kind, gender))
+        found.insert(i, (at, to, kind))
         return True
 
     names = []
@@ -309,19 +300,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             at, to = m.span("x" if "x" in m.re.groupindex else 0)
             if kind == "phone" and not 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
-            gender = _GENDER.get(m["t"].lower(), "n") if kind == "name" else ""
-            if take(at, to, kind, gender) and kind == "name":
-                names.append((text[at:to], gender))
-    for at, to, gender in _again(text, names) if names else ():
-        take(at, to, "name", gender)
+            if take(at, to, kind) and kind == "name":
+                names.append(text[at:to])
+    for at, to in _again(text, names) if names else ():
+        take(at, to, "name")
     return found
 
 
 def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
     """The text with surrogates, and kind, from, to (in the text given) and surrogate of each entity."""
-    names, out, entities, at = Names(key), [], [], 0
-    for start, end, kind, gender in find(text):
-        new = names(text[start:end], gender) if kind == "name" else surrogate(kind, text[start:end], key)
+    out, entities, at = [], [], 0
+    for start, end, kind in find(text):
+        new = surrogate(kind, text[start:end], key)
         out += [text[at:start], new]
         entities.append({"kind": kind, "start": start, "end": end, "surrogate": new})
         at = end

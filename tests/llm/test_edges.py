@@ -290,6 +290,21 @@ def test_whole_names_and_their_further_mentions(text):
         assert same.setdefault(text[e["start"] : e["end"]].lower(), e["surrogate"].lower()) == e["surrogate"].lower()
 
 
+def test_no_two_names_share_a_surrogate_and_each_has_one():
+    listed = [x for names in pii.GIVEN.values() for x in names]
+    words = [a + b + c for a in "BCDFGHJKLMNPQRSTVWXZ" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz"]  # those that Kim and Sam come from
+    words = list(dict.fromkeys([*listed, *words, *"ABCDEFGHIJKLMNOPQRSTUVWXYZ"]))
+    assert len(set(map(str.lower, listed))) == len(listed)
+    for key in (pii.KEY, b"other"):
+        new = {w: pii.named(w, key) for w in words}
+        assert len({x.lower() for x in new.values()}) == len(words) and all(pii.named(w.upper(), key) == x.upper() for w, x in new.items())
+        assert not any(w == new[w] for w in listed)
+    many = [f"Mr {w} Smith" for w in words[:1000]]  # in one document and each in its own
+    assert [e["surrogate"] for e in pii.replace("; ".join(many))[1]] == [e["surrogate"] for text in many for e in pii.replace(text)[1]]
+    got = [e["surrogate"] for e in pii.replace("Mr Alan Smith, Mr Brian Jones, Mr Brian Smith, Dr. Alan Smith")[1]]
+    assert len(set(got[:3])) == 3 and got[3] == got[0]
+
+
 def test_clean_texts_are_left_alone(spark, docs, none):
     for text in ("Version 2.0 of 2024-01-31, at 10:20:30", "1,234.56 of 3/4", "see section 12.3.4", "a 99 % share", ""):
         assert pii.replace(text) == (text, [])
