@@ -104,7 +104,7 @@ def stream_latest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT symbol, 'gap', count(*)::BIGINT FROM o WHERE ts - p > INTERVAL 1 HOUR GROUP BY 1""")
 def stream_upserts_and_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
-    done = L.run_to_table(L.upserted(rows, size=200, step_seconds=3600), "upserts")
+    done = L.run_in_order(L.upserted(rows, size=200, step_seconds=3600), "upserts")
     return done.where("kind in ('bar', 'gap')").groupBy("symbol", "kind").agg(F.count("*").alias("n"))
 
 
@@ -118,7 +118,7 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add()
 def stream_online_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), (F.col("event_id") % 10 / 10).alias("p"))
-    return L.run_to_table(L.online_trades(rows, 0.8, 5), "trades")
+    return L.run_in_order(L.online_trades(rows, 0.8, 5), "trades")
 
 
 @add("SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, count(*)::BIGINT AS n FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events) x GROUP BY event_type, date_trunc('hour', ts)")

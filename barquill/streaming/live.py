@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from barquill.functions.tables import shared_dir
 
@@ -29,74 +30,84 @@ def epoch_millis(x: Column) -> Column:
     return F.when(x < 10_000_000_000, x * 1000).when(x < 100_000_000_000_000, x).otherwise(F.floor(x / 1000)).cast("long")
 
 
-UPSERT = "symbol string, kind string, ts timestamp_ntz, close double, gap_from timestamp_ntz, gap_to timestamp_ntz, kept int, ready boolean"
+@dataclass(frozen=True)
+class InOrder:
+    """A stream of rows (symbol, ts, others) and the step that each symbol's rows take, in order of time, with a state.
 
+    ``step(state, values)`` takes the other values after ts, in microseconds or nothing, and gives the columns of the rows
+    to put out, symbol left out; ``state`` is a dictionary that it changes, empty at first. All rows of a micro-batch are
+    sorted by Spark, whichever files or splits they come from; a row older than what an earlier micro-batch has taken in is
+    late, unless ``run_in_order`` waits for it.
+    """
+
+    rows: DataFrame
+    output: pa.Schema
+    state: pa.Schema
+    step: Callable[[dict, tuple], list[dict]]
+
+
+_TIME = pa.timestamp("us")
+UPSERT = pa.schema([("symbol", pa.string()), ("kind", pa.string()), ("ts", _TIME), ("close", pa.float64()), ("gap_from", _TIME), ("gap_to", _TIME), ("kept", pa.int32()), ("ready", pa.bool_())])
 
-def upserted(bars: DataFrame, size: int = 500, step_seconds: int = 60, ready: int = 20) -> DataFrame:
-    """Bars taken into a bounded window for each symbol, in order of arrival.
+
+def upserted(bars: DataFrame, size: int = 500, step_seconds: int = 60, ready: int = 20) -> InOrder:
+    """Bars taken into a bounded window for each symbol.
 
     A bar older than the last is late and ignored (kind ``late``), one at the same time replaces it (``replace``), a newer
     one is appended (``bar``); if bars are missing before it, a ``gap`` row says which. State: the last ``size`` closes.
     """
-    step = pd.Timedelta(seconds=step_seconds)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, closes = map(list, state.get) if state.exists else ([], [])
-        out = []
-        for pdf in batches:
-            for ts, close in pdf.sort_values("ts", kind="stable")[["ts", "close"]].itertuples(index=False):
-                now = int(pd.Timestamp(ts).value // 1000)
-                gap = (None, None)
-                if times and now < times[-1]:
-                    kind = "late"
-                elif times and now == times[-1]:
-                    kind, closes[-1] = "replace", close
-                else:
-                    kind = "bar"
-                    if times and now - times[-1] > step_seconds * 1_000_000:
-                        gap = (pd.Timestamp(times[-1] * 1000) + step, pd.Timestamp(ts) - step)
-                        out.append((key[0], "gap", ts, None, *gap, len(times), len(times) >= ready))
-                    times, closes = (times + [now])[-size:], (closes + [close])[-size:]
-                out.append((key[0], kind, ts, close, None, None, len(times), len(times) >= ready))
-        state.update((times, closes))
-        frame = pd.DataFrame(out, columns=["symbol", "kind", "ts", "close", "gap_from", "gap_to", "kept", "ready"])
-        for name in ("ts", "gap_from", "gap_to"):
-            frame[name] = pd.to_datetime(frame[name])
-        yield frame
+    apart = step_seconds * 1_000_000
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, UPSERT, "times array<long>, closes array<double>", "append", GroupStateTimeout.NoTimeout)
+    def step(state: dict, row: tuple) -> list[dict]:
+        now, close = row
+        times, closes, out = state.setdefault("times", []), state.setdefault("closes", []), []
+        if now is None or (times and now < times[-1]):
+            kind = "late"
+        elif times and now == times[-1]:
+            kind, closes[-1] = "replace", close
+        else:
+            kind = "bar"
+            if times and now - times[-1] > apart:
+                out.append({"kind": "gap", "ts": now, "gap_from": times[-1] + apart, "gap_to": now - apart, "kept": len(times), "ready": len(times) >= ready})
+            times.append(now)
+            closes.append(close)
+            del times[:-size], closes[:-size]
+        return [*out, {"kind": kind, "ts": now, "close": close, "kept": len(times), "ready": len(times) >= ready}]
 
+    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"))
+    return InOrder(rows, UPSERT, pa.schema([("times", pa.list_(pa.int64())), ("closes", pa.list_(pa.float64()))]), step)
 
-POSITIONS = "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, r_net double"
 
+POSITIONS = pa.schema([("symbol", pa.string()), ("entry_ts", _TIME), ("exit_ts", _TIME), ("r_net", pa.float64())])
 
-def online_trades(scored: DataFrame, tau: float, span: int, cost: float = 0.002) -> DataFrame:
+
+def online_trades(scored: DataFrame, tau: float, span: int, cost: float = 0.002) -> InOrder:
     """Trades as they end, from bars (symbol, ts, close, p): entered at p >= tau, left at the first close under an average.
 
-    State: when and at what price a symbol was entered, and the average since.
+    Bars without a time or a price are passed over, and so are late ones; none is entered at a price of 0. State: when and at what price a symbol was
+    entered, the average since, and the last time.
     """
     alpha = 2.0 / (span + 1.0)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry, price, ema = state.get if state.exists else (None, None, None)
-        out = []
-        for pdf in batches:
-            for ts, close, p in pdf.sort_values("ts", kind="stable")[["ts", "close", "p"]].itertuples(index=False):
-                if entry is None:
-                    if p >= tau:
-                        entry, price, ema = int(pd.Timestamp(ts).value // 1000), close, close
-                    continue
-                ema += alpha * (close - ema)
-                if close < ema:
-                    out.append((key[0], pd.Timestamp(entry * 1000), ts, close / price - 1 - cost))
-                    entry, price, ema = None, None, None
-        state.update((entry, price, ema))
-        frame = pd.DataFrame(out, columns=["symbol", "entry_ts", "exit_ts", "r_net"])
-        for name in ("entry_ts", "exit_ts"):
-            frame[name] = pd.to_datetime(frame[name])
-        yield frame
-
-    return scored.groupBy("symbol").applyInPandasWithState(run, POSITIONS, "entry long, price double, ema double", "append", GroupStateTimeout.NoTimeout)
+    def step(state: dict, row: tuple) -> list[dict]:
+        now, close, p = row
+        if now is None or close is None or close != close or now < (now if state.get("last") is None else state["last"]):
+            return []
+        state["last"] = now
+        if state.get("entry") is None:
+            if p is not None and p >= tau and close:
+                state.update(entry=now, price=close, ema=close)
+            return []
+        state["ema"] += alpha * (close - state["ema"])
+        if close >= state["ema"]:
+            return []
+        done = {"entry_ts": state["entry"], "exit_ts": now, "r_net": close / state["price"] - 1 - cost}
+        state.update(entry=None, price=None, ema=None)
+        return [done]
+
+    rows = scored.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.col("p").cast("double").alias("p"))
+    state = pa.schema([("entry", pa.int64()), ("price", pa.float64()), ("ema", pa.float64()), ("last", pa.int64())])
+    return InOrder(rows, POSITIONS, state, step)
 
 
 def decisions(scored: DataFrame, tau: float, delay: str = "10 minutes") -> DataFrame:
@@ -145,6 +156,70 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{top}/table")
 
 
+def run_in_order(work: InOrder, name: str, wait_seconds: int = 0) -> DataFrame:
+    """Run the steps of a stream over what there is and give the table that they wrote.
+
+    Each micro-batch is dealt by symbol and sorted by time, and streams through the steps behind the states that the one
+    before wrote, so a symbol takes a batch of memory and runs as often as need be with the same result. Rows within
+    ``wait_seconds`` of the newest time seen wait for the next micro-batch, or the end, as older ones may still come.
+    """
+    spark, step = work.rows.sparkSession, work.step
+    top = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    columns, states = work.rows.columns, work.state.names
+    # a table for both: rows put out, and where _state says so the state of a symbol after the micro-batch
+    schema = pa.schema([*work.output, *(f.with_name(f"_{f.name}") for f in work.state), ("_state", pa.bool_())])
+    spark_schema = from_arrow_schema(schema, prefer_timestamp_ntz=True)
+    last: list[int] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, state, begun = None, {}, False
+
+        def kept() -> dict:
+            return {"symbol": symbol, "_state": True} | {f"_{k}": v for k, v in state.items()}
+
+        for batch in batches:
+            out = []
+            at = [batch.schema.get_field_index(c) for c in columns]
+            values = [(batch.column(i).cast(pa.int64()) if pa.types.is_timestamp(batch.schema.field(i).type) else batch.column(i)).to_pylist() for i in at]
+            old = [batch.column(batch.schema.get_field_index(f"_{k}")).to_pylist() for k in states]
+            for i, (s, *row) in enumerate(zip(*values, strict=True)):
+                if not begun or s != symbol:
+                    if begun:
+                        out.append(kept())
+                    symbol, state, begun = s, {}, True
+                if batch.column(batch.num_columns - 1)[i].as_py():
+                    state = {k: x[i] for k, x in zip(states, old, strict=True)}
+                else:
+                    out += [{"symbol": s} | x for x in step(state, tuple(row))]
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if begun:
+            yield pa.RecordBatch.from_pylist([kept()], schema)
+
+    def take(rows: DataFrame, n: int) -> None:
+        have = rows.sparkSession.read.schema(spark_schema).parquet(f"{top}/table/batch={last[-1]}").where("_state") if last else rows.sparkSession.createDataFrame([], spark_schema)
+        before = have.select("symbol", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns[1:]), *(f"_{k}" for k in states), "_state")
+        now = rows.select(*columns, *(F.lit(None).cast(spark_schema[f"_{k}"].dataType).alias(f"_{k}") for k in states), F.lit(False).alias("_state"))
+        both = before.unionByName(now).repartition("symbol").sortWithinPartitions("symbol", F.col("_state").desc(), *(F.col(c).asc_nulls_last() for c in columns[1:]))
+        both.mapInArrow(run, spark_schema).write.mode("overwrite").parquet(f"{top}/table/batch={n}")
+
+    def write(batch: DataFrame, n: int) -> None:
+        del last[last.index(n) if n in last else len(last) :]  # a micro-batch that runs again
+        if wait_seconds:
+            rows = batch.union(batch.sparkSession.read.schema(work.rows.schema).parquet(f"{top}/waiting/batch={last[-1]}")) if last else batch
+            newest = F.lit(rows.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+            early = F.coalesce(F.col("ts") <= newest - F.make_dt_interval(secs=F.lit(wait_seconds)), F.col("ts").isNull())
+            rows.where(~early).write.mode("overwrite").parquet(f"{top}/waiting/batch={n}")
+            batch = rows.where(early)
+        take(batch, n)
+        last.append(n)
+
+    work.rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if wait_seconds and last:
+        take(spark.read.schema(work.rows.schema).parquet(f"{top}/waiting/batch={last[-1]}"), last[-1] + 1)
+    done = spark.read.schema(spark_schema).parquet(f"{top}/table") if last else spark.createDataFrame([], spark_schema)
+    return done.where("_state is null").select(work.output.names)
+
+
 def last_rows(bars: DataFrame, symbol: str, end: str, minutes: int = 1440, tail: int = 500) -> DataFrame:
     """The last bars of a symbol up to a time, at most ``tail`` of them."""
     to = F.lit(end).cast("timestamp_ntz")
