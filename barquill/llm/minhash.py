@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from barquill.functions.components import connected_components
 from barquill.functions.tables import materialize, small_batches
@@ -143,13 +144,30 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with k1 and k2, the fingerprints of the words of its text, A-Z lower-cased."""
+    at, names = docs.columns.index("text"), [*docs.columns, "k1", "k2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+            for words in chunks_of(batch.column(at)):
+                hashed = words.hashes(LOWER)
+                for keys, seed in zip(found, (21, 22), strict=True):
+                    keys.append(words.fingerprint(hashed, seed).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in found)], names=names)
+
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Two documents are linked if ``100 * |A and B| >= percent * |A or B|`` for their sets of k-word shingles, A-Z
     lower-cased; component_id is the smallest doc_id that links lead to, and kept says that it is the document's own.
     A text of fewer than k words is one shingle; null, empty and blank texts have none and are linked with nothing.
-    Rows with a null doc_id come back with a null component, kept. Repeated rows come back as often as they came.
+    Rows with a null doc_id come back with a null component, kept. Repeated rows come back as often as they came. With
+    ``keys`` k1 and k2 (as of ``with_keys``) and ``group``, a number of the linked texts whatever their doc_id, are added.
 
     With 32 bands of 6 values a pair at similarity 0.85 shares no band with probability 3e-7, at 0.8 with 6e-5.
 
@@ -202,8 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
 
     named = nodes.select("node", "k1", "k2", "first_id").join(component, "node", "left")
     lowest = named.where("component is not null").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    named = named.join(lowest, "component", "left").select("k1", "k2", F.coalesce("lowest", "first_id").alias("component_id"))
+    named = named.join(lowest, "component", "left").select("k1", "k2", F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
     named = materialize(named, "named")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     of = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", of.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", of.alias("component_id"), *(("k1", "k2", "group") if keys else ())).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

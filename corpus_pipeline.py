@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquill.llm.minhash import near_duplicates
+from barquill.llm.minhash import near_duplicates, with_keys
 from barquill.llm.mixing import mix_sources
 from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
-from barquill.functions.tables import shared_dir
+from barquill.functions.tables import materialize, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,12 +25,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest doc_id.
 
-    Repeated rows become one; documents without words are no duplicates, and rows without a doc_id stay.
+    Repeated rows become one; documents without words are no duplicates. Rows that share a doc_id are told apart by their
+    texts. Those without one count as the largest, by a hash of the text, and stay without; if they have no words, all stay.
     """
-    kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("near_rows"))
-    once = docs.join(kept.where("near_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("near_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).union(again.select(docs.columns)).union(docs.where("doc_id is null"))
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    unnamed = F.col("doc_id").isNull() & ~words
+    late = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    rows = docs.where(~unnamed).withColumn("near_id", F.coalesce(F.col("doc_id").cast("long"), late))
+    found = near_duplicates(rows.select(F.col("near_id").alias("doc_id"), "text"), percent=80, keys=True).withColumnRenamed("doc_id", "near_id")
+    found = materialize(found, "near")
+    ids = found.groupBy("near_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).where("kept > 0")
+    once = rows.join(ids.where("n = 1").select("near_id"), "near_id", "left_semi")
+    several = ids.where("n > 1").select("near_id")
+    # of the texts of one doc_id that are linked, one
+    verdict = found.where("kept").join(several, "near_id").withColumn("key", F.struct("k1", "k2"))
+    linked = verdict.where("n_shingles > 0").groupBy("near_id", "group").agg(F.min("key").alias("key")).select("near_id", "key.k1", "key.k2")
+    verdict = linked.union(verdict.where("n_shingles = 0").select("near_id", "k1", "k2").distinct())
+    again = with_keys(rows.join(several, "near_id", "left_semi")).join(verdict, ["near_id", "k1", "k2"], "left_semi")
+    blank = again.where(~words).dropDuplicates(["near_id", "text"])
+    again = again.where(words).dropDuplicates(["near_id", "k1", "k2"]).union(blank)
+    return once.select(docs.columns).union(again.select(docs.columns)).union(docs.where(unnamed))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -376,3 +376,16 @@ def test_probing_finds_every_code_within_the_radius():
     index = ann.Index(codes)
     for radius in (0, 3, 9, 20):
         assert set(index.within(codes[0], radius)) == set(np.flatnonzero(ann.distance(codes, codes[0]) <= radius))
+
+
+def test_near_dedup_tells_rows_of_one_doc_id_apart(spark):
+    import corpus_pipeline
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x), (5, x + " end"), (5, y), (6, z), (6, z + " end"), (6, "other words here"), (7, "A b"), (7, "A b"), (None, y), (None, "alone"), (None, "alone"), (None, None), (None, None), (8, " "), (8, " "), (8, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    last = [r for r in got if r[0] == 6 and r[1] != "other words here"]
+    assert len(last) == 1 and last[0][1] in (z, z + " end")
+    want = [(3, x), (5, y), (6, "other words here"), (7, "A b"), (None, "alone"), (None, None), (None, None), (8, " "), (8, "")]
+    assert sorted(map(str, got)) == sorted(map(str, want + last))
