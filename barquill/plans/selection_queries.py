@@ -222,10 +222,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM d)"""
 
 
 @add(_NEAR + """, s AS (SELECT k.a AS id, avg(x.score) AS m, quantile_cont(x.score, 0.25) AS q, stddev_pop(x.score) AS sd, quantile_cont(x.max_dd, 0.5) AS dd FROM k JOIN x ON x.id = k.b WHERE k.k <= greatest(12, least(36, floor(sqrt((SELECT count(*) FROM x)) * 1.5))) GROUP BY 1)
-SELECT id, round(m, 7) AS neighbor_mean_score, round(q, 7) AS neighbor_q25_score, round(sd, 7) AS neighbor_score_std, round(dd, 7) AS neighbor_dd_median FROM s""")
+SELECT id, round(m, 12) AS neighbor_mean_score, round(q, 12) AS neighbor_q25_score, round(sd, 12) AS neighbor_score_std, round(dd, 12) AS neighbor_dd_median FROM s""")
 def neighbor_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # twelve places: scores have six, a mean of 16 or 32 of them up to five more, and the engines round halves differently
     rows = S.smoothed(S.scaled(best(spark, sf_dir), ["a", "b", "c"]))
-    return _rounded(rows.select(F.col("id").cast("string").alias("id"), "neighbor_mean_score", "neighbor_q25_score", "neighbor_score_std", "neighbor_dd_median"), 7).withColumn("id", F.col("id").cast("long"))
+    return _rounded(rows.select(F.col("id").cast("string").alias("id"), "neighbor_mean_score", "neighbor_q25_score", "neighbor_score_std", "neighbor_dd_median"), 12).withColumn("id", F.col("id").cast("long"))
 
 
 @add(_NEAR + """, e AS (SELECT a, b FROM d WHERE d <= 0.06), reach AS (SELECT id AS a, id AS b FROM x UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), c AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY 1)
