@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from barquill.functions.components import connected_components
-from barquill.functions.tables import materialize, small_batches
+from barquill.functions.tables import materialize
 from barquill.llm.words import LOWER, Words, bytes_of, chunks_of, mix, randoms, words_of
 
 BANDS, ROWS = 32, 6
@@ -157,7 +157,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
                     keys.append(words.fingerprint(hashed, seed).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in found)], names=names)
 
-    return small_batches(docs).mapInArrow(run, StructType([*docs.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, keys: bool = False) -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     bands that still hold several components, an exact filter on rare shingles and sizes then finds every further pair
     that can be similar enough, so that no link between components is lost; pairs inside one component need none.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = docs.mapInArrow(_sign(k, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
     signed = materialize(signed, "signed")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2")

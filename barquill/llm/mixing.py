@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barquill.functions.tables import small_batches
+from barquill.functions.tables import materialize
+from barquill.llm.names import others, unused
 
-#: Parts that documents of like size in one source are dealt into, by a hash of doc_id.
-PARTS = 64
+#: Rows of a source that are ranked together, about.
+CELL_ROWS = 1 << 16
 SEED = "barquill-mix"
 
 
@@ -24,7 +25,7 @@ def word_count(text: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
 
 
-def _hex(text, digits: int):
+def _hex(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
@@ -50,36 +51,55 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
-    """Add how many copies of each document the mix takes: columns mix_size, mix_source_size, mix_target, mix_copies.
+def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = SEED, counted: DataFrame | None = None) -> DataFrame:
+    """Add how many copies of each row the mix takes: columns mix_source_size, mix_target, mix_copies.
 
-    ``docs`` has doc_id, source and text; other columns stay. A document's expected copies are its source's target over
-    its source's words. They are summed in order of size (in steps of an eighth of a power of two), then of a hash of
-    doc_id, one offset that a hash of source and seed gives is added, and the document is taken once for each whole
-    number that the sum passes, so near every stretch of like sizes its due share is taken. A source without words has
-    target 0 and gives nothing. Null text is empty; null source is a source; null doc_ids are one id to the hash.
+    ``rows`` has doc_id, source and mix_size (words); ``counted`` is the same table with only these columns, if that is
+    cheaper to read, as it is for whole documents. A row's expected copies are its source's target over its source's
+    words. They are summed in order of size (in steps of an eighth of a power of two), then of a hash of doc_id, then of
+    doc_id; one offset that a hash of source and seed gives is added, and the row is taken once for each whole number
+    that the sum passes, so near every stretch of like sizes its due share is taken. A source without words has target 0
+    and gives nothing; null source is a source; null doc_ids are one id to the hash; repeated rows are ranked one after
+    the other. Other columns stay, whatever their names; columns of the three names given here are replaced.
 
-    Ranks of a source's documents come from counts of its (size, hash) cells and a rank inside each cell, so a source
-    that holds a third of all rows is ranked by many tasks. The counts table has at most 64 cells for each size step.
+    Ranks come from counts of (source, size step, first bits of the hash) cells and a rank inside each cell. There are as
+    many bits as it takes for a cell to have about 65,000 rows if all were of one source and step, so a source that holds
+    a third of all rows is ranked by many tasks at any size, and how many bits there are does not change the order.
     """
+    made = ("mix_source_size", "mix_target", "mix_copies")
+    step, place, cell, before, rank, offset, size, target = unused(rows.columns, "step", "place", "cell", "before", "rank", "offset", "size", "target")
+    of, of_step, of_cell = unused(rows.columns, "of", "of_step", "of_cell")
     bits = F.length(F.bin("mix_size"))
-    rows = small_batches(docs).withColumn("mix_size", word_count("text"))
-    rows = rows.withColumn("mix_step", F.when(F.col("mix_size") == 0, F.lit(0).cast("long")).otherwise(bits * 8 + F.expr("shiftright(mix_size, greatest(length(bin(mix_size)) - 3, 0))")))
-    rows = rows.withColumn("mix_part", _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % PARTS)
-    cells = rows.groupBy("source", "mix_step", "mix_part").agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"))
-    before = Window.partitionBy("source").orderBy("mix_step", "mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    stepped = F.when(F.col("mix_size") == 0, F.lit(0).cast("long")).otherwise(bits * 8 + F.expr("shiftright(mix_size, greatest(length(bin(mix_size)) - 3, 0))"))
+    counted = rows if counted is None else counted
+    first = max(0, (counted.count() // CELL_ROWS).bit_length())
+    placed = lambda df: df.withColumn(step, stepped).withColumn(place, _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8)).withColumn(cell, F.shiftright(place, 32 - first) if first else F.lit(0).cast("long"))
+    cells = placed(counted).groupBy("source", step, cell).agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"))
+    ahead = Window.partitionBy("source").orderBy(step, cell).rowsBetween(Window.unboundedPreceding, -1)
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
-    offset = _hex(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("|"), "source"), F.lit(""))), 13) / F.lit(float(1 << 52))
-    targets = source_targets(sizes, weights, share, most).withColumn("mix_offset", offset)
-    cells = cells.withColumn("mix_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    cells = cells.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    cells = cells.select(F.col("source").alias("cell_source"), F.col("mix_step").alias("cell_step"), F.col("mix_part").alias("cell_part"), "mix_before", "mix_offset", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    inside = Window.partitionBy("source", "mix_step", "mix_part").orderBy("mix_size", "doc_id")
-    rows = rows.withColumn("mix_rank", F.row_number().over(inside))
-    same = F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("mix_step") == F.col("cell_step")) & (F.col("mix_part") == F.col("cell_part"))
-    rows = rows.join(cells, same)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    rank = F.col("mix_before") + F.col("mix_rank")
-    copies = F.floor(rate * rank + F.col("mix_offset")) - F.floor(rate * (rank - 1) + F.col("mix_offset"))
-    rows = rows.withColumn("mix_copies", F.least(copies, F.ceil(F.lit(most))).cast("long"))
-    return rows.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    shift = _hex(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("|"), "source"), F.lit(""))), 13) / F.lit(float(1 << 52))
+    targets = source_targets(sizes, weights, share, most).withColumn("shift", shift).withColumnRenamed("source", "to")
+    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("to")))
+    cells = cells.select(F.col("source").alias(of), F.col(step).alias(of_step), F.col(cell).alias(of_cell), F.col("ahead").alias(before), F.col("shift").alias(offset), F.col("source_size").alias(size), F.col("target").alias(target))
+    inside = Window.partitionBy("source", step, cell).orderBy(place, "mix_size", "doc_id")
+    ranked = placed(rows).withColumn(rank, F.row_number().over(inside))
+    ranked = ranked.join(cells, F.col("source").eqNullSafe(F.col(of)) & (F.col(step) == F.col(of_step)) & (F.col(cell) == F.col(of_cell)))
+    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(F.lit(0.0))
+    k = F.col(before) + F.col(rank)
+    copies = F.floor(rate * k + F.col(offset)) - F.floor(rate * (k - 1) + F.col(offset))
+    return ranked.select(*others(rows.columns, *made), F.col(size).alias("mix_source_size"), F.col(target).alias("mix_target"), F.least(copies, F.ceil(F.lit(most))).cast("long").alias("mix_copies"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source and mix_size, the words of the text (null: none), written once."""
+    return materialize(docs.select("doc_id", "source", word_count("text").alias("mix_size")), "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """``docs`` (doc_id, source, text and others) with mix_size and the columns of ``mix_sizes``; those names are replaced.
+
+    Counts and targets come from a narrow table of sizes that is written once; whole rows move once, to be ranked. Null,
+    empty and blank texts have size 0 and are taken as the others of size 0 are; an empty table stays empty.
+    """
+    rows = docs.select(*others(docs.columns, "mix_size"), word_count("text").alias("mix_size"))
+    return mix_sizes(rows, weights, share, most, seed, counted=sized(docs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from barquill.functions.tables import small_batches
+from tokenizers import Tokenizer
 
 SIZE, END_ID = 2048, 1
 #: What a cut inside a document costs, in tokens of padding: after a sentence, and elsewhere.
@@ -45,6 +44,26 @@ def byte_level(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("byte_level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special), ends
 
 
+def encoder(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
+    """A function from texts to ids, and for each id whether it ends a sentence.
+
+    tiktoken's regular expression gives up on about a million characters of white space in a row; such a text goes to the
+    ``tokenizers`` library, whose ids are the same.
+    """
+    fast, ends = byte_level(path)
+    slow: list[Tokenizer] = []
+
+    def ids(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return ids, ends
+
+
 def cuts(pos: list[int], penalty: list[int], size: int = SIZE) -> list[int]:
     """Indices of the cuts, the last included, that cost least.
 
@@ -116,7 +135,7 @@ def plan(lengths: np.ndarray, sentence: np.ndarray, size: int = SIZE, final: boo
 
 def _pack(path: str, size: int, with_ids: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ends = byte_level(path)
+        encode, ends = encoder(path)
         sequence = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, int, int, np.ndarray]] = []  # doc_id, ids before these, all ids of the document, these
 
@@ -158,7 +177,7 @@ def _pack(path: str, size: int, with_ids: bool):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.append(encoding.encode_to_numpy(text or "", allowed_special="all"), END_ID)
+                    ids = np.append(encode(text or ""), END_ID)
                     held.append((doc_id, 0, len(ids), ids))
                     waiting += len(ids)
                     if waiting >= PLAN_TOKENS:
@@ -174,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = Fal
     """Pack the texts of ``docs`` (doc_id, text) into sequences of at most ``size`` tokens.
 
     A document's ids are those of its text and then 1; a null text is as an empty one, so every row gives at least one
-    id. Rows keep their order inside each partition, and repeated rows and null doc_ids are documents like any other.
+    id; a text of any length is read whole, and columns other than doc_id and text are ignored. Rows keep their order inside each partition, and repeated rows and null doc_ids are documents like any other.
     Cuts are chosen by dynamic programming at ends of documents or sentences (anywhere in a passage with neither for a
     whole sequence), so that padding plus a penalty for each cut inside a document is least.
 
@@ -185,4 +204,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = Fal
     files.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, size, with_ids), schema + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(tokenizer, size, with_ids), schema + ", ids array<int>" * with_ids)

@@ -18,9 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import small_batches
-
-KEY = b"barquill surrogates"
+from barquill.llm.names import others, unused
 
 # Given names by script and gender; none is in two lists.
 GIVEN = {
@@ -129,7 +127,7 @@ def _permuted(value: int, size: int, tweak: str, key: bytes) -> int:
             return value
 
 
-def permute(text: str, kind: str, key: bytes = KEY, ok: Callable[[str], bool] | None = None, hexadecimal: bool = False, spoken: bool = False) -> str:
+def permute(text: str, kind: str, key: bytes, ok: Callable[[str], bool] | None = None, hexadecimal: bool = False, spoken: bool = False) -> str:
     """``text`` with letters and digits exchanged, place by place in the same class; capitals stay capitals.
 
     One to one among texts of one format (and, with ``ok``, among those that agree with ``text`` in it).
@@ -189,7 +187,7 @@ def _iban(text: str, key: bytes) -> str:
     return f"{text[:2]}{98 - rest:02d}{body}"
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of an entity; of the same kind and format, and, but for names and e-mail, length."""
     if kind == "name":
         return _name(text, key)
@@ -227,7 +225,7 @@ def _exchanged(key: bytes) -> tuple[dict[str, str], dict[str, str]]:
     return to, {_low(b): a for a, b in to.items()}
 
 
-def named(word: str, key: bytes = KEY) -> str:
+def named(word: str, key: bytes) -> str:
     """The surrogate of one word of a name, the same wherever it stands; no two words share one, capitals apart.
 
     A word that is not listed is permuted; if that gives a listed name, which is another's surrogate, the permutation
@@ -307,7 +305,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
+def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     """The text with surrogates, and kind, from, to (in the text given) and surrogate of each entity."""
     out, entities, at = [], [], 0
     for start, end, kind in find(text):
@@ -318,11 +316,13 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[dict]]:
     return ("".join([*out, text[at:]]), entities) if entities else (text, [])
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with pii_text and pii_entities (kind, start, end, surrogate); rows and other columns stay.
 
     A text without entities comes back unchanged, null as null. Each text is handled on its own, so there is no shuffle;
-    texts of any length are read whole.
+    texts of any length are read whole; an empty table stays empty. Columns named pii_text or pii_entities are replaced,
+    all others stay, whatever their names. Who has the ``key`` (1 to 64 bytes) can undo the surrogates of all kinds; who
+    has not cannot tell them from others of their format.
     """
     kind = pa.struct([("pii_text", pa.string()), ("pii_entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])))])
 
@@ -331,4 +331,8 @@ def replace_pii(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         done = [(None, []) if x is None else replace(x, key) for x in text.to_pylist()]
         return pa.array([{"pii_text": t, "pii_entities": e} for t, e in done], kind)
 
-    return small_batches(docs).withColumn("pii_done", run(F.col("text"))).select(*docs.columns, "pii_done.pii_text", "pii_done.pii_entities")
+    if not 1 <= len(key) <= 64:
+        raise ValueError("a key of 1 to 64 bytes is needed")
+    (name,) = unused(docs.columns, "pii_done")
+    kept = others(docs.columns, "pii_text", "pii_entities")
+    return docs.withColumn(name, run(F.col("text"))).select(*kept, f"{name}.pii_text", f"{name}.pii_entities")

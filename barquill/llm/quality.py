@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import small_batches
+from barquill.llm.names import others, unused
 from barquill.llm.words import LOWER, Words, chunks_of, mix, randoms
 
 #: Bits of a hashed feature, and rated documents that a model is fitted on at most.
@@ -63,8 +63,8 @@ class Ordinal:
 
     def above(self, feature: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """P(grade > g) of each text, for each threshold g."""
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[feature])])
-        score = sums[bounds[1:]] - sums[bounds[:-1]]
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        score = np.bincount(owner, self.weights[feature], len(bounds) - 1)  # each text summed by itself
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
         used = np.flatnonzero(model.weights)
         return pa.table({"feature": [used.astype(np.int32)], "weight": [model.weights[used]], "threshold": [model.thresholds]})
 
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
     learned = texts.mapInArrow(extract, "doc_id long, grade int, feature array<int>").groupBy(F.lit(1).alias("all")).applyInArrow(
         lambda table: learn(table), "feature array<int>, weight array<double>, threshold array<double>"
     )
@@ -150,7 +150,9 @@ def grade(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     """``docs`` with quality_grade (expected), quality_tail (probability of the highest grade) and quality_kept.
 
     A document is kept if the highest grade has a probability of at least ``keep``. A null text is an empty one and is
-    graded by its length alone, like any other. Rows and other columns stay as they are.
+    graded by its length alone, like any other; a text of any length is read whole. Rows and other columns stay as they
+    are, whatever their names, but for columns of the three names given here, which are replaced; an empty table stays
+    empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,9 +162,10 @@ def grade(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
         above = np.concatenate(above) if above else np.zeros((0, 1))
         return pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["quality_grade", "quality_tail"])
 
-    rated = small_batches(docs).withColumn("quality_rated", rate(F.col("text")))
-    out = rated.select(*docs.columns, "quality_rated.quality_grade", "quality_rated.quality_tail")
-    return out.withColumn("quality_kept", F.col("quality_tail") >= keep)
+    (name,) = unused(docs.columns, "quality_rated")
+    made = ("quality_grade", "quality_tail", "quality_kept")
+    rated = docs.withColumn(name, rate(F.col("text"))).select(*others(docs.columns, *made), f"{name}.quality_grade", f"{name}.quality_tail")
+    return rated.withColumn("quality_kept", F.col("quality_tail") >= keep)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:
