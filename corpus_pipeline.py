@@ -13,6 +13,7 @@ from barquill.llm.mixing import mix_sources
 from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
+from barquill.llm.queries import surrogate_key
 from barquill.functions.tables import materialize, shared_dir
 
 
@@ -49,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the text."""
-    done = replace_pii(docs)
+    done = replace_pii(docs, surrogate_key(spark))
     changed = {"text": F.col("pii_text"), "n_chars": F.when(F.size("pii_entities") > 0, F.length("pii_text").cast("long")).otherwise(F.col("n_chars"))}
     return done.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
 
