@@ -101,10 +101,10 @@ def without_repeats(rows, k=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most, chars, ranges", [(1 << 20, 8 << 20, 1 << 14), (50, 2000, 1 << 14), (3, 500, 3)])
-def test_repeats_like_brute_force(spark, docs, most, chars, ranges):
+@pytest.mark.parametrize("most, chars, bucket", [(1 << 20, 8 << 20, 1 << 19), (50, 2000, 400), (3, 500, 5)])
+def test_repeats_like_brute_force(spark, docs, most, chars, bucket):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = substrings.remove_repeats(docs, 13, most=most, chunk_chars=chars, ranges=ranges).collect()
+    got = substrings.remove_repeats(docs, 13, most=most, chunk_bytes=chars, bucket=bucket).collect()
     assert sorted((r.doc_id if r.doc_id is not None else math.inf, r.n_words, r.n_removed, r.kept_sha256) for r in got) == without_repeats(rows)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
