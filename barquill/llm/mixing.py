@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from barquill.functions.tables import materialize
 from barquill.llm.names import others, unused
 
-#: Rows of a source that are ranked together, about.
-CELL_ROWS = 1 << 16
+#: Rows of one source and size step that are ranked together, about; and bits of a hash that part them at most.
+CELL_ROWS, MOST_BITS = 1 << 12, 16
 SEED = "barquill-mix"
 
 
@@ -63,8 +63,9 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     the other. Other columns stay, whatever their names; columns of the three names given here are replaced.
 
     Ranks come from counts of (source, size step, first bits of the hash) cells and a rank inside each cell. There are as
-    many bits as it takes for a cell to have about 65,000 rows if all were of one source and step, so a source that holds
-    a third of all rows is ranked by many tasks at any size, and how many bits there are does not change the order.
+    many bits as it takes for a cell to have about 4000 rows if all were of one source and step, 16 at most (6.5 million
+    cells of a source, whose counts one task adds up), so a source that holds a third of all rows is ranked by many tasks;
+    how many bits there are does not change the order.
     """
     made = ("mix_source_size", "mix_target", "mix_copies")
     step, place, cell, before, rank, offset, size, target = unused(rows.columns, "step", "place", "cell", "before", "rank", "offset", "size", "target")
@@ -72,7 +73,7 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     bits = F.length(F.bin("mix_size"))
     stepped = F.when(F.col("mix_size") == 0, F.lit(0).cast("long")).otherwise(bits * 8 + F.expr("shiftright(mix_size, greatest(length(bin(mix_size)) - 3, 0))"))
     counted = rows if counted is None else counted
-    first = max(0, (counted.count() // CELL_ROWS).bit_length())
+    first = min(MOST_BITS, (counted.count() // CELL_ROWS).bit_length())
     placed = lambda df: df.withColumn(step, stepped).withColumn(place, _hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8)).withColumn(cell, F.shiftright(place, 32 - first) if first else F.lit(0).cast("long"))
     cells = placed(counted).groupBy("source", step, cell).agg(F.count("*").alias("n"), F.sum("mix_size").alias("words"))
     ahead = Window.partitionBy("source").orderBy(step, cell).rowsBetween(Window.unboundedPreceding, -1)
