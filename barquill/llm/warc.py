@@ -1,8 +1,9 @@
 """Legacy ARC archives converted to WARC, written and read back.
 
 An ARC file is a version block (``filedesc://`` line, version line, field names) and records: a header line of fields
-parted by single spaces, the last of them the length of the payload, then the payload and a line feed. Version 1 headers
-have five fields, version 2 headers ten.
+parted by single spaces, the last of them the length of what follows, then so many bytes and a line feed. Version 1
+headers have five fields, version 2 headers ten. What follows the header of an http URL is the whole response: status
+line, headers, empty line, body. Archives may be gzipped, also record by record.
 """
 
 from __future__ import annotations
@@ -10,80 +11,129 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+_START = rb"(?P<url>[A-Za-z][A-Za-z0-9+.-]*:[^\r\n]*?) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{4,17}|-) (?P<mime>[^\r\n]*?)"
+_HEADER = {
+    1: re.compile(_START + rb" (?P<length>\d{1,18})\r?\n"),
+    2: re.compile(_START + rb" (?P<code>\d{1,3}|-) (?P<sum>\S+) (?P<location>\S+) (?P<offset>\d+|-) (?P<file>\S+) (?P<length>\d{1,18})\r?\n"),
+}
 CRLF = b"\r\n"
 #: Payloads of fewer bytes are stored again rather than referred to.
 LEAST_REVISIT = 1000
-#: Bytes of pages that go into one archive file, about.
-FILE_BYTES = 16 << 20
+#: Bytes of an archive file, compressed for WARC; one record may be longer.
+ARC_BYTES, WARC_BYTES = 4 << 20, 16 << 20
 
 
 class ArcRecord(NamedTuple):
+    """``kind`` is ``record``, ``version`` (the version block) or ``skipped`` (bytes without a usable header; mime says why)."""
+
     url: str
     ip: str
     date: str
     mime: str
-    status: str | None
-    payload: bytes
+    content: bytes
+    kind: str = "record"
+    offset: int = 0
 
 
 def write_arc(records: list[ArcRecord], version: int, name: str = "pages.arc") -> bytes:
     """An ARC file of ``records``; a field that is empty is written as ``-``, white space in a URL as %20."""
-    plain = lambda x: "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in x.encode()).encode("latin-1").decode("utf-8") or "-"
+    plain = lambda x: b"".join(b"%%%02X" % b if b <= 32 or b == 127 else bytes([b]) for b in x.encode()) or b"-"
     about = f"{version} 0 barquill\n{ARC_FIELDS[version]}\n".encode()
     out = [f"filedesc://{name} 0.0.0.0 19960101000000 text/plain ".encode(), b"200 - - 0 - " if version == 2 else b"", str(len(about)).encode(), b"\n", about, b"\n"]
     at = sum(map(len, out))
     for r in records:
-        fields = [plain(r.url), plain(r.ip), plain(r.date), plain(r.mime)]
+        head = [plain(r.url), plain(r.ip), plain(r.date), plain(r.mime)]
         if version == 2:
-            fields += [r.status or "200", "-", "-", str(at), name]
-        head = " ".join([*fields, str(len(r.payload))]).encode() + b"\n"
-        out += [head, r.payload, b"\n"]
-        at += len(head) + len(r.payload) + 1
+            head += [str(http_status(r.content) or "-").encode(), b"-", b"-", str(at).encode(), name.encode()]
+        line = b" ".join([*head, str(len(r.content)).encode()]) + b"\n"
+        out += [line, r.content, b"\n"]
+        at += len(line) + len(r.content) + 1
     return b"".join(out)
 
 
+def _said(x: bytes) -> str:
+    try:
+        return x.decode()
+    except UnicodeDecodeError:
+        return x.decode("latin-1")
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file of either version; the payload is taken by its declared length, whatever it holds.
+    """The records of an ARC file of either version in order, taken by their declared lengths, whatever they hold.
 
-    A header with a count of fields that the file's version doesn't have, a length that is no number or one that runs
-    past the end of the data raises ValueError. Empty data has no records.
+    The version block comes first, with kind ``version``; a file without one is read as version 1. Where no usable header
+    stands (other fields than the version's, a length that is no number or runs past the end), bytes are passed over up to
+    the next header whose declared length ends where a header or the end of the file follows, or else to the end; what was
+    passed over comes as one record of kind ``skipped``. Empty data has no records.
     """
-    stream, size = io.BytesIO(data), len(data)
-    version = None
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.strip():
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    size, at, version = len(data), 0, 1
+
+    def header(at: int) -> re.Match | None:
+        m = _HEADER[version].match(data, at)
+        return m if m and m.end() + int(m["length"]) <= size else None
+
+    def after(m: re.Match) -> int:
+        """Where the next header should stand: line ends between records are not counted in lengths."""
+        to = m.end() + int(m["length"])
+        while data[to : to + 1] in (b"\n", b"\r"):
+            to += 1
+        return to
+
+    first = re.match(rb"filedesc:[^\r\n]* (\d{1,9})\r?\n", data)
+    if first and first.end() + int(first[1]) <= size:
+        block = data[first.end() : first.end() + int(first[1])]
+        version = 2 if block[:1] == b"2" else 1
+        fields = first[0].split(b" ")
+        yield ArcRecord(_said(fields[0]), "-", _said(fields[2]) if len(fields) > 2 else "-", "text/plain", block, "version")
+        at = first.end() + int(first[1])
+    while at < size:
+        if data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
             continue
-        fields = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
-        length = int(fields[-1]) if fields[-1].isdigit() else -1
-        if length < 0 or stream.tell() + length > size:
-            raise ValueError(f"ARC header without a usable length: {line[:200]!r}")
-        payload = stream.read(length)
-        if version is None:
-            if not fields[0].startswith("filedesc:") or payload[:1] not in (b"1", b"2"):
-                raise ValueError(f"no ARC version block: {line[:200]!r}")
-            version = int(payload[:1])
-            names = ARC_FIELDS[version].split(" ")
+        m = header(at)
+        if m is None:
+            lo = at
+            while m is None or (after(m) < size and header(after(m)) is None):
+                at = data.find(b"\n", at) + 1
+                if not at:
+                    break
+                m = header(at)
+            at = at or size
+            yield ArcRecord("", "-", "-", "no usable header", data[lo:at], "skipped", lo)
             continue
-        if len(fields) != len(names):
-            raise ValueError(f"ARC version {version} has {len(names)} fields: {line[:200]!r}")
-        got = dict(zip(names, fields, strict=True))
-        yield ArcRecord(got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], got.get("Result-code"), payload)
+        to = m.end() + int(m["length"])
+        yield ArcRecord(_said(m["url"]), _said(m["ip"]), _said(m["date"]), _said(m["mime"]), data[m.end() : to], "record", at)
+        at = to
+
+
+def http_status(content: bytes) -> int | None:
+    m = re.match(rb"HTTP/\d\S* +(\d{3})(?!\d)", content)
+    return int(m[1]) if m else None
+
+
+def http_parts(content: bytes) -> tuple[bytes, bytes]:
+    """Head, with the empty line that ends it, and body of an HTTP response; all is body if it is none."""
+    if not content.startswith(b"HTTP/"):
+        return b"", content
+    m = re.search(rb"\r?\n\r?\n", content)
+    return (content[: m.end()], content[m.end() :]) if m else (content, b"")
 
 
 def warc_date(arc_date: str) -> str:
@@ -93,41 +143,59 @@ def warc_date(arc_date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
-def record_id(url: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest}')}>"
+def record_id(archive: str, offset: int) -> str:
+    """The same for the same record of the same archive."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive} {offset}')}>"
 
 
-def warc_record(r: ArcRecord, refers_to: tuple[str, str] | None = None) -> bytes:
-    """A WARC/1.1 record for an ARC record, without the two line ends that close it.
+def warc_record(archive: str, r: ArcRecord, refers_to: tuple[str, str, str] | None = None) -> bytes:
+    """A WARC/1.1 record for one of an ARC file, with the two line ends that close it.
 
-    Type, date, id and digests are made from what the ARC header and payload say; ``refers_to`` (URL and date of a
-    record with the same payload) makes it a revisit, which has no payload of its own.
+    An HTTP response keeps its status line and headers; its payload, which the payload digest is of, is its body as it
+    stands in the archive. Anything else is a ``resource`` of the type that the ARC header names, but for dns: URLs,
+    which are responses. The version block becomes ``warcinfo``, which the other records name. ``refers_to`` (id, URL and
+    date of a record with the same payload) makes a response a ``revisit``, which has a head but no payload of its own.
     """
-    digest = hashlib.sha1(r.payload)
-    b32, date = base64.b32encode(digest.digest()).decode(), warc_date(r.date)
-    head = [f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {record_id(r.url, date, b32)}", f"WARC-Date: {date}", f"WARC-Target-URI: {r.url}"]
-    if r.ip not in ("-", "0.0.0.0", ""):
-        head.append(f"WARC-IP-Address: {r.ip}")
-    status = r.status if r.status and r.status.isdigit() else "200"
-    http = f"HTTP/1.1 {status} -\r\nContent-Type: {r.mime if r.mime != '-' else 'application/octet-stream'}\r\nContent-Length: {len(r.payload)}\r\n\r\n".encode()
-    body = http + (b"" if refers_to else r.payload)
-    head += [f"WARC-Payload-Digest: sha1:{b32}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}"]
-    if refers_to:
-        head += [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {refers_to[0]}",
-            f"WARC-Refers-To-Date: {refers_to[1]}", f"WARC-Refers-To: {record_id(refers_to[0], refers_to[1], b32)}",
-        ]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + CRLF * 2 + body
+    head, body = http_parts(r.content) if r.kind == "record" and re.match("https?:", r.url, re.I) else (b"", r.content)
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    plain = lambda x: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", x)
+    about = record_id(archive, 0)
+    if r.kind == "version":
+        block = f"software: barquill\r\nformat: WARC File Format 1.1\r\nconverted-from: {plain(archive)}\r\n".encode() + b"".join(b"arc-version-block: " + x + CRLF for x in r.content.split(b"\n") if x.strip())
+        lines = ["WARC-Type: warcinfo", f"WARC-Record-ID: {about}", f"WARC-Date: {warc_date(r.date)}", f"WARC-Filename: {plain(archive)}", "Content-Type: application/warc-fields"]
+    else:
+        revisit = refers_to is not None and bool(head)
+        block = head if revisit else r.content
+        kind = "revisit" if revisit else "response" if head or r.url.lower().startswith("dns:") else "resource"
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(archive, r.offset)}", f"WARC-Date: {warc_date(r.date)}", f"WARC-Target-URI: {plain(r.url)}", f"WARC-Warcinfo-ID: {about}"]
+        if r.ip not in ("-", "0.0.0.0", ""):
+            lines.append(f"WARC-IP-Address: {r.ip}")
+        lines.append(f"WARC-Payload-Digest: sha1:{digest(body)}")
+        if revisit:
+            lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"WARC-Refers-To-Target-URI: {plain(refers_to[1])}", f"WARC-Refers-To-Date: {warc_date(refers_to[2])}"]
+        mime = re.sub(r"[\x00-\x1f\x7f]", "", r.mime)
+        lines.append(f"Content-Type: {'application/http; msgtype=response' if head else mime if mime not in ('-', '') else 'application/octet-stream'}")
+    lines += [f"WARC-Block-Digest: sha1:{digest(block)}", f"Content-Length: {len(block)}"]
+    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + CRLF * 2 + block + CRLF * 2
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What the members of a gzip file hold, one after the other."""
+    while data:
+        one = zlib.decompressobj(31)
+        found = one.decompress(data)
+        if not one.eof:
+            raise ValueError("gzip member cut off")
+        data = one.unused_data
+        yield found
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record, by declared length; data that is cut off raises ValueError."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
         end = data.find(CRLF * 2, at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+        lines = data[at : max(end, at)].decode("utf-8").split("\r\n")
         if end < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -138,105 +206,161 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-def http_payload(block: bytes) -> tuple[int, bytes]:
-    """Declared length and bytes of an HTTP response's body."""
-    head, _, body = block.partition(CRLF * 2)
-    declared = next((int(x.partition(b":")[2]) for x in head.split(CRLF) if x.lower().startswith(b"content-length:")), len(body))
-    return declared, body
-
+def arc_files(pages: DataFrame, each: int = ARC_BYTES) -> DataFrame:
+    """(archive, arc) from (url, html, date): ARC files of about ``each`` bytes, of versions 1 and 2 in turn.
 
-def arc_files(pages: DataFrame) -> DataFrame:
-    """(arc, refers_to) from (url, html, date, refers_url, refers_date): small ARC files, of versions 1 and 2 in turn.
-
-    refers_to has a (url, date) or null for each record of the file, in order. ARC URLs carry no white space; null html
-    is an empty payload.
+    Records are HTTP responses; null html is an empty body, and ARC URLs carry no white space.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version = 1
+        task, n, size = TaskContext.get().partitionId(), 0, 0
+        held: list[ArcRecord] = []
+
+        def file() -> pa.RecordBatch:
+            name = f"pages-{task:06d}-{n:06d}.arc"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([write_arc(held, 1 + n % 2, name)], pa.binary())], names=["archive", "arc"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                rows = batch.slice(lo, 100).to_pylist()
-                records = [ArcRecord(r["url"] or "", "0.0.0.0", r["date"], "text/html", "200", (r["html"] or "").encode()) for r in rows]
-                refers = [{"url": r["refers_url"], "date": warc_date(r["refers_date"])} if r["refers_url"] else None for r in rows]
-                kind = pa.list_(pa.struct([("url", pa.string()), ("date", pa.string())]))
-                yield pa.RecordBatch.from_arrays([pa.array([write_arc(records, version)], pa.binary()), pa.array([refers], kind)], names=["arc", "refers_to"])
-                version = 3 - version
+            for row in batch.to_pylist():
+                body = (row["html"] or "").encode()
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+                held.append(ArcRecord(row["url"] or "", "0.0.0.0", row["date"], "text/html", head + body))
+                size += len(head) + len(body)
+                if size >= each:
+                    yield file()
+                    held, n, size = [], n + 1, 0
+        if held:
+            yield file()
 
-    return pages.select("url", "html", "date", "refers_url", "refers_date").mapInArrow(build, "arc binary, refers_to array<struct<url:string,date:string>>")
+    return pages.select("url", "html", "date").mapInArrow(build, "archive string, arc binary")
 
 
-def convert_arc(arcs: DataFrame) -> DataFrame:
-    """(record string): a WARC record for each record of the ARC files in ``arcs`` (arc, refers_to)."""
+_RECORD = "archive string, offset long, kind string, url string, ip string, date string, mime string, http boolean, payload_bytes long, payload_digest string, record_id string"
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def arc_records(arcs: DataFrame, content: bool = True) -> DataFrame:
+    """A row for each record of the ARC files in ``arcs`` (archive, arc): where it is, its header, its payload's size and
+    SHA-1 (bare hex), whether it is an HTTP response, the id of its WARC record, and with ``content`` the bytes after its header. See ``read_arc`` for
+    ``kind``; a null file has no records."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for arc, refers in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                records = [
-                    warc_record(r, (to["url"], to["date"]) if to else None).decode()
-                    for r, to in zip(read_arc(arc.as_py() or b""), refers or [], strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(records, pa.string())], names=["record"])
+            for archive, arc in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = []
+                for r in read_arc(arc.as_py() or b""):
+                    head, body = http_parts(r.content) if re.match("https?:", r.url, re.I) else (b"", r.content)
+                    row = {"archive": archive or "", "offset": r.offset, "kind": r.kind, "url": r.url, "ip": r.ip, "date": r.date, "mime": r.mime, "http": bool(head)}
+                    row |= {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(), "record_id": record_id(archive or "", r.offset)}
+                    rows.append(row | ({"content": r.content} if content else {}))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows)
 
-    return arcs.mapInArrow(convert, "record string")
+    return arcs.select("archive", "arc").mapInArrow(parse, _RECORD + ", content binary" * content)
 
 
-def write_archives(records: DataFrame, path: str, per_file: int) -> None:
-    """Write records as gzipped WARC files of at most ``per_file`` records: two line ends close each, as the format asks."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+_EMPTY = gzip.compress(b"", mtime=0)
 
 
-def read_archives(spark, path: str) -> DataFrame:
-    """(url, record_type, payload_bytes, payload_digest, refers_url) of every record of the WARC files in ``path``.
+def write_archives(records: DataFrame, path: str, each: int = WARC_BYTES) -> None:
+    """Write rows of ``arc_records`` with refers_to (id, url and date of another, or null) as WARC files of about ``each`` bytes.
 
-    The digest is that of the payload in the record, or of the one that a revisit refers to, in bare lower-case hex; a
-    response whose payload doesn't match its digest or its length raises ValueError.
+    Every record is a gzip member of its own; what was skipped in an ARC file is not written. Spark's text writer takes
+    strings of any bytes; it adds a byte of its own, which is the zero that ends a member.
     """
 
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def file() -> pa.RecordBatch:
+            data = b"".join(held)
+            data = data if data[-1] == 0 else data + _EMPTY  # a member ends in its length, whose last byte is 0 under 16 MB
+            return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["file"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                to = row["refers_to"]
+                r = ArcRecord(row["url"], row["ip"], row["date"], row["mime"], row["content"], row["kind"], row["offset"])
+                held.append(gzip.compress(warc_record(row["archive"], r, (to["id"], to["url"], to["date"]) if to else None), 6, mtime=0))
+                size += len(held[-1])
+                if size >= each:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
+
+    columns = ("archive", "offset", "kind", "url", "ip", "date", "mime", "content", "refers_to")
+    files = records.where("kind <> 'skipped'").select(*columns).mapInArrow(convert, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(url, record_type, payload_bytes, payload_digest, refers_url) of every record but warcinfo of the WARC files in ``path``.
+
+    The digest is that of the payload in the record, or of the one that a revisit refers to, in bare lower-case hex, and
+    the size is that which the head of a revisit declares, null if it does not. A record whose block or payload doesn't
+    match its digest raises ValueError.
+    """
+    names = ["url", "record_type", "payload_bytes", "payload_digest", "refers_url"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+
+    def check(head: dict[str, str], block: bytes) -> tuple | None:
+        if head["warc-type"] == "warcinfo":
+            return None
+        hexed = lambda name: base64.b32decode(head[name].partition(":")[2]).hex()
+        top, body = http_parts(block) if head["content-type"].startswith("application/http") else (b"", block)
+        size, digest = len(body), hexed("warc-payload-digest")
+        if head["warc-type"] == "revisit":
+            size = next((int(x.partition(b":")[2]) for x in top.splitlines() if x.lower().startswith(b"content-length:")), None)
+        elif hashlib.sha1(body).hexdigest() != digest:
+            raise ValueError(f"damaged payload of {head['warc-record-id']}")
+        if hashlib.sha1(block).hexdigest() != hexed("warc-block-digest"):
+            raise ValueError(f"damaged block of {head['warc-record-id']}")
+        return head["warc-target-uri"], head["warc-type"], size, digest, head.get("warc-refers-to-target-uri")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for head, block in read_warc(content.as_py()):
-                    size, body = http_payload(block)
-                    digest = base64.b32decode(head["warc-payload-digest"].partition(":")[2]).hex()
-                    if head["warc-type"] == "response" and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
-                        raise ValueError(f"damaged record {head['warc-record-id']}")
-                    rows.append((head["warc-target-uri"], head["warc-type"], size, digest, head.get("warc-refers-to-target-uri")))
-                names = ["url", "record_type", "payload_bytes", "payload_digest", "refers_url"]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                rows = [found for member in members(content.as_py()) for record in read_warc(member) if (found := check(*record))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(read, "url string, record_type string, payload_bytes long, payload_digest string, refers_url string")
 
 
+def convert_archives(arcs: DataFrame, path: str, key: Column, least: int = LEAST_REVISIT) -> None:
+    """Convert the ARC files in ``arcs`` (archive, arc) to WARC files in ``path``.
+
+    Of HTTP responses with equal payloads of at least ``least`` bytes the one with the largest ``key`` (made of columns
+    of ``arc_records``; null is smallest) is stored, the others with another key are revisits of it. Archives are parsed
+    twice: once for sizes and digests, once for the records, which meet what their digest is shared by in one shuffle,
+    unless that is small enough for Spark to send it to all.
+    """
+    web = F.col("http") & (F.col("kind") == "record") & (F.col("payload_bytes") >= least)
+    index = arc_records(arcs, content=False).where(web).withColumn("key", key)
+    shared = index.groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("m"), F.max(F.struct("key", "record_id", "url", "date")).alias("s")).where("m > 1")
+    shared = shared.select(F.col("payload_digest").alias("of"), F.col("payload_bytes").alias("of_bytes"), "s")
+    rows = arc_records(arcs).withColumn("key", key)
+    rows = rows.join(shared, (F.col("payload_digest") == F.col("of")) & (F.col("payload_bytes") == F.col("of_bytes")) & web, "left")
+    other = F.col("s").isNotNull() & ~F.col("key").eqNullSafe(F.col("s.key"))
+    rows = rows.withColumn("refers_to", F.when(other, F.struct(F.col("s.record_id").alias("id"), F.col("s.url").alias("url"), F.col("s.date").alias("date"))))
+    write_archives(rows, path)
+
+
 def archive_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as WARC archives in ``path`` by way of ARC, and read them back.
+    """Write ``pages`` (page_id, url, html; other columns are ignored) as ARC, convert that to WARC in ``path``, and read it back.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the largest page_id is stored, the others
-    refer to it. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, one row for each page. Null
-    html is empty, null url is none. A null page_id is smaller than any other; of rows with the same page_id and
-    payload, all count as the one that is stored.
+    refer to it. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, one row for each page; none for
+    an empty table. Null html is empty, null url is none. A null page_id is smaller than any other; of rows with the same
+    page_id and payload, all count as the one that is stored. A page of any length is one record, held by one task.
 
-    The archived URL ends in a fragment with the page's id. Payloads move in one shuffle, to meet the largest id of
-    their digest; digests of which there is one are not joined. A file holds a bounded number of records.
+    The archived URL ends in a fragment with the page's id; one that is no http URL gets that scheme in front.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.when(F.col("bytes") >= least, F.sha1(payload)))
-    shared = rows.where("digest is not null").groupBy("digest", "bytes").agg(F.count("*").alias("m"), F.max(F.struct("page_id", "url")).alias("stored")).where("m > 1")
-    shared = shared.select(F.col("digest").alias("of"), F.col("bytes").alias("of_bytes"), F.col("stored.page_id").alias("stored_id"), F.col("stored.url").alias("stored_url"))
-    rows = rows.join(shared, (F.col("digest") == F.col("of")) & (F.col("bytes") == F.col("of_bytes")), "left")
-    refers = F.col("stored_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored_id"))
-    tag = lambda url, page_id: F.concat(url, F.lit("#page-"), F.coalesce(page_id.cast("string"), F.lit("")))
-    date = F.lit("20240101000000")
-    rows = rows.select(
-        tag(F.col("url"), F.col("page_id")).alias("url"), "html", date.alias("date"),
-        F.when(refers, tag(F.col("stored_url"), F.col("stored_id"))).alias("refers_url"), date.alias("refers_date"),
-    )
-    write_archives(convert_arc(arc_files(rows)), path, per_file=1000)
+    url = F.coalesce("url", F.lit(""))
+    tagged = F.concat(F.when(url.rlike("^(?i)https?:"), url).otherwise(F.concat(F.lit("http://"), url)), F.lit("#page-"), F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("")))
+    number = lambda x: F.regexp_extract(x, r"#page-(-?\d+)$", 1).try_cast("long")
+    arcs = arc_files(pages.select(tagged.alias("url"), "html", F.lit("20240101000000").alias("date")))
+    convert_archives(arcs, path, number(F.col("url")), least)
     back = read_archives(pages.sparkSession, path)
-    page = lambda url: F.regexp_extract(url, r"#page-(-?\d*)$", 1)
-    number = lambda x: F.when(x != "", x.cast("long"))
-    return back.select(number(page(F.col("url"))).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(page(F.col("refers_url"))).alias("refers_to"))
+    return back.select(number(F.col("url")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_url")).alias("refers_to"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import math
 import re
@@ -230,16 +232,66 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+HTTP = b"HTTP/1.0 404 Not Found\r\nServer: x\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n"
+LATIN, BINARY = "caf\u00e9 \u00fc".encode("latin-1"), bytes(range(256)) * 8
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
-    records = [warc.ArcRecord("http://x y", "1.2.3.4", "2001020304", "text/html", "200", b"a\nhttp://fake 0 0 0 9\n"), warc.ArcRecord("u", "", "", "", None, b"")]
-    got = list(warc.read_arc(warc.write_arc(records, version)))
-    assert [(r.url, r.ip, r.payload) for r in got] == [("http://x%20y", "1.2.3.4", records[0].payload), ("u", "-", b"")]
-    assert warc.warc_date(got[0].date) == "2001-02-03T04:00:00Z" and warc.warc_date("-") == "0001-01-01T00:00:00Z"
-    with pytest.raises(ValueError):
-        list(warc.read_arc(warc.write_arc(records, version)[:-4] if records[-1].payload else warc.write_arc(records[:1], version)[:-9]))
-    head, block = next(warc.read_warc(warc.warc_record(got[0]) + b"\r\n\r\n"))
-    assert head["warc-type"] == "response" and warc.http_payload(block)[1] == records[0].payload
+    fake = b"a\nhttp://fake 0 0 0 9\n"
+    records = [warc.ArcRecord("http://x y", "1.2.3.4", "2001020304", "text/html", HTTP + fake), warc.ArcRecord("u:", "", "", "", b""), warc.ArcRecord("http://z", "9.9.9.9", "20010203040506", "text/html", HTTP + LATIN)]
+    data = warc.write_arc(records, version, "old.arc")
+    for packed in (data, gzip.compress(data), gzip.compress(data[:100]) + gzip.compress(data[100:])):
+        got = list(warc.read_arc(packed))
+        assert [r.kind for r in got] == ["version", "record", "record", "record"]
+        assert [(r.url, r.ip, r.content) for r in got[1:]] == [("http://x%20y", "1.2.3.4", records[0].content), ("u:", "-", b""), ("http://z", "9.9.9.9", HTTP + LATIN)]
+    assert warc.warc_date(got[1].date) == "2001-02-03T04:00:00Z" and warc.warc_date("-") == "0001-01-01T00:00:00Z"
+    read = [next(warc.read_warc(warc.warc_record("old.arc", r))) for r in got]
+    assert [h["warc-type"] for h, _ in read] == ["warcinfo", "response", "resource", "response"]
+    assert f"arc-version-block: {warc.ARC_FIELDS[version]}".encode() in read[0][1] and read[3][0]["warc-warcinfo-id"] == read[0][0]["warc-record-id"]
+    assert read[3][1] == HTTP + LATIN and base64.b32decode(read[3][0]["warc-payload-digest"][5:]) == hashlib.sha1(LATIN).digest()
+    assert len({h["warc-record-id"] for h, _ in read}) == 4
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_damaged_arc_headers_are_passed_over(version):
+    records = [warc.ArcRecord(f"http://{i}", "1.1.1.1", "20010203040506", "text/html", HTTP + BINARY + b"%d" % i) for i in range(4)]
+    data = warc.write_arc(records, version)
+    for bad in (data.replace(b"http://1 1.1.1.1", b"http://1 1.1.1.1.and more x"), data.replace(b"http://1 1.1.1.1 20010203040506", b"http://1 1.1.1.1 in 2001")):
+        got = list(warc.read_arc(bad))
+        assert [r.kind for r in got] == ["version", "record", "skipped", "record", "record"] and [r.content for r in got if r.kind == "record"] == [records[i].content for i in (0, 2, 3)]
+    got = list(warc.read_arc(data[:-50]))
+    assert [r.kind for r in got] == ["version", "record", "record", "record", "skipped"]
+    assert [r.kind for r in warc.read_arc(b"no archive\nat all")] == ["skipped"] and list(warc.read_arc(b"")) == []
+
+
+def test_real_archives_are_converted(spark, tmp_path):
+    old = [warc.ArcRecord("http://a/1", "1.2.3.4", "19970101000000", "text/html", HTTP + BINARY), warc.ArcRecord("http://a/2", "1.2.3.4", "19980101000000", "text/html", HTTP.replace(b"404", b"200") + BINARY), warc.ArcRecord("http://a/3", "-", "1999", "text/html", HTTP + LATIN), warc.ArcRecord("dns:a", "-", "1999", "text/dns", b"19990101 a. IN A 1.2.3.4"), warc.ArcRecord("http://bare", "-", "1999", "image/gif", BINARY)]
+    big = warc.ArcRecord("http://big", "-", "1999", "text/html", HTTP + np.random.default_rng(1).integers(0, 256, 17 << 20, np.uint8).tobytes())
+    arcs = [("one.arc", warc.write_arc(old[:2], 1, "one.arc")), ("two.arc.gz", gzip.compress(warc.write_arc(old[2:], 2, "two.arc"))), ("bad", b"x"), (None, None), ("big", warc.write_arc([big], 1, "big"))]
+    arcs = spark.createDataFrame(arcs, "archive string, arc binary")
+    assert arc_kinds(arcs) == {"version": 3, "record": 6, "skipped": 1}
+    warc.convert_archives(arcs, f"file://{tmp_path}/w", F.col("date"))
+    got = {r.url: (r.record_type, r.payload_bytes, r.payload_digest, r.refers_url) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+    assert got == {
+        "http://a/1": ("revisit", None, sha(BINARY), "http://a/2"), "http://a/2": ("response", 2048, sha(BINARY), None), "http://a/3": ("response", len(LATIN), sha(LATIN), None),
+        "dns:a": ("response", 24, sha(old[3].content), None), "http://bare": ("resource", 2048, sha(BINARY), None), "http://big": ("response", 17 << 20, sha(big.content[len(HTTP) :]), None),
+    }
+
+
+def arc_kinds(arcs):
+    return {r.kind: r["count"] for r in warc.arc_records(arcs, content=False).groupBy("kind").count().collect()}
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a", "".join(np.random.default_rng(i).choice(list("abcdefgh"), 20_000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    records = warc.arc_records(warc.arc_files(pages.withColumn("date", F.lit("1999")), each=100_000)).withColumn("refers_to", F.lit(None).cast("struct<id:string,url:string,date:string>"))
+    warc.write_archives(records, f"file://{tmp_path}/w", each=50_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 70_000
+    back = warc.read_archives(spark, f"file://{tmp_path}/w")
+    assert back.count() == 60 and back.where("payload_bytes = 20000").count() == 60
 
 
 KEY = b"of the tests"
