@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquill.llm.vectors import by_length, search, usable
+from barquill.functions.tables import materialize
+from barquill.llm.vectors import Found, best, by_length, data_blocks, search, usable
 
 #: Bits of a code, and of each of its substrings.
 BITS, PART = 128, 16
+#: Rows that are indexed together.
+INDEX_BLOCK = 1 << 15
 #: Rows that codes are learned from (fewer if there are fewer), and rounds of learning.
 SAMPLE, ROUNDS = 8192, 25
 #: Share of a sampled row's true neighbours in the sample that the radius has to take in.
@@ -85,12 +90,10 @@ def flips(most: int) -> np.ndarray:
 class Index:
     """For each substring, the rows of a block by its value."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, rows: np.ndarray | None = None):
         self.codes = codes
-        self.rows, self.starts = [], []
-        for j in range(codes.shape[1]):
-            self.rows.append(np.argsort(codes[:, j], kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << PART))]))
+        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32) if rows is None else rows
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << PART))]) for j in range(codes.shape[1])]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code is at most ``radius`` bits from ``code``, by probing buckets of near substrings."""
@@ -106,17 +109,74 @@ class Index:
         return rows[distance(self.codes[rows], code) <= radius]
 
 
+class Indexed:
+    """Vectors of a block and the index of their codes; without codes, every row is ranked."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, codes: Codes | None, index: Index | None):
+        self.ids, self.matrix, self.codes, self.index, self.width = ids, matrix, codes, index, matrix.shape[1]
+
+    def near(self, code: np.ndarray, own: int, k: int) -> np.ndarray:
+        """Rows within the radius, which is widened where it holds fewer than k."""
+        radius = self.codes.radius
+        while True:
+            rows = self.index.within(code, radius)
+            rows = rows[self.ids[rows] != own]
+            if len(rows) >= k or radius >= BITS:
+                return rows
+            radius = min(BITS, radius + 6)
+
+    def search(self, query_ids: np.ndarray, query: np.ndarray, k: int, found: list[Found]) -> list[Found]:
+        codes = self.codes.query_codes(query) if self.codes else [None] * len(query)
+        out = []
+        for code, vector, own, (ids, scores) in zip(codes, query, query_ids, found, strict=True):
+            rows = np.flatnonzero(self.ids != own) if code is None else self.near(code, own, k)
+            more = np.einsum("ij,j->i", self.matrix[rows], vector)
+            out.append(best(np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, more]), k))
+        return out
+
+
+_INDEX = "width int, ids binary, vectors binary, codes binary, rows binary"
+
+
+def _build(learned: dict[int, Codes]):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix in data_blocks(batches, INDEX_BLOCK):
+            width, codes, rows = matrix.shape[1], b"", b""
+            if width in learned:
+                made = learned[width].codes(matrix)
+                codes, rows = made.tobytes(), Index(made).rows.tobytes()
+            row = {"width": width, "ids": ids.astype(np.int64).tobytes(), "vectors": matrix.astype(np.float64).tobytes(), "codes": codes, "rows": rows}
+            yield pa.RecordBatch.from_arrays([pa.array([row["width"]], pa.int32()), *(pa.array([row[c]], pa.binary()) for c in ("ids", "vectors", "codes", "rows"))], names=list(row))
+
+    return build
+
+
+def _blocks(learned: dict[int, Codes]):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Indexed]:
+        for batch in batches:
+            for width, ids, vectors, codes, rows in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                index = None
+                if codes:
+                    made = np.frombuffer(codes, np.uint16).reshape(len(ids), -1)
+                    index = Index(made, np.frombuffer(rows, np.int32).reshape(made.shape[1], -1))
+                yield Indexed(ids, np.frombuffer(vectors, np.float64).reshape(len(ids), width), learned.get(width), index)
+
+    return blocks
+
+
 def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for every ``every``-th id the k largest inner products among the rows found.
 
-    ``vectors`` has vec_id and embedding. Codes of 128 bits are learned from at most ``sample`` rows (those with the
-    smallest hashes of their ids), as is the Hamming radius: the one that takes in 96 % of the nearest rows that sampled
-    rows have in the sample, which is more than it takes for the nearer ones in all rows. Every row is indexed by the
-    eight substrings of its code. A query probes, in each block of rows, all substring values that a code within the
-    radius can have somewhere, keeps the codes within the radius and ranks their rows by exact inner product in double
-    precision; where that gives fewer than k rows of a block, the radius is widened. Rows with the query's own id are no
-    candidates, ties go to the smaller vec_id. Rows with a null id or vector, an empty or zero vector, or a null or
-    non-finite component take no part.
+    ``vectors`` has vec_id and embedding; other columns are ignored. Codes of 128 bits are learned from at most
+    ``sample`` rows (those with the smallest hashes of their ids), as is the Hamming radius: the one that takes in 96 %
+    of the nearest rows that sampled rows have in the sample, which is more than it takes for the nearer ones in all rows.
+    Every row is indexed by the eight substrings of its code; the index is written once, in blocks. A query probes, in
+    each block, all substring values that a code within the radius can have somewhere, keeps the codes within the radius
+    and ranks their rows by exact inner product in double precision; where that gives fewer than k rows of a block, the
+    radius is widened. In a length of vector so rare that no row of it is in the sample all rows are ranked. Rows with
+    the query's own id are no candidates, ties go to the smaller vec_id. Rows with a null id or vector, an empty or zero
+    vector, or a null or non-finite component take no part; an empty table gives no rows.
     """
     rows = usable(vectors).where(F.exists("embedding", lambda x: x != 0))
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
@@ -126,26 +186,6 @@ def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample:
     for batch in picked.to_batches():
         for _, matrix in by_length(batch.column(0), batch.column(1)):
             learned[matrix.shape[1]] = Codes(matrix, norms[matrix.shape[1]], k)
-
-    def scan(query_ids, query, ids, matrix, k):
-        d = matrix.shape[1]
-        if d not in learned:  # a length so rare that no row of it is in the sample
-            learned[d] = Codes(matrix[:SAMPLE], norms[d], k)
-        codes = learned[d]
-        index = Index(codes.codes(matrix))
-        out = []
-        for code, vector, own in zip(codes.query_codes(query), query, query_ids, strict=True):
-            radius = codes.radius
-            while True:
-                near = index.within(code, radius)
-                near = near[ids[near] != own]
-                if len(near) >= k or radius >= BITS:
-                    break
-                radius = min(BITS, radius + 6)
-            scores = np.einsum("ij,j->i", matrix[near], vector)
-            top = np.lexsort((ids[near], -scores))[:k]
-            out.append((near[top], scores[top]))
-        return out
-
-    found = search(rows, every, k, scan, "double")
+    index = materialize(rows.mapInArrow(_build(learned), _INDEX), "index")
+    found = search(index, _blocks(learned), rows.where(F.col("vec_id") % every == 0), k, "double")
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
