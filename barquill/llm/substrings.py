@@ -24,9 +24,11 @@ from barquill.llm.words import Words, chunks_of, words_of
 
 #: Suffixes that begin with the prefixes of a group, at most about, before those without company are left out; windows
 #: that are compared by fingerprint in one bucket, about; bytes of text that one chunk of documents holds, about.
-GROUP_SUFFIXES, BUCKET_WINDOWS, CHUNK_BYTES = 1 << 19, 1 << 19, 8 << 20
-#: Counters for each length of prefix: so many for each group, within these limits (powers of two).
-CELLS_A_GROUP, LEAST_CELLS, MOST_CELLS = 64, 12, 20
+GROUP_SUFFIXES, BUCKET_WINDOWS, CHUNK_BYTES = 1 << 19, 1 << 20, 8 << 20
+#: Counters for each length of prefix: so many for each group, within these limits (powers of two), in so many parts.
+CELLS_A_GROUP, LEAST_CELLS, MOST_CELLS, PARTS = 16, 12, 20, 16
+#: Bits of a fingerprint, beside its bucket.
+BITS = 28
 
 
 def prefix_lengths(window: int) -> list[int]:
@@ -39,6 +41,8 @@ def _cells(words: Words, hashed: np.ndarray, keep: np.ndarray, length: int, cell
 
 
 def _count(window: int, cells: int):
+    """Suffixes by the counter of their first words, a part of the counters of one length to a row."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = prefix_lengths(window)
         total = np.zeros((len(lengths), 1 << cells), np.int64)
@@ -47,12 +51,21 @@ def _count(window: int, cells: int):
                 hashed, keep = words.hashes(), words.whole(window)
                 for i, length in enumerate(lengths):
                     total[i] += np.bincount(_cells(words, hashed, keep, length, cells), minlength=1 << cells)
-        level, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[level, cell])], names=["level", "cell", "n"])
+        parts = total.reshape(len(lengths) * PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
 
     return count
 
 
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, total = None, 0
+    for batch in batches:
+        part = batch.column(0)[0].as_py()
+        for x in batch.column(1).to_pylist():
+            total = total + np.frombuffer(x, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+
 def routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each prefix length and cell the group of suffixes, or -1 where the prefix is to be taken longer; and for each
     cell of the longest prefix the groups, from that one on, that its suffixes are dealt to by the whole of their words."""
@@ -63,12 +76,12 @@ def routes(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         out[level, cells] = group + np.cumsum(counts[level, cells]) // most
         group = int(out[level].max(initial=group)) + 1
     out[-1] = group + (np.cumsum(counts[-1]) - counts[-1]) // most
-    return out, 1 + counts[-1] // most
+    return out.astype(np.int32), (1 + counts[-1] // most).astype(np.int32)
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compressed texts; rows of a batch that are equal become one with a count."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
@@ -96,8 +109,8 @@ class Chunk:
         # every word followed by one space
         self.to = np.concatenate([[0], np.cumsum(self.words.end - self.words.start + 1)])
         keep = np.zeros(len(data) + 1, np.int8)
-        np.add.at(keep, self.words.start, 1)
-        np.add.at(keep, self.words.end + 1, -1)
+        keep[self.words.start] = 1
+        keep[self.words.end + 1] -= 1
         flat = self.words.data[np.cumsum(keep[:-1]) > 0].copy()
         flat[self.to[1:] - 1] = 32
         self.flat = flat.tobytes()
@@ -132,20 +145,20 @@ class Chunk:
 
 
 def _bucketed(chunk: Chunk, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the classes of windows whose fingerprints are dealt to it, in a fixed order."""
-    bucket = ((chunk.fingerprint >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    """Each bucket and the classes of windows whose fingerprints are dealt to it, in order of their first bits."""
+    bucket = ((chunk.fingerprint & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((chunk.fingerprint, bucket))
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False):
         yield int(bucket[order[lo]]), order[lo:hi]
 
 
 def _fingerprints(window: int, buckets: int):
-    """One row for each bucket that a chunk has windows in: four bytes of each, once, whatever the chunk's repeats."""
+    """One row for each bucket that a chunk has windows in: the first bits of each, once, whatever the chunk's repeats."""
 
     def fingerprints(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
-        rows = [(b, chunk.fingerprint[x].astype(np.uint32).tobytes()) for b, x in _bucketed(chunk, buckets)]
+        rows = [(b, _small((chunk.fingerprint[x] >> np.uint64(64 - BITS)).astype(np.int64))) for b, x in _bucketed(chunk, buckets)]
         name = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int64()), "chunk": pa.array([name] * len(rows), pa.int64()), "windows": pa.array([x[1] for x in rows], pa.binary())})
 
@@ -155,7 +168,7 @@ def _fingerprints(window: int, buckets: int):
 def _company(batch: pa.Table) -> pa.Table:
     """For each chunk of a bucket one bit for each of its windows: whether another chunk may have it."""
     batch = batch.combine_chunks()
-    windows = [np.frombuffer(x, np.uint32) for x in batch.column("windows").to_pylist()]
+    windows = [_large(x) for x in batch.column("windows").to_pylist()]
     every = np.concatenate(windows)
     order = np.argsort(every, kind="stable")
     equal = every[order[1:]] == every[order[:-1]]
@@ -197,12 +210,12 @@ def _suffixes(window: int, buckets: int, table: np.ndarray, spread: np.ndarray,
         group, place = group[order], place[order]
         owner = chunk.ids[words.text[place]]
         cut = np.flatnonzero(np.diff(group, prepend=-1))
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         flat, lo_at, hi_at = chunk.flat, chunk.to[place].tolist(), (chunk.to[place + window] - 1).tolist()
         columns: list[list] = [[], [], [], []]
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=False):
             columns[0].append(int(group[lo]))
-            columns[1].append(_small(np.diff(place[lo:hi], prepend=0)))
+            columns[1].append(_small(place[lo:hi]))
             columns[2].append(pack.compress(np.diff(owner[lo:hi], prepend=0).tobytes()))
             columns[3].append(pack.compress(b"\n".join([flat[a:b] for a, b in zip(lo_at[lo:hi], hi_at[lo:hi], strict=True)])))
         name = docs.column("chunk")[0].as_py()
@@ -211,13 +224,27 @@ def _suffixes(window: int, buckets: int, table: np.ndarray, spread: np.ndarray,
     return suffixes
 
 
-def _small(steps: np.ndarray) -> bytes:
-    """Steps between ascending places, two bytes each if they fit, else eight; the first byte says which."""
-    return b"\2" + steps.astype("<u2").tobytes() if steps.max(initial=0) < 1 << 16 else b"\10" + steps.astype("<i8").tobytes()
+_FULL = 0xFFFF
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them in two bytes each, with a filler for each 65,535 on the way, or, if
+    that would be longer, in eight; the first byte says which."""
+    steps = np.diff(numbers, prepend=0)
+    fill = steps // _FULL
+    if fill.sum() > 3 * len(steps):
+        return b"\10" + numbers.astype("<i8").tobytes() if numbers.max(initial=0) >> 32 else b"\4" + numbers.astype("<u4").tobytes()
+    out = np.full(len(steps) + int(fill.sum()), _FULL, "<u2")
+    out[np.cumsum(fill + 1) - 1] = steps % _FULL
+    return b"\2" + out.tobytes()
 
 
-def _places(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, "<u2" if packed[0] == 2 else "<i8", offset=1), dtype=np.int64)
+def _large(packed: bytes) -> np.ndarray:
+    """The numbers that ``_small`` was given."""
+    if packed[0] != 2:
+        return np.frombuffer(packed, "<u4" if packed[0] == 4 else "<i8", offset=1).astype(np.int64)
+    steps = np.frombuffer(packed, "<u2", offset=1)
+    return np.cumsum(steps, dtype=np.int64)[steps != _FULL]
 
 
 def shared_words(ordered: list[bytes], slice_of: int = 1 << 14) -> np.ndarray:
@@ -261,7 +288,7 @@ def _trees(window: int):
         rows, places, owners = [], [], []
         for i in range(batch.num_rows):
             suffixes += unpack.decompress(batch.column("suffixes")[i].as_py()).split(b"\n")
-            places.append(_places(batch.column("places")[i].as_py()))
+            places.append(_large(batch.column("places")[i].as_py()))
             owners.append(np.cumsum(np.frombuffer(unpack.decompress(batch.column("docs")[i].as_py()), np.int64)))
             rows.append(np.full(len(places[-1]), i))
         row, place, owner = (np.concatenate(x) for x in (rows, places, owners))
@@ -270,7 +297,7 @@ def _trees(window: int):
         again = order[owner[order] > lowest]
         again = again[np.lexsort((place[again], row[again]))]
         cut = np.flatnonzero(np.diff(row[again], prepend=-1))
-        found = [(batch.column("chunk")[int(row[again[lo]])].as_py(), _small(np.diff(place[again[lo:hi]], prepend=0))) for lo, hi in zip(cut, [*cut[1:], len(again)], strict=False)]
+        found = [(batch.column("chunk")[int(row[again[lo]])].as_py(), _small(place[again[lo:hi]])) for lo, hi in zip(cut, [*cut[1:], len(again)], strict=False)]
         return pa.table({"chunk": pa.array([x[0] for x in found], pa.int64()), "places": pa.array([x[1] for x in found], pa.binary())})
 
     return trees
@@ -307,7 +334,7 @@ def _remove(window: int, texts: bool):
         chunk = Chunk(docs, window)
         earlier = np.zeros(len(chunk.first), bool)  # by class, whether a smaller doc_id of another chunk has it
         if flags.num_rows:
-            met = np.concatenate([_places(x) for x in flags.column("places").to_pylist()])
+            met = np.concatenate([_large(x) for x in flags.column("places").to_pylist()])
             earlier[chunk.index[np.searchsorted(chunk.at, met)]] = True
         owner = chunk.ids[chunk.words.text[chunk.at]]
         again = earlier[chunk.index] | (owner > owner[chunk.first][chunk.index]) if len(chunk.at) else np.zeros(0, bool)
@@ -337,10 +364,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most:
     take from each other; repeated rows come back as often as they came. A text of any length is read whole, by one task.
 
     Texts are dealt once into chunks of like size by a hash of doc_id and text; repeated rows are counted before that. A
-    chunk sends every window it has once, so a passage that all texts share costs one entry a chunk: four bytes in the
-    first round, and its words in the second if another chunk may have it. Equality is decided on words, in chunks as in
-    groups. What the driver holds are counts of prefixes by hash: 64 for each group, at most a million (8 MB) for each of
-    five lengths; where that is too few to tell prefixes apart, longer ones do, and at last the window's own words.
+    chunk sends every window it has once, so a passage that all texts share costs one entry a chunk: two to four bytes
+    in the first round, and its words in the second if another chunk may have it. Equality is decided on words, in chunks
+    as in groups. What the driver holds are counts of prefixes by hash: 16 for each group, at most a million (8 MB) for
+    each of five lengths; where that is too few to tell prefixes apart, longer ones do, and at last the window's own words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
@@ -348,10 +375,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True, most:
     chunks, windows = max(1, -(-size // chunk_bytes)), size // 6
     buckets = max(1, -(-windows // bucket))
     cells = min(max(LEAST_CELLS, (CELLS_A_GROUP * windows // most).bit_length()), MOST_CELLS)
-    counted = known.select("text").mapInArrow(_count(window, cells), "level int, cell int, n long")
-    counts = np.zeros((len(prefix_lengths(window)), 1 << cells), np.int64)
-    for x in counted.groupBy("level", "cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        counts[x.column(0).to_numpy(), x.column(1).to_numpy()] = x.column(2).to_numpy()
+    counted = known.select("text").mapInArrow(_count(window, cells), "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, counts binary")
+    counts = np.zeros((len(prefix_lengths(window)) * PARTS, (1 << cells) // PARTS), np.int64)
+    for x in counted.collect():
+        counts[x.part] = np.frombuffer(x.counts, np.int64)
+    counts = counts.reshape(-1, 1 << cells)
     table, spread = routes(counts, most)
 
     dealt = known.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text")

@@ -7,7 +7,7 @@ texts at once, so that no Python object is made for a word.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +66,17 @@ class Words:
     bounds: np.ndarray  #: words of text i are bounds[i] .. bounds[i + 1]
 
     def hashes(self, fold: np.ndarray = SAME) -> np.ndarray:
-        """A 64-bit hash of each word, with its bytes replaced by ``fold``."""
-        return self.parts(fold, [(self.start, self.end)])[0]
+        """A 64-bit hash of each word, with its bytes replaced by ``fold``; of many bytes, some at a time."""
+        if len(self.data) <= _KEPT:
+            return self.parts(fold, [(self.start, self.end)])[0]
+        out, lo = np.empty(len(self.start), np.uint64), 0
+        while lo < len(out):
+            at = self.start[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.end, at + _KEPT, "right")))
+            some = replace(self, data=self.data[at : self.end[hi - 1]])
+            out[lo:hi] = some.parts(fold, [(self.start[lo:hi] - at, self.end[lo:hi] - at)])[0]
+            lo = hi
+        return out
 
     def parts(self, fold: np.ndarray, bounds: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Hashes of several lists of byte ranges (from, to), with bytes replaced by ``fold``."""

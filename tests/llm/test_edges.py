@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from barquill.llm import vectors as vectors_
@@ -114,6 +115,29 @@ def test_repeats_like_brute_force(spark, docs, most, chars, bucket):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("numbers", [[], [0], [5, 5, 70_000], [65_534, 65_535, 131_070], [0, 1 << 20], [1 << 40, 1 << 41], list(range(0, 1 << 28, 1 << 20))])
+def test_ascending_numbers_in_few_bytes(numbers):
+    assert substrings._large(substrings._small(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_depth_of_nodes_and_windows_of_equal_hash(monkeypatch):
+    texts = [b"a b c", b"a b d", b"a bb d", b"a bb d", b"e", b"e f", b"\x01 a"]
+    order, begin = substrings.tree_nodes(texts, 2)
+    split = lambda x: x.split(b" ")
+    want = [0] + [next((i for i, (a, b) in enumerate(zip(split(texts[p]), split(texts[q]))) if a != b), min(len(split(texts[p])), len(split(texts[q])))) for p, q in zip(order, order[1:])]
+    assert substrings.shared_words([texts[i] for i in order], 2).tolist() == want
+    assert [sorted(texts[i] for i in x) for x in np.split(order, begin[1:])] == [[texts[6]], [texts[0], texts[1]], [texts[2], texts[3]], [texts[4]], [texts[5]]]
+    rows = [(1, "a b c a b c x y z"), (2, "x y z a b c"), (3, "x y z q")]
+    table = pa.table({"doc_id": [x[0] for x in rows], "n": [1] * 3, "body": pa.array([zstandard.compress(x[1].encode()) for x in rows], pa.binary())})
+    monkeypatch.setattr(words.Words, "windows", lambda self, hashed, k, seed=0: np.ones(max(0, len(hashed) - k + 1), np.uint64))
+    chunk = substrings.Chunk(table, 3)
+    classes = {}
+    for at, name in zip(chunk.at, chunk.index, strict=True):
+        classes.setdefault(chunk.text(at), set()).add(int(name))
+    assert all(len(x) == 1 for x in classes.values()) and len(set.union(*classes.values())) == len(classes) == len(chunk.first)
+    assert all(chunk.text(chunk.at[chunk.first[min(x)]]) == text for text, x in classes.items())
+
+
 def test_routes_split_what_many_share():
     counts = np.array([[100, 5, 5, 0], [60, 40, 5, 5], [30, 30, 30, 20]])
     table, spread = substrings.routes(counts, 50)
