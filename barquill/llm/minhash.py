@@ -21,6 +21,8 @@ from barquill.functions.tables import materialize
 from barquill.llm.words import LOWER, Words, bytes_of, chunks_of, mix, randoms, words_of
 
 BANDS, ROWS = 32, 6
+#: Members of a group that are held against its pivot in one task.
+PART = 256
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,31 +76,36 @@ def _sign(k: int, bands: int, rows: int):
     return sign
 
 
+def _sets(k: int, column: pa.Array, keys: np.ndarray) -> Iterator[np.ndarray | None]:
+    """The shingle set of each text, in order of hash; nothing for a text whose fingerprint is not the one looked for."""
+    for words in chunks_of(column):
+        shingle, bounds = shingles(words, k)
+        own = words.fingerprint(words.hashes(LOWER), 21).view(np.int64)
+        for i in range(words.n_texts):
+            yield np.unique(shingle[bounds[i] : bounds[i + 1]]) if own[i] == keys[words.first + i] else None
+
+
 def _confirm(k: int, percent: int):
-    """Of rows (a, b, a_k1, b_k1, a_text, b_text), the pairs (a, b) whose sets are similar enough."""
-
-    def sets(column: pa.Array, keys: pa.Array, wanted: np.ndarray) -> Iterator[np.ndarray | None]:
-        data, at = bytes_of(column)
-        last, found = None, None
-        for i, key in enumerate(keys.to_numpy(zero_copy_only=False)):
-            if key != last:
-                words = words_of(data, at[i : i + 2])
-                own = words.fingerprint(words.hashes(LOWER), 21).view(np.int64)[0]
-                last, found = (key, np.unique(shingles(words, k)[0])) if own == key else (None, None)
-            yield found
+    """Of rows (a, part, b, k1, text), in order of the first three, the pairs (a, b) whose sets are similar enough.
+
+    The row of a part without b is that of a itself: its set is made once and held against those of the rows after it.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ok = []
-                for x, y in zip(sets(part.column(4), part.column(2), None), sets(part.column(5), part.column(3), None), strict=True):
-                    if x is None or y is None:
-                        ok.append(False)
-                        continue
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, part, b = (batch.column(i).to_pylist() for i in range(3))
+            found: list[tuple[int, int]] = []
+            for i, some in enumerate(_sets(k, batch.column(4), batch.column(3).to_numpy())):
+                if some is None:
+                    continue
+                if b[i] is None:
+                    head, held = (a[i], part[i]), some
+                elif head == (a[i], part[i]):
+                    both = len(np.intersect1d(held, some, assume_unique=True))
+                    if 100 * both >= percent * (len(held) + len(some) - both):
+                        found.append((a[i], b[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in range(2)], names=["a", "b"])
 
     return confirm
 
@@ -107,14 +114,19 @@ def _spread(k: int):
     """Of rows (node, n, component, k1, text), one for each distinct shingle of the text, if k1 is the text's key."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "n", "component"]
         for batch in batches:
-            node, n, component, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for words in chunks_of(batch.column(4)):
-                shingle, bounds = shingles(words, k)
-                own = words.fingerprint(words.hashes(LOWER), 21).view(np.int64)
-                each = [np.unique(shingle[a:b]) if own[i] == key[words.first + i] else shingle[:0] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-                at = np.repeat(np.arange(words.first, words.first + words.n_texts), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (node, n, component)] + [pa.array(np.concatenate(each).view(np.int64))], names=["node", "n", "component", "shingle"])
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            held, at, size = [], [], 0
+            for i, some in enumerate(_sets(k, batch.column(4), batch.column(3).to_numpy())):
+                if some is not None:
+                    held.append(some)
+                    at.append(np.full(len(some), i))
+                    size += len(some)
+                if held and (size >= 1 << 18 or i == batch.num_rows - 1):
+                    rows = np.concatenate(at)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in columns), pa.array(np.concatenate(held).view(np.int64))], names=[*names, "shingle"])
+                    held, at, size = [], [], 0
 
     return spread
 
@@ -172,7 +184,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     With 32 bands of 6 values a pair at similarity 0.85 shares no band with probability 3e-7, at 0.8 with 6e-5.
 
     Exact copies are folded into one node first. In each shared band all members are compared with one pivot, the one
-    that meets most others over all its bands (most like what the group was copied from), so that a group of m members costs m comparisons; links found give components. Among the nodes of
+    that meets most others over all its bands (most like what the group was copied from), so that a group of m members
+    costs m comparisons; 256 of them at a time meet the pivot's set, which is made once for them. Links found give components. Among the nodes of
     bands that still hold several components, an exact filter on rare shingles and sizes then finds every further pair
     that can be similar enough, so that no link between components is lost; pairs inside one component need none.
     """
@@ -199,14 +212,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("first_id"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
-        side = lambda c: who.select(*(F.col(x).alias(f"{c}{y}") for x, y in (("node", ""), ("first_id", "_id"), ("k1", "_k1"))))
-        text = lambda c: texts.select(F.col("first_id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text"))
-        rows = pairs.join(side("a"), "a").join(side("b"), "b").join(text("b"), "b_id").join(text("a"), "a_id")
-        rows = rows.select("a", "b", "a_k1", "b_k1", "a_text", "b_text")
+        pairs = materialize(pairs, "pairs", met)
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        own = parts.join(who, parts["a"] == who["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "first_id", "k1")
+        part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+        others = pairs.join(parts.where("parts > 1"), "a", "left").withColumn("part", F.coalesce(part, F.lit(0))).join(who, F.col("b") == who["node"]).select("a", "part", "b", "first_id", "k1")
+        rows = own.union(others).join(texts, "first_id").select("a", "part", "b", "k1", "text")
+        rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return materialize(rows.mapInArrow(_confirm(k, percent), "a long, b long").distinct(), "links")
 
+    def components(pairs: DataFrame) -> DataFrame:
+        """(node, component, component_id): nodes are compared by first_id, so that a component is named by the smallest."""
+        named = lambda c: who.select(F.col("node").alias(c), F.struct("first_id", "node").alias(f"{c}_named"))
+        edges = pairs.join(named("b"), "b").join(named("a"), "a").select(F.col("a_named").alias("a"), F.col("b_named").alias("b"))
+        return connected_components(edges).select("node.node", F.col("component.node").alias("component"), F.col("component.first_id").alias("component_id"))
+
     found = links(star)
-    component = connected_components(found)
+    component = components(found)
     placed = members.join(component, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed", met)
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
@@ -216,11 +238,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = links(rest.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        component = connected_components(found.union(more))
+        component = components(found.union(more))
 
     named = nodes.select("node", "k1", "k2", "first_id").join(component, "node", "left")
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    named = named.join(lowest, "component", "left").select("k1", "k2", F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
+    named = named.select("k1", "k2", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
     named = materialize(named, "named")
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     of = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
