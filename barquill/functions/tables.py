@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "barquill-checkpoints")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to; ``forget`` deletes what is there."""
+    return f"{shared_dir(spark)}/barquill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -32,23 +37,13 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    path = f"{shared_dir(spark)}/barquill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session set to hand Python at most 1000 rows or 2 MB at a time.
-
-    Whole texts are far larger than the rows that Spark's default of 10,000 is meant for; both sides hold a batch.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
-    return df
-
-
 def forget(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` has written for this application."""
+    """Delete every table and file that this application has put into the shared folder by ``materialize`` or ``new_path``."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/barquill-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -204,6 +204,17 @@ def active(labels: DataFrame) -> DataFrame:
     return rows.withColumn("active", F.coalesce(F.sum("d").over(by().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > 0).drop("n", "d")
 
 
+def exit_mask(labels: DataFrame, mode: str = "trade") -> DataFrame:
+    """Adds ``exit_mask``: the bars that teach the exit: ``all``, only where a trade is entered (``entry``), or while one lasts (``trade``)."""
+    if mode == "all":
+        return labels.withColumn("exit_mask", F.lit(True))
+    if mode == "entry":
+        return labels.withColumn("exit_mask", F.coalesce(F.col("entry_label") >= 0.5, F.lit(False)))
+    if mode != "trade":
+        raise ValueError(f"mode is all, entry or trade, not {mode}")
+    return active(labels).withColumnRenamed("active", "exit_mask")
+
+
 def any_window(labels: DataFrame, names: list[str], weights: list[str]) -> DataFrame:
     """entry_label and entry_weight of several windows together: the largest that is not null, 0 if none is."""
     most = lambda cs: F.coalesce(F.greatest(*cs) if len(cs) > 1 else F.col(cs[0]), F.lit(0.0))
@@ -234,8 +245,8 @@ def exit_spans(bars: DataFrame, spans: list[int], horizon: int, hold: int = 1, c
 
         return F.aggregate("ahead", start, step)["out"]
 
-    held = F.array(*(F.when(leave(s) > 0, leave(s)).otherwise(F.size("ahead")) for s in spans))
-    rows = rows.withColumn("held", held)
+    rows = rows.withColumn("left", F.array(*map(leave, spans)))
+    rows = rows.withColumn("held", F.transform("left", lambda k: F.when(k > 0, k).otherwise(F.size("ahead")))).drop("left")
     rows = rows.withColumn("rets", F.transform("held", lambda k: F.element_at("ahead", k) / close - 1 - cost))
 
     def objective(r: Column, k: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquill.functions.quantiles import quantiles
+
 
 def take(df: DataFrame, groups: list[str], quota: str, order: list[Column], bucket: Column) -> DataFrame:
     """The first ``quota`` rows (a column, equal within a group) of each group in ``order``.
@@ -44,6 +46,43 @@ def clean(df: DataFrame, columns: list[str], how: str = "any") -> DataFrame:
     return df.select(*(sound(c) if c in columns else F.col(c) for c in df.columns)).na.drop(how, subset=columns)
 
 
+def _cycle(rows: DataFrame) -> DataFrame:
+    """Adds the state of a position that has just been entered: no additions, no time, no loss, filled at the close."""
+    whole = {c: F.lit(0).alias(c) for c in ("cycle_is_add", "cycle_num_adds", "cycle_time_in_trade")}
+    return rows.withColumns(whole | {"cycle_dd_pct": F.lit(0.0), "cycle_avg_entry_price": F.col("close"), "cycle_last_fill_price": F.col("close")})
+
+
+def entry_view(rows: DataFrame, label: str = "entry_label") -> DataFrame:
+    """Bars with a label to enter, as ``label_entry``, and the state of a new position."""
+    known = F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
+    return _cycle(rows.where(known)).withColumn("label_entry", F.col(label).cast("float"))
+
+
+def exit_view(rows: DataFrame, target: str = "span_q50", weight: str | None = "span_weight") -> DataFrame:
+    """Bars with a finite target above 0 for the exit, as ``label_exit``; ``label_exit_weight`` is 1 at least, and where there is none."""
+    x = F.col(target).cast("double")
+    out = _cycle(rows.where((x > 0) & (x < float("inf")))).withColumn("label_exit", F.col(target).cast("float"))
+    w = F.nanvl(F.col(weight).cast("double"), F.lit(None)) if weight in rows.columns else F.lit(None).cast("double")
+    return out.withColumn("label_exit_weight", F.greatest(F.lit(1.0), F.coalesce(w, F.lit(1.0))).cast("float"))
+
+
+def least_weight(df: DataFrame, key: Column, positive: float = 0.0, negative: float = 0.0, keep: float = 1.0, weight: str = "weight", label: str = "label", seed: str = "0") -> DataFrame:
+    """Rows of each class with at least its weight (0: any), and of the positives left a share, rounded, one at least.
+
+    Weights that are not finite count as 0. Where the positives all go, so do the others.
+    """
+    w = F.coalesce(F.when(~F.isnan(weight) & (F.abs(weight) < float("inf")), F.col(weight)), F.lit(0.0))
+    side = F.col(label) >= 0.5
+    rows = df.where(F.when(side, w >= positive if positive > 0 else F.lit(True)).otherwise(w >= negative if negative > 0 else F.lit(True)) & F.col(label).isNotNull())
+    found = rows.agg(F.count_if(side).alias("n")).first().n
+    if not found and positive > 0:
+        return df.limit(0)
+    if keep >= 1 or not found:
+        return rows
+    some = rows.where(side).withColumn("_quota", F.lit(max(1, round(found * keep)))).withColumn("_side", F.lit(1))
+    return by_hash(some, ["_side"], "_quota", key, seed).select(df.columns).union(rows.where(~side))
+
+
 def rows_for_each(most: int, symbols: int, low: int = 20_000, high: int = 100_000) -> int:
     """Rows that each symbol may give."""
     return max(low, min(high, most // max(1, symbols)))
@@ -73,24 +112,36 @@ def bin_quotas(counts: DataFrame, most: int, high: bool = True) -> DataFrame:
     return rows.withColumn("quota", F.least(F.col("n"), F.col("base") + (rest <= F.col("left")).cast("int"))).select("bin", "n", "quota")
 
 
-def by_weight_bin(df: DataFrame, key: Column, most: int, weight: str = "weight", step: float = 0.1, top: float = 7.0, high: bool = True, seed: str = "0") -> DataFrame:
-    """A sample with a quota for each bin of weight."""
+def topped_up(quotas: DataFrame, most: int) -> DataFrame:
+    """(bin, n, quota): what quotas are short of ``most`` because bins are too small goes to those that have more, highest bin first."""
+    spare = F.col("n") - F.col("quota")
+    above = F.coalesce(F.sum(spare).over(Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = F.lit(most) - F.sum("quota").over(Window.partitionBy())
+    return quotas.withColumn("more", F.greatest(F.lit(0), F.least(spare, short - above))).select("bin", "n", (F.col("quota") + F.col("more")).alias("quota"))
+
+
+def by_weight_bin(df: DataFrame, key: Column, most: int, weight: str = "weight", step: float = 0.1, top: float = 7.0, high: bool = True, seed: str = "0", fill: bool = False) -> DataFrame:
+    """A sample with a quota for each bin of weight; with ``fill`` there are ``most`` rows if the table has as many."""
     bins = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(top), F.col(weight))) / step + 1e-9).cast("long")
     rows = df.withColumn("bin", bins)
     quotas = bin_quotas(rows.groupBy("bin").agg(F.count("*").alias("n")), most, high)
+    quotas = topped_up(quotas, most) if fill else quotas
     return by_hash(rows.join(quotas.select("bin", "quota"), "bin"), ["bin"], "quota", key, seed).drop("quota")
 
 
 def weighted(df: DataFrame, key: Column, n: int, weight: str = "weight", seed: str = "0") -> DataFrame:
     """n rows without replacement, each draw in proportion to weight: the largest ln(u) / weight, u from a hash."""
     u = (F.conv(F.substring(drawn(key, seed), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
-    rows = df.where(F.col(weight) > 0).withColumn("_draw", F.log(u) / F.col(weight))
-    return rows.orderBy(F.col("_draw").desc(), key).limit(n).drop("_draw")
+    rows = df.where(F.col(weight) > 0).withColumn("_draw", F.log(u) / F.col(weight)).withColumn("_key", key).withColumn("_all", F.lit(1)).withColumn("_most", F.lit(n))
+    step = F.floor(F.log2(F.greatest(-F.col("_draw"), F.lit(1e-300))) * 256)  # rises as draws fall
+    return take(rows, ["_all"], "_most", [F.col("_draw").desc(), F.col("_key")], step).select(df.columns)
 
 
 def balance_map(df: DataFrame, target: str, bins: int = 10, power: float = 1.0, low: float = 0.25, high: float = 4.0) -> DataFrame:
     """Adds ``balance``: (mean count / own count) ** (power / 2) of the quantile bin of the target, within bounds."""
-    cuts = df.agg(F.percentile(target, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("q")).first().q
+    cuts = quantiles(df, target, [i / bins for i in range(1, bins)])
+    if not cuts:
+        return df.withColumn("balance", F.lit(1.0))
     place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(target)))
     rows = df.withColumn("_bin", place)
     counts = rows.groupBy("_bin").agg(F.count("*").alias("_n"))
@@ -131,12 +182,21 @@ def weight_histogram(df: DataFrame, weight: str = "weight", label: str = "label"
 
 
 def split_by_time(df: DataFrame, share: float = 0.8, ts: str = "ts") -> DataFrame:
-    """Adds ``part``: train for the first share of rows in time, then val; rows at the same time stay together."""
-    by_time = df.groupBy(ts).agg(F.count("*").alias("_n"))
-    past = Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    by_time = by_time.withColumn("part", F.when(F.coalesce(F.sum("_n").over(past), F.lit(0)) < share * F.sum("_n").over(total), "train").otherwise("val"))
-    return df.join(by_time.select(ts, "part"), ts)
+    """Adds ``part``: train for the first share of rows in time, then val; rows at the same time stay together.
+
+    Rows are counted by day, and by time in the one day that the cut falls in. Rows without a time are val.
+    """
+    day = F.date_trunc("day", F.col(ts))
+    past = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = df.where(F.col(ts).isNotNull()).groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    found = days.where((F.col("_before") < share * F.col("_all")) & (F.col("_before") + F.col("_n") >= share * F.col("_all"))).first()
+    if found is None:
+        return df.withColumn("part", F.lit("train"))
+    inside = df.where(day == F.lit(found._day)).groupBy(ts).agg(F.count("*").alias("_n"))
+    before = F.lit(found._before) + F.coalesce(F.sum("_n").over(Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = inside.withColumn("_before", before).where(F.col("_before") < share * found._all).agg(F.max(ts)).first()[0]
+    return df.withColumn("part", F.when(F.col(ts) <= F.lit(cut), "train").otherwise("val"))
 
 
 def purge(df: DataFrame, cutoff: str, horizon_seconds: int, ts: str = "ts") -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barquill.functions.quantiles import quantiles
 from barquill.functions.rolling import clip
 from barquill.operators.sampling import take
 
@@ -81,21 +82,10 @@ def calibrated(p: Column, c: Calibration) -> Column:
     return clip(out, 0.0, 1.0)
 
 
-def stabilized(periods: list[float], blend: float = 0.35, spread: float = 3.0) -> list[float]:
-    """Parameters of periods in time, each held to the past: within ``spread`` median deviations, then drawn to its mean."""
-    import statistics
-
-    out: list[float] = []
-    for value in periods:
-        if len(out) >= 3:
-            middle = statistics.median(out)
-            mad = statistics.median(abs(x - middle) for x in out) or 1e-9
-            value = min(max(value, middle - spread * mad), middle + spread * mad)
-        if out:
-            damp = blend / 2 if len(out) < 3 else blend
-            value = (1 - damp) * value + damp * (sum(out) / len(out) + out[-1]) / 2
-        out.append(value)
-    return out
+def merged_sides(long: Column, short: Column) -> Column:
+    """The larger of two sides' scores; a side that is missing or not a number does not count."""
+    known = lambda x: F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.greatest(known(long), known(short))
 
 
 def sound(x: Column) -> Column:
@@ -121,7 +111,7 @@ def precision_at(df: DataFrame, score: str, label: str, key: str, fractions: lis
 
 
 def clip_to_quantiles(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("q")).first().q
+    q = quantiles(df, column, [low, high])
     return df.withColumn(column, clip(F.col(column), q[0], q[1])) if q else df
 
 

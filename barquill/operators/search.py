@@ -1,13 +1,14 @@
-"""Settings to try: grids, low-discrepancy sequences, refinement, genetic search."""
+"""Settings to try: grids, low-discrepancy sequences, refinement, results of many symbols."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barquill.operators import select
+
 
 def van_der_corput(index: Column, base: int, digits: int = 24) -> Column:
     """The index's digits mirrored behind the point."""
@@ -57,27 +58,31 @@ def fitness() -> Column:
     return F.pow(product, F.lit(1 / 3)) * F.exp(-6.0 * F.greatest(F.lit(0.0), F.col("max_dd") - 0.10)) * F.least(F.lit(1.0), F.col("trades") / 60)
 
 
-def evolve(spark: SparkSession, bounds: dict[str, tuple[float, float, float]], evaluate: Callable[[DataFrame], DataFrame], generations: int = 4, size: int = 16, seed: int = 1) -> DataFrame:
-    """(id, genes, fitness) of the last generation. ``bounds``: low, high and step of each gene.
+def averaged(results: DataFrame, key: str) -> DataFrame:
+    """One result for each key from those of its symbols: means, how many symbols, and trades in all; whole numbers are cut off."""
+    whole = lambda c: F.avg(c).cast("long").alias(c)
+    means = (F.avg(c).alias(c) for c in ("fitness", "eq_end", "max_dd", "profit_factor", "win_rate", "neg_month_ratio"))
+    return results.groupBy(key).agg(*means, whole("trades"), whole("neg_months"), F.count("*").alias("symbols"), F.sum("trades").alias("trades_total"), F.avg("trades").alias("trades_avg"))
+
+
+# Weights of a cluster's score, size and drawdown ranks.
+SEED_WEIGHTS = {"score_q25": 0.55, "size": 0.25, "-dd_median": 0.20}
+
+
+def refine_seeds(runs: DataFrame, columns: list[str], generation: int, radius: float, n: int = 6) -> DataFrame:
+    """The best settings of the n best clusters among the backtests of earlier generations: where to look more closely.
 
-    ``evaluate`` gets a generation as a table, one row each, and adds fitness, so its members are tried in parallel; the
-    driver only holds one generation of ``size`` rows. Parents win a draw among three, children lie between them, genes
-    change now and then, and the two best stay.
+    ``runs`` has id, stage, status, generation, score, max_dd and ``columns``, which are scaled to 0 .. 1 (missing ones
+    as the median) and clustered by ``radius``. A cluster's score is a mean of ranks; its best setting is that with the
+    highest score, of equals the one nearest to the cluster's middle.
     """
-    rng = random.Random(seed)
-    snap = lambda name, x: round(min(max(x, bounds[name][0]), bounds[name][1]) / bounds[name][2]) * float(bounds[name][2])
-    people = [{k: snap(k, rng.uniform(lo, hi)) for k, (lo, hi, _) in bounds.items()} for _ in range(size)]
-    for g in range(generations):
-        table = spark.createDataFrame([(i, *p.values()) for i, p in enumerate(people)], f"id int, {', '.join(f'{k} double' for k in bounds)}")
-        tried = evaluate(table).select("id", *bounds, "fitness")
-        if g == generations - 1:
-            return tried
-        scored = sorted(((r.fitness or 0.0, {k: r[k] for k in bounds}) for r in tried.collect()), key=lambda x: -x[0])
-        draw = lambda: max(rng.sample(scored, 3), key=lambda x: x[0])[1]
-        children = [scored[0][1], scored[1][1]]
-        while len(children) < size:
-            a, b, t = draw(), draw(), rng.random()
-            child = {k: a[k] * t + b[k] * (1 - t) for k in bounds}
-            children.append({k: snap(k, x + rng.gauss(0, 0.15) * (bounds[k][1] - bounds[k][0]) if rng.random() < 0.2 else x) for k, x in child.items()})
-        people = children
-    raise ValueError("generations must be at least 1")
+    done = runs.where("stage = 'backtest' AND status = 'ok'").where((F.coalesce("generation", F.lit(0)) < generation) & F.col("score").isNotNull())
+    rows = select.clustered(select.scaled(done, columns), radius)
+    rows = rows.join(select.centres(rows, "cluster_id"), "cluster_id").withColumn("cluster_dist", select.apart(F.col("x"), F.col("center")))
+    stats = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.percentile("score", F.lit(0.25)).alias("score_q25"), F.percentile(F.coalesce("max_dd", F.lit(1.0)), F.lit(0.5)).alias("dd_median"))
+    score = F.lit(0.0)
+    for name, weight in SEED_WEIGHTS.items():
+        score = score + select.percent_rank(name.lstrip("-"), not name.startswith("-")) * weight
+    best = stats.withColumn("cluster_score", score).orderBy(F.col("cluster_score").desc(), F.col("score_q25").desc(), F.col("size").desc(), "cluster_id").limit(n)
+    top = select.pick(rows, [F.col("score").desc(), F.col("cluster_dist"), F.col("id")], 1, "cluster_id")
+    return top.join(best.select("cluster_id", "cluster_score", "size"), "cluster_id").select("cluster_id", "cluster_score", "size", "id", "score", *columns)

@@ -275,7 +275,35 @@ def candidates(runs: DataFrame, columns: list[str], memory: DataFrame, step: flo
     return rows.withColumn("family_center_rank", percent_rank("family_dist", False))
 
 
-def remembered(chosen: DataFrame, clusters: DataFrame, step: float, n: int = 3) -> DataFrame:
+def remembered(clusters: DataFrame, step: float, n: int = 3) -> DataFrame:
     """(step, center, quality) of the best n clusters of a step, to be remembered by later ones."""
     top = clusters.orderBy(F.col("causal_cluster_score").desc(), "cluster_id").limit(n)
     return top.select(F.lit(float(step)).alias("step"), "center", F.col("causal_cluster_score").alias("quality"))
+
+
+def step_summary(log: DataFrame) -> DataFrame:
+    """One row for each step of a scored run log: the best backtest's score, return, drawdown and win rate, and counts of phases.
+
+    Only backtests that went well count; missing and non-finite numbers are 0, a missing phase is broad, a missing
+    generation the first. Of equal scores the smaller id is best.
+    """
+    known = lambda c: F.coalesce(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)), F.lit(0.0))
+    rows = log.where("stage = 'backtest' AND status = 'ok'")
+    first = F.max_by(F.struct(*(known(c).alias(c) for c in ("score", "ret_pct", "max_dd", "win_rate"))), F.struct(known("score"), -F.col("id")))
+    phase = F.coalesce("phase", F.lit("broad"))
+    rows = rows.groupBy("step").agg(first.alias("b"), F.count("*").alias("total_ok"), F.count_if(phase == "broad").alias("broad_ok"), F.count_if(phase == "refine").alias("refine_ok"), F.max(F.coalesce("generation", F.lit(1))).alias("latest_generation"))
+    share = lambda c: F.round(F.col(f"b.{c}") * 100, 1)
+    return rows.select("step", F.round("b.score", 2).alias("best_score"), share("ret_pct").alias("best_ret"), share("max_dd").alias("best_dd"), share("win_rate").alias("best_wr"), "total_ok", "broad_ok", "refine_ok", "latest_generation")
+
+
+def top_runs(log: DataFrame, n: int = 100) -> DataFrame:
+    """The n best backtests of each step."""
+    return pick(log.where("stage = 'backtest' AND status = 'ok'"), [F.col("score").desc_nulls_last(), F.col("id")], n, "step")
+
+
+def selected_rows(segments: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """For each segment the first row of the log (by ``line``) with its step and ids; segments that lack one of them have none."""
+    whole = segments.na.drop(subset=["source_step", *keys])
+    first = log.groupBy("step", *keys).agg(F.min_by(F.struct(*[c for c in log.columns if c not in ("step", *keys)]), "line").alias("_row"))
+    found = whole.join(first.withColumnRenamed("step", "source_step"), ["source_step", *keys])
+    return found.select(*whole.columns, "_row.*")

@@ -1,110 +1,22 @@
-"""Trades that signals would have made, one symbol at a time and as a portfolio.
-
-A symbol's bars stream through a state machine in order of time, with one small state for each symbol. A portfolio is a
-sequence of decisions over all symbols, so one configuration is one task; configurations run side by side.
-"""
+"""What signals would have earned: the trade that each bar would open, common windows, correlations, paper accounts."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Contract:
-    """How a position is entered, added to and left. Sizes are those of the first fill and of each addition."""
+    """How a position is entered and left."""
 
     tau: float = 0.6
-    tau_add: float = 0.66
     span: int = 12
     offset: float = 0.0
     confirm: int = 1
     cost_side: float = 0.001
-    sizes: tuple[float, ...] = (1.0,)
-    max_adds: int = 0
-    add_spacing: float = 0.02
-    smooth: float = 0.85  # of the span, against the one predicted for a bar
-
-
-class Position:
-    """An open trade: an exponential average follows the price, a close below it (``confirm`` times in a row) ends it."""
-
-    def __init__(self, c: Contract, price: float, ts, span: float | None = None):
-        self.c, self.ts, self.price, self.last_fill, self.size, self.adds = c, ts, price, price, c.sizes[0], 0
-        self.span = float(max(1, span or c.span))
-        self.limit = float(max(2400, 6 * self.span))
-        self.ema, self.streak, self.seen = price * (1 - c.offset), 0, price
-
-    def bar(self, close: float, low: float, p: float | None = None, predicted: float | None = None) -> bool:
-        """Take in a bar; whether it ends the trade."""
-        c = self.c
-        self.seen = close
-        if predicted is not None and predicted > 1:
-            self.span = min(max(c.smooth * self.span + (1 - c.smooth) * min(max(predicted, 2.0), self.limit), 2.0), self.limit)
-        self.ema += 2.0 / (self.span + 1.0) * (close - self.ema)
-        self.streak = self.streak + 1 if close < self.ema else 0
-        if self.streak >= max(1, c.confirm):
-            return True
-        trigger = self.last_fill * (1 - c.add_spacing)
-        if self.adds < c.max_adds and low <= trigger and p is not None and p >= c.tau_add:
-            more = c.sizes[min(self.adds + 1, len(c.sizes) - 1)]
-            self.price = (self.price * self.size + trigger * more) / (self.size + more)
-            self.size, self.last_fill, self.adds = self.size + more, trigger, self.adds + 1
-        return False
-
-    def result(self, price: float) -> float:
-        return price / self.price - 1 - (self.adds + 2) * self.c.cost_side
-
-
-TRADE = "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, r_net double, num_adds int, reason string"
-
-
-def cycles(scored: DataFrame, c: Contract) -> DataFrame:
-    """Trades of each symbol by itself from bars (symbol, ts, close, low, p_entry and, if there, p_exit).
-
-    Flat, a bar with p_entry of at least tau opens a trade; the last bar closes what is open (EOD). Bars without a price
-    are passed over.
-    """
-    predicted = F.col("p_exit") if "p_exit" in scored.columns else F.lit(None)
-    rows = scored.where("close > 0").select("symbol", "ts", F.col("close").cast("double").alias("close"), F.coalesce("low", "close").cast("double").alias("low"), F.col("p_entry").cast("double").alias("p"), predicted.cast("double").alias("span"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, position, last = None, None, None
-
-        def close(reason: str, ts, price: float) -> tuple:
-            return symbol, position.ts, ts, position.result(price), position.adds, reason
-
-        for pdf in batches:
-            out = []
-            for s, ts, px, low, p, span in pdf.itertuples(index=False):
-                if s != symbol:
-                    if position is not None:
-                        out.append(close("EOD", last, position.seen))
-                    symbol, position = s, None
-                last = ts
-                if position is None:
-                    if p == p and p is not None and p >= c.tau:
-                        position = Position(c, px, ts, span if span == span and span is not None and span > 1 else None)
-                elif position.bar(px, low, p, span if span == span else None):
-                    out.append(close("EMA", ts, px))
-                    position = None
-            yield _trades(out)
-        if position is not None:
-            yield _trades([close("EOD", last, position.seen)])
-
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInPandas(run, TRADE)
-
-
-def _trades(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["symbol", "entry_ts", "exit_ts", "r_net", "num_adds", "reason"])
-    for name in ("entry_ts", "exit_ts"):
-        out[name] = pd.to_datetime(out[name])
-    return out
 
 
 def candidates(scored: DataFrame, c: Contract, max_hold: int = 288) -> DataFrame:
@@ -128,87 +40,6 @@ def candidates(scored: DataFrame, c: Contract, max_hold: int = 288) -> DataFrame
     return rows.select("symbol", F.col("ts").alias("entry_ts"), F.col("_w.ts").alias("exit_ts"), net.alias("r_net"), F.col("p_entry").alias("score"), F.when(F.col("_w.out"), "EMA").otherwise("EOD").alias("reason"))
 
 
-@dataclass(frozen=True)
-class Budget:
-    """What a portfolio may hold: in all, in one trade at most and at least, how many positions (0: any), times equity (0: not)."""
-
-    total: float = 1.0
-    most: float = 0.2
-    least: float = 0.02
-    positions: int = 0
-    multiplier: float = 0.0
-
-
-def weight_for(budget: Budget, equity: float, used: float, held: int) -> float:
-    """The weight of a new position; 0 if there is no room."""
-    total = equity * budget.multiplier if budget.multiplier > 0 else budget.total
-    room = total - used
-    if room <= 1e-9 or (budget.positions and held >= budget.positions):
-        return 0.0
-    weight = min(budget.most, room, total / (held + 1))
-    return weight if weight >= budget.least else 0.0
-
-
-def run_portfolio(rows: pd.DataFrame, tau: float, budget: Budget) -> list[tuple]:
-    """Executed trades (symbol, entry_ts, exit_ts, r_net, weight, reason, equity after) of one configuration.
-
-    At each time positions that have ended are closed first, then entries are taken by score, ties by symbol. A symbol
-    has one position at a time and after it looks from the next bar on. Equity under a hundredth is ruin.
-    """
-    rows = rows[rows["score"] >= tau].sort_values(["entry_ts", "score", "symbol"], ascending=[True, False, True], kind="stable")
-    held: dict[str, float] = {}
-    free_from: dict[str, pd.Timestamp] = {}
-    open_heap: list[tuple] = []
-    equity, used, out = 1.0, 0.0, []
-
-    def close_until(t) -> None:
-        nonlocal equity, used
-        while open_heap and open_heap[0][0] <= t and equity > 0:
-            exit_ts, symbol, entry_ts, weight, r, reason = heapq.heappop(open_heap)
-            used = max(0.0, used - held.pop(symbol, 0.0))
-            equity *= 1 + weight * r
-            if equity < 0.01:
-                equity = 0.0
-            out.append((symbol, entry_ts, exit_ts, r, weight, reason, equity))
-
-    for symbol, entry, exit_ts, r, _, reason in rows[["symbol", "entry_ts", "exit_ts", "r_net", "score", "reason"]].itertuples(index=False):
-        close_until(entry)
-        if equity <= 0:
-            break
-        if symbol in held or (symbol in free_from and entry <= free_from[symbol]):
-            continue
-        weight = weight_for(budget, equity, used, len(held))
-        if weight <= 0:
-            continue
-        held[symbol], free_from[symbol] = weight, exit_ts
-        used += weight
-        heapq.heappush(open_heap, (exit_ts, symbol, entry, weight, r, reason))
-    if equity > 0:
-        close_until(pd.Timestamp.max)
-    return out
-
-
-def portfolios(candidate: DataFrame, configs: DataFrame) -> DataFrame:
-    """Executed trades of every configuration (config_id, tau, total, most, least, positions, multiplier).
-
-    Candidates go to each configuration that would take their score; a table of configurations is small.
-    """
-    wanted = candidate.join(F.broadcast(configs), F.col("score") >= F.col("tau"))
-    schema = "config_id int, symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, r_net double, weight double, reason string, equity double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        budget = Budget(*(float(first[k]) for k in ("total", "most", "least")), int(first["positions"]), float(first["multiplier"]))
-        done = run_portfolio(pdf, float(first["tau"]), budget)
-        out = pd.DataFrame(done, columns=["symbol", "entry_ts", "exit_ts", "r_net", "weight", "reason", "equity"])
-        out.insert(0, "config_id", int(first["config_id"]))
-        for name in ("entry_ts", "exit_ts"):
-            out[name] = pd.to_datetime(out[name])
-        return out
-
-    return wanted.groupBy("config_id").applyInPandas(run, schema)
-
-
 def common_window(bars: DataFrame, least_rows: int = 1000, earliest: bool = True) -> DataFrame:
     """Bars of symbols with enough rows, up to the earliest (or latest) of their last times."""
     ends = bars.groupBy("symbol").agg(F.max("ts").alias("_end"), F.count("*").alias("_n")).where(F.col("_n") >= least_rows)

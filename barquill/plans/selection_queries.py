@@ -369,10 +369,3 @@ def permuted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ga_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs(spark, sf_dir).withColumn("win_rate", F.col("month_pos_frac"))
     return rows.select("id", F.round(P.fitness(), 6).alias("fitness"), F.round(P.per_days(F.col("ret_pct"), F.col("trades")), 6).alias("ret180"))
-
-
-@add()
-def ga_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finds the best point of a smooth surface; each generation is tried as one Spark job."""
-    surface = lambda t: t.withColumn("fitness", F.exp(-F.pow(F.col("tau") - 0.8, 2.0) * 40 - F.pow(F.col("span") - 120, 2.0) / 5000))
-    return P.evolve(spark, {"tau": (0.5, 0.95, 0.01), "span": (15, 240, 15)}, surface, generations=4, size=16)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import shared_dir
+from barquill.functions.tables import new_path
 from barquill.operators import simulate as S
 from barquill.plans.feature_queries import _rounded
 from barquill.plans.fixtures import BARS, hourly, table
@@ -37,17 +36,6 @@ def sim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.candidates(scored(spark, sf_dir), CONTRACT, 24))
 
 
-@add()
-def sim_single_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cycles(scored(spark, sf_dir), S.Contract(tau=0.7, span=4, offset=0.2, confirm=2, max_adds=2, sizes=(1.0, 0.5, 0.25), tau_add=0.3))
-
-
-@add()
-def sim_portfolio_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configs = spark.sql("SELECT CAST(id AS INT) AS config_id, 0.70D + id * 0.05D AS tau, 1.0D AS total, 0.3D AS most, 0.02D AS least, 3 AS positions, IF(id % 2 = 0, 0.0D, 1.0D) AS multiplier FROM range(5)")
-    return S.portfolios(S.candidates(scored(spark, sf_dir), CONTRACT, 24), configs)
-
-
 @add(f"""WITH {BARS}, e AS (SELECT symbol, max(ts) AS hi FROM bars GROUP BY 1 HAVING count(*) >= 670) SELECT symbol, count(*) AS n, max(ts) AS last FROM bars JOIN e USING (symbol) WHERE ts <= (SELECT min(hi) FROM e) GROUP BY 1""")
 def sim_common_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.common_window(hourly(spark, sf_dir), 670).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
@@ -100,12 +88,13 @@ def stream_latest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.run_to_table(L.latest(rows), "latest", "complete")
 
 
-@add("""WITH o AS (SELECT event_type AS symbol, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events) SELECT symbol, 'bar' AS kind, count(*)::BIGINT AS n FROM o WHERE p IS NULL OR ts > p GROUP BY 1
-UNION ALL SELECT symbol, 'gap', count(*)::BIGINT FROM o WHERE ts - p > INTERVAL 1 HOUR GROUP BY 1""")
+@add("""WITH o AS (SELECT event_type AS symbol, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p, dense_rank() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events)
+SELECT symbol, CASE WHEN ts = p THEN 'replace' ELSE 'bar' END AS kind, count(*)::BIGINT AS n, count(*) FILTER (WHERE k >= 20)::BIGINT AS ready FROM o GROUP BY symbol, CASE WHEN ts = p THEN 'replace' ELSE 'bar' END
+UNION ALL SELECT symbol, 'gap', count(*)::BIGINT, count(*) FILTER (WHERE k > 20)::BIGINT FROM o WHERE ts - p > INTERVAL 1 HOUR GROUP BY 1""")
 def stream_upserts_and_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
     done = L.run_in_order(L.upserted(rows, size=200, step_seconds=3600), "upserts")
-    return done.where("kind in ('bar', 'gap')").groupBy("symbol", "kind").agg(F.count("*").alias("n"))
+    return done.groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.count_if("ready").alias("ready"))
 
 
 @add("SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE value >= 50)::BIGINT AS entered FROM (SELECT DISTINCT event_type, ts, value FROM events) x")
@@ -124,7 +113,7 @@ def stream_online_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, count(*)::BIGINT AS n FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events) x GROUP BY event_type, date_trunc('hour', ts)")
 def stream_backfill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written, then a second batch with all of them: only those that were missing come in."""
-    path = f"{shared_dir(spark)}/backfill-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "backfill")
     bars = hourly(spark, sf_dir).select("symbol", "ts", "close")
     L.merge_missing(bars.where(F.hour("ts") % 3 != 0), path, ["symbol", "ts"])
     L.merge_missing(bars, path, ["symbol", "ts"])
@@ -142,7 +131,7 @@ def ohlc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"WITH {BARS} SELECT symbol, count(*)::BIGINT AS rows, min(ts) AS first, max(ts) AS last FROM bars GROUP BY 1")
 def bars_by_symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "bars")
     bars = hourly(spark, sf_dir)
     W.write_bars(bars, path)
     W.replace_symbols(bars.where("symbol = 'view'"), path)
@@ -151,7 +140,7 @@ def bars_by_symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS score FROM part WHERE p_size > 10")
 def run_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "log")
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 7 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("score"), F.lit("backtest").alias("stage"), F.when(F.col("p_size") > 10, "ok").otherwise("error").alias("status"))
     W.append_log(rows, path)
@@ -160,7 +149,7 @@ def run_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"""WITH {BARS}, d AS (SELECT symbol AS key, ts::DATE AS day, max_by(close, ts) AS equity FROM bars WHERE symbol = 'view' GROUP BY 1, 2) SELECT day::VARCHAR AS day, equity FROM d""")
 def equity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/equity-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "equity")
     days = hourly(spark, sf_dir).where("symbol = 'view'").groupBy(F.to_date("ts").alias("date")).agg(F.max_by("close", "ts").alias("equity"))
     days.write.option("header", True).csv(path)
     return W.read_equity(spark, path).select(F.col("day").cast("string").alias("day"), "equity")

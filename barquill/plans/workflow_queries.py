@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import shared_dir
+from barquill.functions.tables import new_path
 from barquill.operators import sampling as D
 from barquill.operators import select as S
 from barquill.operators import universe as U
@@ -22,7 +21,7 @@ from barquill.plans.registry import add
 @add("""WITH b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts FROM events GROUP BY 1, 2), e AS (SELECT symbol, min(ts) AS first, max(ts) AS last FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts FROM events) x GROUP BY 1)
 SELECT symbol, (date_diff('hour', first, last) + 1)::BIGINT AS rows, first, last FROM e""")
 def job_build_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.build_bars(ticks(spark, sf_dir), f"{shared_dir(spark)}/job-{uuid.uuid4().hex[:12]}", 3600, 7200)
+    return J.build_bars(ticks(spark, sf_dir), new_path(spark, "job"), 3600, 7200)
 
 
 @add()
@@ -35,7 +34,7 @@ def job_walkforward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("SELECT p_partkey AS id, round(p_retailprice / (p_size + 1), 6) AS score, 'ok' AS status FROM part")
 def job_explore_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the settings is tried, then the job is called with all of them."""
-    path = f"{shared_dir(spark)}/explore-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, "explore")
     configs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_retailprice", "p_size")
     evaluate = lambda t: t.select("id", F.round(F.col("p_retailprice") / (F.col("p_size") + 1), 6).alias("score"))
     J.explore(configs.where("id % 3 = 0"), path, evaluate, ["id"])

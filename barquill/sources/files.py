@@ -49,6 +49,13 @@ def read_equity(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_date(F.col(rows.columns[0]).substr(1, 10)).alias("day"), F.col(value).try_cast("double").alias("equity")).na.drop()
 
 
+def log_tail(spark: SparkSession, path: str, n: int = 300, stamp: str = "ts_utc") -> DataFrame:
+    """(line, record): the last n lines of a log of JSON objects that are whole and have a time, in order of their lines."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("record"))
+    sound = F.try_variant_get(F.try_parse_json("record"), f"$.{stamp}", "string").isNotNull() & F.col("record").startswith("{")
+    return lines.where(sound).orderBy(F.col("line").desc()).limit(max(0, n))
+
+
 def refresh_labels(features: DataFrame, labels: DataFrame, prefix: str = "sniper_") -> DataFrame:
     """Features with new labels: old label columns go, those of ``labels`` come in by symbol and time."""
     old = [c for c in features.columns if c.startswith(prefix) or (c in labels.columns and c not in ("symbol", "ts"))]

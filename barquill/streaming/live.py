@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from barquill.functions.tables import shared_dir
+from barquill.functions.tables import new_path
 
 MESSAGE = "data STRUCT<e: STRING, s: STRING, k: STRUCT<t: BIGINT, o: STRING, h: STRING, l: STRING, c: STRING, v: STRING, x: BOOLEAN>>"
 
@@ -110,6 +109,96 @@ def online_trades(scored: DataFrame, tau: float, span: int, cost: float = 0.002)
     return InOrder(rows, POSITIONS, state, step)
 
 
+_FEATURES = ("ret_1", "mean", "spread", "place")
+
+
+def latest_features(bars: DataFrame, size: int = 500, n: int = 20, ready: int = 20, step_seconds: int = 60) -> InOrder:
+    """Features of each symbol's newest bar from the window held for it: ret_1, mean, spread (deviation over mean) and place
+    (of the close between the least and the largest) of the last n closes; null until ``ready`` bars are held.
+
+    A bar at the same time as the last replaces it, an older one gives nothing. Where bars are missing before one, the
+    window starts anew, and ``reload`` says so: ``reloaded`` has what to fill it with from a stored table.
+    """
+    apart = step_seconds * 1_000_000
+
+    def step(state: dict, row: tuple) -> list[dict]:
+        now, close = row
+        times, closes = state.setdefault("times", []), state.setdefault("closes", [])
+        if now is None or close is None or (times and now < times[-1]):
+            return []
+        reload = bool(times) and now - times[-1] > apart
+        if reload:
+            times.clear()
+            closes.clear()
+        if times and now == times[-1]:
+            closes[-1] = close
+        else:
+            times.append(now)
+            closes.append(close)
+            del times[:-size], closes[:-size]
+        out = {"ts": now, "close": close, "kept": len(times), "reload": reload}
+        if len(times) >= ready:
+            last = closes[-n:]
+            mean, low, high = sum(last) / len(last), min(last), max(last)
+            spread = (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5
+            out |= {"ret_1": close / closes[-2] - 1 if len(closes) > 1 and closes[-2] else None, "mean": mean, "spread": spread / mean if mean else None, "place": (close - low) / (high - low) if high > low else 0.5}
+        return [out]
+
+    output = pa.schema([("symbol", pa.string()), ("ts", _TIME), ("close", pa.float64()), ("kept", pa.int32()), ("reload", pa.bool_()), *((c, pa.float64()) for c in _FEATURES)])
+    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"))
+    return InOrder(rows, output, pa.schema([("times", pa.list_(pa.int64())), ("closes", pa.list_(pa.float64()))]), step)
+
+
+def reloaded(gaps: DataFrame, stored: DataFrame, size: int = 500) -> DataFrame:
+    """(symbol, ts, window): for each gap (symbol, ts) the last ``size`` stored bars up to its time, oldest first.
+
+    A stored bar meets the gaps of its symbol only, and of those only the ones that its window reaches: places in time
+    are compared, so no bar is paired with all gaps.
+    """
+    order = Window.partitionBy("symbol").orderBy("ts", "kind")
+    both = stored.select("symbol", "ts", "close", F.lit(0).alias("kind")).union(gaps.select("symbol", "ts", F.lit(None).cast("double"), F.lit(1)).distinct())
+    held = F.collect_list(F.when(F.col("kind") == 0, F.struct("ts", "close"))).over(order.rowsBetween(-2 * size, 0))
+    return both.withColumn("window", F.slice(held, F.greatest(F.lit(1), F.size(held) - size + 1), size)).where("kind = 1").select("symbol", "ts", "window")
+
+
+PAYLOAD = "struct<summary:struct<equity_usd:double,cash_usd:double,exposure_usd:double,realized_pnl_usd:double,unrealized_pnl_usd:double,updated_at_utc:string>,positions:string,recent_trades:string,allocation:string,meta:string>"
+
+
+def account_state(payloads: DataFrame, points: int = 10_080) -> InOrder:
+    """The state of each account after each payload (symbol: the account, ts, value: JSON): parts that it has replace the old ones.
+
+    Every payload adds a point to the equity history, with the summary that holds then, once there is one; the last
+    ``points`` are kept. What is no JSON object changes nothing but still adds a point. Puts out the parts, how many points there
+    are, the equity of the oldest and the largest of them.
+    """
+    names = ("equity_usd", "cash_usd", "exposure_usd", "positions", "recent_trades", "allocation", "meta")
+    parsed = F.from_json("value", PAYLOAD)
+    summary = parsed["summary"]
+    rows = payloads.select("symbol", "ts", summary.isNotNull().alias("summed"), *(summary[c].alias(c) for c in names[:3]), *(parsed[c].alias(c) for c in names[3:]))
+
+    def step(state: dict, row: tuple) -> list[dict]:
+        now, summed, *parts = row
+        for i, (name, value) in enumerate(zip(names, parts, strict=True)):
+            if (summed if i < 3 else value is not None):
+                state[name] = value
+        history = state.setdefault("history", [])
+        if state.get("equity_usd") is not None:
+            history.append(state["equity_usd"])
+            del history[:-points]
+        kept = {name: state.get(name) for name in names}
+        return [{"ts": now, **kept, "points": len(history), "oldest_usd": history[0] if history else None, "peak_usd": max(history, default=None)}]
+
+    kinds = [(c, pa.float64()) for c in names[:3]] + [(c, pa.string()) for c in names[3:]]
+    output = pa.schema([("symbol", pa.string()), ("ts", _TIME), *kinds, ("points", pa.int32()), ("oldest_usd", pa.float64()), ("peak_usd", pa.float64())])
+    return InOrder(rows, output, pa.schema([*kinds, ("history", pa.list_(pa.float64()))]), step)
+
+
+def last_trades(trades: DataFrame, n: int = 200) -> DataFrame:
+    """The last n trades of each symbol; those without an exit are open and count as the newest."""
+    order = Window.partitionBy("symbol").orderBy(F.col("exit_ts").desc_nulls_first(), F.col("entry_ts").desc())
+    return trades.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k").withColumn("open", F.col("exit_ts").isNull())
+
+
 def decisions(scored: DataFrame, tau: float, delay: str = "10 minutes") -> DataFrame:
     """One decision for each symbol and time, however often it is scored within the delay."""
     once = scored.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["symbol", "event_ts"])
@@ -147,7 +236,7 @@ def read_bars(spark: SparkSession, path: str, schema, per_trigger: int | None =
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is and give the table that it wrote; each batch is written whole, complete ones replace it."""
     spark = stream.sparkSession
-    top = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    top = new_path(spark, f"stream-{name}")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/table" if mode == "complete" else f"{top}/table/batch={n}")
@@ -164,7 +253,7 @@ def run_in_order(work: InOrder, name: str, wait_seconds: int = 0) -> DataFrame:
     ``wait_seconds`` of the newest time seen wait for the next micro-batch, or the end, as older ones may still come.
     """
     spark, step = work.rows.sparkSession, work.step
-    top = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    top = new_path(spark, f"stream-{name}")
     columns, states = work.rows.columns, work.state.names
     # a table for both: rows put out, and where _state says so the state of a symbol after the micro-batch
     schema = pa.schema([*work.output, *(f.with_name(f"_{f.name}") for f in work.state), ("_state", pa.bool_())])
