@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +16,7 @@ from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
 from barquill.llm.substrings import remove_repeats
-from barquill.functions.tables import shared_dir
+from barquill.functions.tables import new_path
 from barquill.llm.topk import exact_top_k
 from barquill.llm.warc import archive_pages
 
@@ -62,7 +61,7 @@ def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(_table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return archive_pages(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
