@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
 from barquill.llm.queries import surrogate_key
-from barquill.functions.tables import materialize, shared_dir
+from barquill.functions.tables import materialize, new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixi
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    top = new_path(spark, "corpus")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{top}/{name}")
