@@ -1,4 +1,4 @@
-"""Distances between all rows of a table of points, in blocks."""
+"""Near points of a table of points: by grid cells within a radius, in blocks for the k nearest."""
 
 from __future__ import annotations
 
@@ -9,17 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points that are sent to the executors at once: a fixed number, whatever the input.
-BLOCK = 4096
+#: Points that are sent to the executors at once: a fixed number, whatever the input; and how many of them at a time are
+#: held against a batch, in a matrix of distances.
+BLOCK, TILE = 4096, 64
+#: Parts of a point that its grid cell is made of, at most.
+GRID_PARTS = 3
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = batch.column(0).to_numpy()
-    return ids, np.array(batch.column(1).to_pylist(), dtype=float).reshape(len(ids), -1)
+    column = batch.column(1)
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return ids, flat.astype(float).reshape(len(ids), -1)
 
 
-def _pairs(points: DataFrame, schema: str, pick) -> DataFrame:
-    """``pick(ids, distances of a sent point to them)`` says which of a task's points go with each sent point."""
+def k_nearest(points: DataFrame, k: int) -> DataFrame:
+    """(a, b, distance, rank) of the k points nearest to each point (id, x), itself left out; ties to the smaller id.
+
+    Points go to the executors in blocks; each task keeps its own k nearest for a point, and those meet by point.
+    """
     points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     blocks = max(1, -(-points.count() // BLOCK))
     out = None
@@ -28,35 +36,41 @@ def _pairs(points: DataFrame, schema: str, pick) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             asked, place = sent.value
+            best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
             for batch in batches:
-                ids, x = _matrix(batch)
-                if not len(ids):
-                    continue
-                for a, at in zip(asked.tolist(), place, strict=True):
-                    apart = np.sqrt(np.sum((x - at) ** 2, axis=1))
-                    some = pick(a, ids, apart)
-                    if len(some):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), a)), pa.array(ids[some]), pa.array(apart[some])], names=["a", "b", "distance"])
-
-        part = points.mapInArrow(run, schema)
+                for lo in range(0, batch.num_rows, 4096):
+                    ids, x = _matrix(batch.slice(lo, 4096))
+                    for at in range(0, len(asked), TILE):
+                        apart = np.sqrt(((place[at : at + TILE, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+                        for i, own in enumerate(asked[at : at + TILE]):
+                            some = np.argpartition(apart[i], k)[: k + 1] if len(ids) > k + 1 else np.arange(len(ids))
+                            some = np.flatnonzero(apart[i] <= apart[i][some].max(initial=0.0))  # all ties
+                            some = some[ids[some] != own]
+                            got, far = np.concatenate([best[at + i][0], ids[some]]), np.concatenate([best[at + i][1], apart[i][some]])
+                            order = np.lexsort((got, far))[:k]
+                            best[at + i] = got[order], far[order]
+            for own, (got, far) in zip(asked.tolist(), best, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), own)), pa.array(got), pa.array(far)], names=["a", "b", "distance"])
+
+        part = points.mapInArrow(run, "a long, b long, distance double")
         out = part if out is None else out.union(part)
-    return out
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
 
 
-def k_nearest(points: DataFrame, k: int) -> DataFrame:
-    """(a, b, distance, rank) of the k points nearest to each point (id, x), itself left out; ties to the smaller id.
+def within(points: DataFrame, radius: float) -> DataFrame:
+    """(a, b, distance) of the pairs a < b of points that are no more than ``radius`` apart.
 
-    Each task keeps its own k nearest for a point, and those meet by point.
+    Points meet by grid cells as wide as the radius, in up to three of their parts: each point stands in its own cell and
+    asks there and in the cells around, so only points of neighbouring cells are compared.
     """
-
-    def pick(a: int, ids: np.ndarray, apart: np.ndarray) -> np.ndarray:
-        order = np.lexsort((ids, apart))
-        return order[ids[order] != a][:k]
-
-    found = _pairs(points, "a long, b long, distance double", pick)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
-
-
-def within(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b, distance) of the pairs a < b of points that are no more than ``radius`` apart."""
-    return _pairs(points, "a long, b long, distance double", lambda a, ids, apart: np.flatnonzero((apart <= radius) & (ids > a)))
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")).where("id is not null and x is not null")
+    parts = min(GRID_PARTS, points.agg(F.max(F.size("x"))).first()[0] or 0)
+    side = radius if radius > 0 else 1.0
+    place = [F.floor(F.element_at("x", i + 1) / side) for i in range(parts)]
+    own = points.select(F.col("id").alias("b"), F.col("x").alias("y"), F.array(*place).alias("cell") if parts else F.array(F.lit(0).cast("long")).alias("cell"))
+    asking = points.select(F.col("id").alias("a"), "x", *(c.alias(f"c{i}") for i, c in enumerate(place)))
+    for i in range(parts):
+        asking = asking.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
+    asking = asking.select("a", "x", F.array(*(f"c{i}" for i in range(parts))).alias("cell") if parts else F.array(F.lit(0).cast("long")).alias("cell"))
+    apart = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    return asking.join(own, "cell").where(F.col("a") < F.col("b")).select("a", "b", apart.alias("distance")).where(F.col("distance") <= radius)

@@ -21,7 +21,7 @@ def span(n: float) -> float:
 def averages(df: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("symbol", "seg"), order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Add exponential averages, one after the other: later steps may use the columns of earlier ones.
 
-    The first finite value of a segment starts an average, null values are passed over. Rows are dealt by key and sorted
+    The first finite value of a segment starts an average; null values are passed over, and where one stands the average is null. Rows are dealt by key and sorted
     once and then stream through Python in Arrow batches; what carries over from batch to batch is one number and one
     count for each step, so a symbol of any length needs no more memory than a batch.
     """
@@ -45,7 +45,7 @@ def averages(df: DataFrame, steps: list[Step], keys: tuple[str, ...] = ("symbol"
                     smooth = pd.concat([pd.Series([held]), x]).ewm(alpha=weight, adjust=False, ignore_na=True).mean().to_numpy()[1:]
                     counts = count + x.notna().cumsum().to_numpy()
                     state[name] = (smooth[-1], int(counts[-1]))
-                    part[name] = np.where(counts >= minp, smooth, np.nan)
+                    part[name] = np.where((counts >= minp) & x.notna().to_numpy(), smooth, np.nan)
                 parts.append(part)
             out = pd.concat(parts)
             for name, *_ in steps:

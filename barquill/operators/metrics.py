@@ -86,15 +86,27 @@ def worst_stretches(eq: DataFrame, rows: tuple[int, ...] = (14, 30, 90)) -> Data
 
 
 def trade_stats(trades: DataFrame) -> DataFrame:
-    """By key: trades, win rate, profit factors (losses as <= 0, < 0 and weighted), quartiles, payoff, expectancy, worst."""
+    """By key: trades, win rate, profit factors (losses as <= 0, < 0 and weighted), quartiles, payoff, expectancy, worst.
+
+    Without losses factors and payoff are infinite; a factor without gains either is 0.
+    """
     r, w = F.col("r_net"), F.col("r_net") * F.col("weight")
     part = lambda test, x: F.sum(F.when(test, x).otherwise(0.0))
-    factor = lambda x: F.when(part(x < 0, -x) > 0, part(x > 0, x) / F.greatest(part(x < 0, -x), F.lit(1e-12)))
+    endless = F.lit(float("inf"))
+    factor = lambda x: F.when(part(x < 0, -x) > 0, part(x > 0, x) / F.greatest(part(x < 0, -x), F.lit(1e-12))).when(part(x > 0, x) > 0, endless).otherwise(0.0)
     return trades.groupBy("key").agg(
         F.count("*").alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), factor(r).alias("profit_factor"), factor(w).alias("profit_factor_weighted"),
         F.percentile("r_net", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(F.when(r > 0, r)).alias("mean_win"), F.avg(F.when(r < 0, -r)).alias("mean_loss"),
         F.avg(r).alias("expectancy"), F.min(w).alias("worst_trade"), F.min(r).alias("worst_trade_raw"), F.sum(w).alias("ret_weighted"),
-    ).select("*", F.col("q")[0].alias("r_p25"), F.col("q")[1].alias("r_p50"), F.col("q")[2].alias("r_p75"), (F.col("mean_win") / F.col("mean_loss")).alias("payoff")).drop("q")
+    ).select("*", F.col("q")[0].alias("r_p25"), F.col("q")[1].alias("r_p50"), F.col("q")[2].alias("r_p75"), F.when(F.col("mean_loss").isNull(), endless).otherwise(F.coalesce("mean_win", F.lit(0.0)) / F.col("mean_loss")).alias("payoff")).drop("q")
+
+
+def compounded_without_best(trades: DataFrame, n: int = 3) -> DataFrame:
+    """By key: the compounded return of all trades, without the best one, and without the n best."""
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.col("r_net").desc()))
+    grown = lambda least: F.coalesce(F.product(F.when(F.col("_k") > least, 1 + F.col("r_net"))), F.lit(1.0)) - 1
+    rows = trades.withColumn("_k", best)
+    return rows.groupBy("key").agg(grown(0).alias("ret"), grown(1).alias("ret_wo_best"), grown(n).alias("ret_wo_top"))
 
 
 def concentration(trades: DataFrame) -> DataFrame:

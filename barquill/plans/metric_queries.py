@@ -86,6 +86,13 @@ def trade_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.trade_stats(trades(spark, sf_dir)))
 
 
+@add(_T + """, o AS (SELECT l_orderkey AS key, r_net, row_number() OVER (PARTITION BY l_orderkey ORDER BY r_net DESC) AS k FROM t)
+SELECT key, round(product(1 + r_net) - 1, 12) AS ret, round(coalesce(product(1 + r_net) FILTER (WHERE k > 1), 1) - 1, 12) AS ret_wo_best, round(coalesce(product(1 + r_net) FILTER (WHERE k > 3), 1) - 1, 12) AS ret_wo_top FROM o GROUP BY 1""")
+def trades_without_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of each order compounded, with and without the best."""
+    return _rounded(M.compounded_without_best(trades(spark, sf_dir).withColumn("key", F.col("l_orderkey"))), 12)
+
+
 @add(_T + """, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY w DESC) AS k FROM t)
 SELECT key, round(max(w) / sum(w) FILTER (WHERE w > 0), 6) AS top1_share_pos, round(sum(w) FILTER (WHERE k <= 3) / sum(w) FILTER (WHERE w > 0), 6) AS top3_share_pos,
   round(sum(w) - max(w), 6) AS ret_wo_best, round(sum(w) - sum(w) FILTER (WHERE k <= 3), 6) AS ret_wo_top3 FROM k GROUP BY 1""")
@@ -121,11 +128,11 @@ def stitched_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(M.stitch(returns(spark, sf_dir).withColumnRenamed("key", "step")))
 
 
-@add("""WITH e AS (SELECT event_type AS key, ts::DATE AS day, max_by(value, row(ts, event_id)) AS equity FROM events WHERE day(ts) % 3 <> 0 GROUP BY 1, 2),
+@add("""WITH e AS (SELECT event_type AS key, ts::DATE AS day, max_by(value, row(ts, event_id)) AS equity FROM events GROUP BY 1, 2),
 g AS (SELECT key, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM e GROUP BY key)
 SELECT key, day::VARCHAR AS day, round(last_value(equity IGNORE NULLS) OVER (PARTITION BY key ORDER BY g.day), 6) AS equity FROM g LEFT JOIN e USING (key, day)""")
 def daily_equity_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(F.dayofmonth("ts") % 3 != 0)
+    rows = table(spark, sf_dir, "events")
     return _rounded(M.daily_curve(rows.select(F.col("event_type").alias("key"), "ts", F.col("value").alias("equity"))))
 
 

@@ -122,10 +122,10 @@ def model_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.as_of(labelled(spark, sf_dir), periods).select("event_id", "period_id")
 
 
-@add(f"""WITH {BARS}, h AS (SELECT symbol, ts, close FROM bars WHERE hour(ts) % 6 = 0)
+@add(f"""WITH {BARS}, h AS (SELECT symbol, ts, close FROM bars)
 SELECT e.event_id, h.close AS price FROM events e ASOF LEFT JOIN h ON e.event_type = h.symbol AND e.ts >= h.ts""")
 def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = hourly(spark, sf_dir).where(F.hour("ts") % 6 == 0).select("symbol", "ts", F.col("close").alias("price"))
+    held = hourly(spark, sf_dir).select("symbol", "ts", F.col("close").alias("price"))
     return C.last_before(labelled(spark, sf_dir).select("event_id", "symbol", "ts"), held, "symbol", "ts", ["price"]).select("event_id", "price")
 
 

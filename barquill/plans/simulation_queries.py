@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,10 +146,10 @@ def run_log_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.numbers(W.read_log(spark, path), ["score"]).select(F.col("id").cast("long").alias("id"), "score")
 
 
-@add(f"""WITH {BARS}, d AS (SELECT symbol AS key, ts::DATE AS day, max_by(close, ts) AS equity FROM bars WHERE symbol = 'view' GROUP BY 1, 2) SELECT day::VARCHAR AS day, equity FROM d""")
+@add(f"""WITH {BARS}, d AS (SELECT ts::DATE AS day, max_by(close, row(ts, symbol)) AS equity FROM bars GROUP BY 1) SELECT day::VARCHAR AS day, equity FROM d""")
 def equity_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "equity")
-    days = hourly(spark, sf_dir).where("symbol = 'view'").groupBy(F.to_date("ts").alias("date")).agg(F.max_by("close", "ts").alias("equity"))
+    days = hourly(spark, sf_dir).groupBy(F.to_date("ts").alias("date")).agg(F.max_by("close", F.struct("ts", "symbol")).alias("equity"))
     days.write.option("header", True).csv(path)
     return W.read_equity(spark, path).select(F.col("day").cast("string").alias("day"), "equity")
 

@@ -88,9 +88,11 @@ def pool_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "label")
 
 
-@add()
+@add(Q._L + """, q AS (SELECT list(x) AS c FROM (SELECT DISTINCT unnest(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS x FROM e)), b AS (SELECT e.*, len(list_filter(c, lambda x: x <= value)) AS bin FROM e, q), n AS (SELECT bin, count(*) AS n FROM b GROUP BY 1),
+w AS (SELECT bin, greatest(0.25, least(4, sqrt(avg(n) OVER () / n))) AS balance FROM n), d AS (SELECT event_id, value, balance, ln((('0x' || substr(h, 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / (balance * weight) AS g FROM b JOIN w USING (bin) WHERE weight > 0)
+SELECT event_id, value, round(balance, 6) AS balance FROM d ORDER BY g DESC, event_id LIMIT 800""")
 def balanced_regression_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.balanced(Q.labelled(spark, sf_dir), F.col("event_id"), "value", 800).select("event_id", "value", "balance")
+    return D.balanced(Q.labelled(spark, sf_dir), F.col("event_id"), "value", 800).select("event_id", "value", F.round("balance", 6).alias("balance"))
 
 
 @add("SELECT upper(replace(p_brand, '#', '.')) AS raw, replace(upper(replace(p_brand, '#', '.')), '.', '-') AS symbol, count(*)::BIGINT AS n FROM part GROUP BY 1, 2")
@@ -101,12 +103,12 @@ def stock_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(raw.alias("raw"), stock_symbol(raw).alias("symbol")).groupBy("raw", "symbol").agg(F.count("*").alias("n"))
 
 
-@add("""WITH c AS (SELECT c_custkey % 200 AS b, max(c_acctbal) AS cap FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1), p AS (SELECT DISTINCT s_suppkey % 250 AS b FROM supplier WHERE s_nationkey % 5 > 0)
+@add("""WITH c AS (SELECT c_custkey % 200 AS b, max(c_acctbal) AS cap FROM customer GROUP BY 1), p AS (SELECT DISTINCT s_suppkey % 250 AS b FROM supplier WHERE s_nationkey % 5 > 0)
 SELECT 'b' || p.b AS base, cap, cap IS NULL AS skipped FROM p LEFT JOIN c USING (b)""")
 def universe_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c, n: F.concat(F.lit("B"), (F.col(c) % n).cast("string"))
     pairs = table(spark, sf_dir, "supplier").select(name("s_suppkey", 250).alias("base"), F.when(F.col("s_nationkey") % 5 > 0, "TRADING").otherwise("HALT").alias("status"))
-    feed = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(name("c_custkey", 200).alias("symbol"), F.col("c_acctbal").alias("cap"))
+    feed = table(spark, sf_dir, "customer").select(name("c_custkey", 200).alias("symbol"), F.col("c_acctbal").alias("cap"))
     found, skipped = U.discovered(pairs, feed)
     return found.withColumn("skipped", F.lit(False)).unionByName(skipped.withColumn("cap", F.lit(None).cast("double")).withColumn("skipped", F.lit(True)))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barquill.functions import rolling as R
+from barquill.functions.nearest import k_nearest, within
 from barquill.functions.recursive import averages, span
 from barquill.operators.simulate import rolling_correlation
 from barquill.operators import bars as B
@@ -16,6 +17,7 @@ from barquill.operators import labels as L
 from barquill.operators import metrics as M
 from barquill.operators import scoring as C
 from barquill.operators import select as S
+from barquill.operators import universe as U
 from barquill.operators.features import FeatureConfig, build
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,7 +47,7 @@ def test_average_passes_over_nulls_and_continues_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
         df = averages(series(spark, close=[1.0, None, 2.0, 3.0, 4.0]), [("e", lambda p: p["close"], span(3), 1)])
-        close_to(values(df, "e"), [1, 1, 1.5, 2.25, 3.125])
+        close_to(values(df, "e"), [1, None, 1.5, 2.25, 3.125])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -147,3 +149,54 @@ def test_rolling_correlation_of_flat_series(spark):
     rows = [("k", t, a, b) for t, (a, b) in enumerate([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0), (2.0, None), (2.0, 4.0), (3.0, 6.0)])]
     got = rolling_correlation(spark.createDataFrame(rows, "key string, ts long, a double, b double"), 3, 2).orderBy("ts").collect()
     assert [None if r.correlation is None else round(r.correlation, 9) for r in got] == [None, None, None, None, -1.0, 1.0]
+
+
+def test_days_without_a_value_carry_the_last_one(spark):
+    df = spark.createDataFrame([("a", T0, 1.0), ("a", T0 + dt.timedelta(days=3), 2.0), ("a", T0 + dt.timedelta(days=3, hours=1), 3.0)], "key string, ts timestamp_ntz, equity double")
+    assert [r.equity for r in M.daily_curve(df).orderBy("day").collect()] == [1.0, 1.0, 1.0, 3.0]
+
+
+def test_prices_between_times_and_before_the_first(spark):
+    held = spark.createDataFrame([("a", T0, 1.0), ("a", T0 + dt.timedelta(hours=6), 2.0)], "symbol string, ts timestamp_ntz, price double")
+    asked = spark.createDataFrame([(i, "a", T0 + dt.timedelta(hours=h)) for i, h in enumerate((-1, 0, 5, 6, 9))] + [(9, "b", T0)], "n int, symbol string, ts timestamp_ntz")
+    assert {r.n: r.price for r in C.last_before(asked, held, "symbol", "ts", ["price"]).collect()} == {0: None, 1: 1.0, 2: 1.0, 3: 2.0, 4: 2.0, 9: None}
+
+
+def test_symbols_without_a_cap_are_skipped(spark):
+    pairs = spark.createDataFrame([("A", "TRADING"), ("B", "TRADING"), ("C", "HALT")], "base string, status string")
+    found, skipped = U.discovered(pairs, spark.createDataFrame([("a", 5.0), ("C", 7.0)], "symbol string, cap double").withColumn("symbol", F.upper("symbol")))
+    assert [r.base.upper() for r in found.collect()] == ["A"] and [r.base.upper() for r in skipped.collect()] == ["B"]
+
+
+def test_factors_without_losses_are_infinite(spark):
+    df = spark.createDataFrame([("won", 0.1, 1.0), ("lost", -0.1, 1.0), ("even", 0.0, 1.0)], "key string, r_net double, weight double")
+    got = {r.key: (r.profit_factor, r.payoff) for r in M.trade_stats(df).collect()}
+    assert got == {"won": (float("inf"), float("inf")), "lost": (0.0, 0.0), "even": (0.0, float("inf"))}
+
+
+def test_calibrations_keep_order_and_mean(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(p := rng.random(), float(rng.random() < p * p)) for _ in range(2000)]
+    df = spark.createDataFrame(data, "score double, label double")
+    for fitted in (C.fit_platt(df, "score", "label"), C.fit_isotonic(df, "score", "label")):
+        got = [r.p for r in df.orderBy("score").select(C.calibrated(F.col("score"), fitted).alias("p")).collect()]
+        assert got == sorted(got) and 0 <= got[0] and got[-1] <= 1
+        assert sum(got) / 2000 == pytest.approx(sum(y for _, y in data) / 2000, abs=0.03)
+
+
+def test_pairs_within_a_radius_like_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    points = [(i, [rng.random() for _ in range(4)]) for i in range(150)] + [(200, [0.5] * 4), (201, [0.5] * 4)]
+    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
+    df = spark.createDataFrame(points, "id long, x array<double>").repartition(3)
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(points, 2) if apart(x, y) <= 0.25}
+    got = within(df, 0.25).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and all(r.distance <= 0.25 for r in got)
+    near = {(r.a, r["rank"]): r.b for r in k_nearest(df, 3).collect()}
+    for a, x in points[::17]:
+        assert [near[a, n] for n in (1, 2, 3)] == [b for _, b in sorted((apart(x, y), b) for b, y in points if b != a)[:3]]
