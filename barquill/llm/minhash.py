@@ -158,7 +158,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def with_keys(docs: DataFrame) -> DataFrame:
     """``docs`` with k1 and k2, the fingerprints of the words of its text, A-Z lower-cased."""
-    at, names = docs.columns.index("text"), [*docs.columns, "k1", "k2"]
+    at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +167,10 @@ def with_keys(docs: DataFrame) -> DataFrame:
                 hashed = words.hashes(LOWER)
                 for keys, seed in zip(found, (21, 22), strict=True):
                     keys.append(words.fingerprint(hashed, seed).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in found)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.concatenate(x)) for x in found)], names=[*names, "k1", "k2"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("k1", LongType()), StructField("k2", LongType())]))
+    plain = docs.toDF(*names)  # names that mapInArrow cannot read may be among them
+    return plain.mapInArrow(run, StructType([*plain.schema, StructField("k1", LongType()), StructField("k2", LongType())])).toDF(*docs.columns, "k1", "k2")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, keys: bool = False) -> DataFrame:
