@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquill.llm.minhash import near_duplicates, with_keys
 from barquill.llm.mixing import mix_sources
+from barquill.llm.names import others, unused
 from barquill.llm.packing import pack
 from barquill.llm.pii import replace_pii
 from barquill.llm.quality import grade, ratings_of, train
@@ -15,12 +19,33 @@ from barquill.llm.queries import surrogate_key
 from barquill.functions.tables import materialize, new_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _making(*names: str) -> Callable[[Stage], Stage]:
+    """A stage that makes columns of these names for itself: columns of documents that are called so stay as they are."""
+
+    def wrap(stage: Stage) -> Stage:
+        @functools.wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            clash = [c for c in docs.columns if c.lower() in names]
+            aside = unused([*docs.columns, *names], *clash)
+            done = stage(spark, docs.withColumnsRenamed(dict(zip(clash, aside, strict=True))), sf_dir)
+            return done.withColumnsRenamed(dict(zip(aside, clash, strict=True)))
+
+        return run
+
+    return wrap
+
+
+@_making("quality_grade", "quality_tail", "quality_kept")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose highest grade is likely; the model is fitted on the ratings of the documents that came in."""
     model = train(docs, ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), grades=3)
-    return grade(docs, model).where("quality_kept").select(docs.columns)
+    return grade(docs, model).where("quality_kept").select(*others(docs.columns))
 
 
+@_making("near_id", "k1", "k2")
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8): that with the smallest doc_id.
 
@@ -43,20 +68,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = with_keys(rows.join(several, "near_id", "left_semi")).join(verdict, ["near_id", "k1", "k2"], "left_semi")
     blank = again.where(~words).dropDuplicates(["near_id", "text"])
     again = again.where(words).dropDuplicates(["near_id", "k1", "k2"]).union(blank)
-    return once.select(docs.columns).union(again.select(docs.columns)).union(docs.where(unnamed))
+    return once.select(*others(docs.columns)).union(again.select(*others(docs.columns))).union(docs.where(unnamed))
 
 
+@_making("pii_text", "pii_entities")
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars follows the text."""
     done = replace_pii(docs, surrogate_key(spark))
     changed = {"text": F.col("pii_text"), "n_chars": F.when(F.size("pii_entities") > 0, F.length("pii_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+    return done.select(*(changed[c].alias(c) if c in changed else name for c, name in zip(docs.columns, others(docs.columns), strict=True)))
 
 
+@_making("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_copy")
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mix_sources(docs).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(docs.columns)
+    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*others(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
