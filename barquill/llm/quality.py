@@ -19,8 +19,8 @@ from barquill.llm.words import LOWER, Words, chunks_of, mix, randoms
 
 #: Bits of a hashed feature, and rated documents that a model is fitted on at most.
 BITS, SAMPLE = 20, 20_000
-EPOCHS, RATE, SHRINK, BATCH = 12, 0.2, 2e-4, 64
-KEEP = 0.5
+EPOCHS, RATE, SHRINK, BATCH = 12, 0.5, 1e-3, 64
+KEEP = 0.6
 
 _SALT = randoms(301, 16)
 _UPPER = np.zeros(256, np.int64)
