@@ -57,11 +57,15 @@ WINDOWS: dict[str, tuple] = {
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """``candle``: seconds of a bar; ``windows`` replaces those of some blocks; ``warm_up``: full, half or progressive."""
+    """``candle``: seconds of a bar; ``windows`` replaces those of some blocks; ``warm_up``: full, half or progressive.
+
+    ``nulls``: a null in a window over windows is passed over (``skip``) or spoils all that comes after it in its segment (``poison``).
+    """
 
     candle: int = 300
     windows: dict[str, tuple] = field(default_factory=dict)
     warm_up: str = "full"
+    nulls: str = "skip"
 
     def of(self, block: str) -> tuple:
         return self.windows.get(block, WINDOWS[block])
@@ -167,6 +171,9 @@ def keltner(s: Stages) -> None:
         s.mid[wide] = 4 * s.window("mean", "_tr", s.cfg.bars(m)) / share * 100
         s.roll2[f"{wide}_mean"], s.roll2[f"{wide}_dev"] = R.mean(wide, n, minp), R.deviation(wide, n, minp)
         s.out[f"keltner_width_z_{m}"] = (F.col(wide) - F.col(f"{wide}_mean")) / (F.col(f"{wide}_dev") + EPS)
+        if s.cfg.nulls == "poison":
+            s.roll2[f"{wide}_gone"] = F.count_if(F.col(wide).isNull()).over(R.so_far())
+            s.out[f"keltner_width_z_{m}"] = F.when(F.col(f"{wide}_gone") == 0, s.out[f"keltner_width_z_{m}"])
 
 
 def rsi(s: Stages) -> None:
@@ -392,6 +399,59 @@ def build(bars: DataFrame, cfg: FeatureConfig | None = None, blocks: Iterable[st
     return rows.select("symbol", "ts", "close", *(sound(names[c]).alias(c) for c in wanted))
 
 
+# The features of each preset.
+PRESETS = {
+    "core80": """
+        shitidx_pct_60_240 shitidx_pct_240_1440 shitidx_pct_720_4320 atr_pct_30 atr_pct_60 atr_pct_240 rsi_price_30 rsi_price_60 rsi_price_240 rsi_ema30_60
+        slope_pct_30 slope_pct_60 slope_pct_240 slope_pct_720 vol_pct_60 vol_pct_240 vol_pct_720 vol_pct_1440 ci_60 cum_ret_pct_60 cum_ret_pct_240 cum_ret_pct_1440
+        keltner_center_pct_60 keltner_center_pct_240 keltner_center_pct_1440 keltner_pos_240 keltner_halfwidth_pct_30 keltner_halfwidth_pct_60 keltner_halfwidth_pct_240 cci_60
+        adx_30 adx_60 adx_240 pct_from_min_30 pct_from_min_60 pct_from_min_240 pct_from_min_720 pct_from_max_30 pct_from_max_60 pct_from_max_240 pct_from_max_720
+        time_since_min_30 time_since_min_60 time_since_min_240 time_since_min_720 zlog_240m zlog_1440m slope_reserr_pct_240 slope_reserr_pct_720 slope_reserr_pct_1440
+        vol_ratio_pct_60_240 vol_ratio_pct_240_1440 log_volume_ema liquidity_ratio volume_to_range_ema60 volume_to_range_ema240 rev_speed_up_30 rev_speed_down_30 rev_speed_up_240 rev_speed_down_240
+        vol_z signed_vol_z shadow_balance shadow_balance_raw range_ratio_30_240 eff_30 eff_60 eff_240 eff_720 run_up_cnt_30 run_dn_cnt_30 run_up_cnt_240 run_dn_cnt_60 run_up_len
+        hh_cnt_60 hl_cnt_60 hh_cnt_240 bars_above_ema_30 bars_above_ema_60 bars_since_cross_60 bars_above_ema_240 break_high_60 break_low_60 bars_since_bhigh_240 bars_since_blow_240
+        slope_diff_30_60 wick_lower_mean_60
+    """.split(),
+    "core65": """
+        shitidx_pct_60_240 shitidx_pct_240_1440 atr_pct_30 atr_pct_60 atr_pct_240 rsi_price_30 rsi_price_60 rsi_price_240 rsi_ema30_60 slope_pct_30 slope_pct_60 slope_pct_240
+        vol_pct_60 vol_pct_240 vol_pct_720 vol_pct_1440 ci_60 cum_ret_pct_60 cum_ret_pct_240 keltner_center_pct_60 keltner_center_pct_240 keltner_center_pct_1440 keltner_pos_240 keltner_halfwidth_pct_60
+        cci_60 adx_30 adx_60 pct_from_min_30 pct_from_min_60 pct_from_max_30 pct_from_max_60 time_since_min_30 time_since_min_60 time_since_max_30 time_since_max_60 zlog_240m
+        slope_reserr_pct_240 slope_reserr_pct_720 slope_reserr_pct_1440 vol_ratio_pct_60_240 log_volume_ema liquidity_ratio volume_to_range_ema60 volume_to_range_ema240
+        rev_speed_up_30 rev_speed_down_30 rev_speed_up_240 rev_speed_down_240 vol_z signed_vol_z shadow_balance_raw range_ratio_30_240 eff_30 eff_60 eff_240 eff_720
+        run_up_cnt_30 run_dn_cnt_30 run_up_cnt_240 run_up_len hh_cnt_60 hl_cnt_60 bars_above_ema_60 bars_since_cross_60 bars_above_ema_240 break_high_60 break_low_60 bars_since_bhigh_240
+        slope_diff_30_60 wick_lower_mean_60
+    """.split(),
+    "core50": """
+        shitidx_pct_60_240 shitidx_pct_240_1440 atr_pct_30 atr_pct_60 rsi_price_30 rsi_price_60 rsi_ema30_60 slope_pct_30 slope_pct_60 slope_pct_240 vol_pct_60 vol_pct_240 vol_pct_720
+        cum_ret_pct_60 cum_ret_pct_240 keltner_center_pct_60 keltner_center_pct_240 keltner_center_pct_1440 keltner_pos_240 adx_30 adx_60 pct_from_min_30 pct_from_max_30
+        time_since_min_30 time_since_max_30 zlog_240m slope_reserr_pct_240 slope_reserr_pct_720 vol_ratio_pct_60_240 log_volume_ema liquidity_ratio volume_to_range_ema60
+        rev_speed_up_30 rev_speed_down_30 vol_z signed_vol_z shadow_balance_raw eff_30 eff_60 eff_240 run_up_cnt_30 run_dn_cnt_30 run_up_cnt_240 hh_cnt_60 hl_cnt_60
+        bars_above_ema_60 bars_since_cross_60 break_high_60 break_low_60 wick_lower_mean_60
+    """.split(),
+}
+
+
+def block_of(cfg: FeatureConfig | None = None) -> dict[str, str]:
+    """The block that makes each feature."""
+    out = {}
+    for name, make in BLOCKS.items():
+        s = Stages(cfg or FeatureConfig())
+        make(s)
+        out |= dict.fromkeys({**s.out, **s.last}, name)
+    return out
+
+
+def preset(name: str) -> tuple[list[str], list[str] | None]:
+    """Blocks and features of a preset, for ``build``; ``full`` and nothing are all blocks and no choice of features."""
+    if name.strip().lower() in ("", "default", "full", "all", "none"):
+        return list(BLOCKS), None
+    if name.strip().lower() not in PRESETS:
+        raise ValueError(f"no preset is called {name}")
+    names = PRESETS[name.strip().lower()]
+    blocks = block_of()
+    return sorted({blocks[x] for x in names}), names
+
+
 def feature_columns(df: DataFrame, allowed: Iterable[str] | None = None) -> list[str]:
     """The columns that are features: numbers that are not prices, labels or bookkeeping, and not null throughout.
 

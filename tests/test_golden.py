@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -18,7 +19,7 @@ from barquill.operators import metrics as M
 from barquill.operators import scoring as C
 from barquill.operators import select as S
 from barquill.operators import universe as U
-from barquill.operators.features import FeatureConfig, build
+from barquill.operators.features import PRESETS, FeatureConfig, block_of, build, preset
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -200,3 +201,24 @@ def test_pairs_within_a_radius_like_all_pairs(spark):
     near = {(r.a, r["rank"]): r.b for r in k_nearest(df, 3).collect()}
     for a, x in points[::17]:
         assert [near[a, n] for n in (1, 2, 3)] == [b for _, b in sorted((apart(x, y), b) for b, y in points if b != a)[:3]]
+
+
+def test_presets_name_features_that_are_made(spark):
+    made = block_of()
+    assert {k: len(v) for k, v in PRESETS.items()} == {"core80": 87, "core65": 70, "core50": 50} and all(x in made for v in PRESETS.values() for x in v)
+    blocks, names = preset("core50")
+    rows = build(bars(spark, range(30), [1.0 + 0.1 * (i % 7) for i in range(30)]), FeatureConfig(candle=60, warm_up="progressive"), blocks, names)
+    assert sorted(rows.columns[3:]) == sorted(names) and rows.count() == 30
+    assert preset("full")[1] is None and "keltner" in preset("core65")[0]
+    with pytest.raises(ValueError):
+        preset("core1")
+
+
+def test_a_null_spoils_what_follows_if_asked(spark):
+    cfg = FeatureConfig(candle=3600, windows={"keltner_z": (120,)})
+    rows = bars(spark, [60 * i for i in range(12)], [1.0 + 0.1 * (i % 5) for i in range(12)])
+    z = lambda nulls: values(build(rows, replace(cfg, nulls=nulls), ["keltner"]), "keltner_width_z_120")
+    skipped = z("skip")
+    assert skipped[0] is None and skipped[-1] is not None and z("poison") == [None] * 12
+    cfg = replace(cfg, warm_up="progressive")
+    assert z("poison") == z("skip")
