@@ -91,22 +91,31 @@ class Index:
     """For each substring, the rows of a block by its value."""
 
     def __init__(self, codes: np.ndarray, rows: np.ndarray | None = None):
-        self.codes = codes
+        self.codes = np.ascontiguousarray(codes)
         self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32) if rows is None else rows
+        self.values = [codes[rows, j] for j, rows in enumerate(self.rows)]
         self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << PART))]) for j in range(codes.shape[1])]
 
+    def probed(self, j: int, value: int, most: int) -> np.ndarray:
+        """Rows whose substring j is at most ``most`` bits from ``value``: from the buckets of all such values, or, if
+        there are more of those than rows, from the buckets that are not empty."""
+        if len(flips(most)) * 2 > len(self.codes):
+            return self.rows[j][np.bitwise_count(self.values[j] ^ value) <= most]
+        keys = flips(most) ^ value
+        lo, n = self.starts[j][keys], self.starts[j][keys.astype(np.int64) + 1] - self.starts[j][keys]
+        some = n > 0
+        lo, n = lo[some], n[some]
+        return self.rows[j][np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code is at most ``radius`` bits from ``code``, by probing buckets of near substrings."""
         hit = np.zeros(len(self.codes), bool)
         for j, most in enumerate(thresholds(radius, len(code))):
-            keys = flips(most) ^ code[j]
-            lo, n = self.starts[j][keys], self.starts[j][keys.astype(np.int64) + 1] - self.starts[j][keys]
-            some = n > 0
-            lo, n = lo[some], n[some]
-            places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            hit[self.rows[j][places]] = True
+            if most >= 0:
+                hit[self.probed(j, code[j], most)] = True
         rows = np.flatnonzero(hit)
-        return rows[distance(self.codes[rows], code) <= radius]
+        whole = np.uint64 if BITS % 64 == 0 else np.uint16  # words of a code that are compared at once
+        return rows[distance(self.codes.view(whole)[rows], np.ascontiguousarray(code).view(whole)) <= radius]
 
 
 class Indexed:
