@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from barquill.functions.quantiles import quantiles
 from barquill.functions.rolling import clip
-from barquill.operators.sampling import take
 
 
 def as_of(rows: DataFrame, periods: DataFrame, ts: str = "ts", start: str = "train_end") -> DataFrame:
@@ -98,16 +97,20 @@ def threshold_for_adding(tau: float) -> float:
 
 
 def precision_at(df: DataFrame, score: str, label: str, key: str, fractions: list[float], least: int = 1) -> DataFrame:
-    """(fraction, k, precision): the share of positives among the k = max(least, round(fraction * n)) best scores in [0, 1]."""
+    """(fraction, k, precision): the share of positives among the k = max(least, round(fraction * n)) best scores in [0, 1].
+
+    Ranks are counts of better steps of the score plus a rank inside the step, made once for all fractions.
+    """
+    rows = df.select(F.col(score).alias("_s"), F.col(label).alias("_y"), F.col(key).alias("_id"), (-F.floor(F.col(score) * 4096)).alias("_step"))
+    counts = rows.groupBy("_step").agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col("_step").alias("_of"), (F.sum("_n").over(Window.orderBy("_step")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_step").orderBy(F.col("_s").desc(), "_id"))
+    rows = rows.withColumn("_rank", inside).join(counts, F.col("_step").eqNullSafe(F.col("_of"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     n = df.count()
-    out = None
-    for q in fractions:
-        k = min(n, max(least, int(round(q * n))))
-        rows = df.withColumn("_all", F.lit(1)).withColumn("_k", F.lit(k))
-        top = take(rows, ["_all"], "_k", [F.col(score).desc(), F.col(key)], -F.floor(F.col(score) * 4096))
-        row = top.agg(F.avg(label).alias("precision")).select(F.lit(q).alias("fraction"), F.lit(k).cast("long").alias("k"), "precision")
-        out = row if out is None else out.union(row)
-    return out
+    ks = [min(n, max(least, int(round(q * n)))) for q in fractions]
+    found = rows.agg(*(F.avg(F.when(F.col("_rank") <= k, F.col("_y"))).alias(f"p{i}") for i, k in enumerate(ks)))
+    each = (F.struct(F.lit(q).alias("fraction"), F.lit(k).cast("long").alias("k"), F.col(f"p{i}").alias("precision")) for i, (q, k) in enumerate(zip(fractions, ks, strict=True)))
+    return found.select(F.inline(F.array(*each)))
 
 
 def clip_to_quantiles(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
