@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
         others = pairs.join(parts.where("parts > 1"), "a", "left").withColumn("part", F.coalesce(part, F.lit(0))).join(who, F.col("b") == who["node"]).select("a", "part", "b", "first_id", "k1")
         rows = own.union(others).join(texts, "first_id").select("a", "part", "b", "k1", "text")
         rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return materialize(rows.mapInArrow(_confirm(k, percent), "a long, b long").distinct(), "links")
+        return materialize(rows.mapInArrow(_confirm(k, percent), "a long, b long").distinct(), "links", met)
 
     def components(pairs: DataFrame) -> DataFrame:
         """(node, component, component_id): nodes are compared by first_id, so that a component is named by the smallest."""
