@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquill.llm.ann import approximate_top_k
+from barquill.llm.audit import filter_audit
 from barquill.llm.chat import format_chat, read_chat, read_loss
+from barquill.llm.importance import gains_of, ranked, with_scores
+from barquill.llm.language import held_out, with_language
+from barquill.llm.language import train as train_languages
 from barquill.llm.minhash import near_duplicates
 from barquill.llm.mixing import SEED, mix_sizes, sized
 from barquill.llm.packing import pack
@@ -84,6 +88,26 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approximate_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_languages(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    found = with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gains = gains_of(docs, _table(spark, sf_dir, "benchmark"), order=1, buckets=10_000)
+    drawn = ranked(with_scores(docs, gains, order=1), percent=10, min_words=20)
+    return drawn.select(
+        "doc_id", F.col("resample_features").alias("n_features"), F.col("resample_weight").alias("weight"), F.col("resample_score").alias("score"), F.col("resample_rank").alias("rank")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_typed_chat_format": op1_typed_chat_format,
     "op2_monotone_queue_packing": op2_monotone_queue_packing,
@@ -95,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_va_file_top_k": op8_va_file_top_k,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_multi_index_hashing": op10_multi_index_hashing,
+    "op11_hierarchical_language_id": op11_hierarchical_language_id,
+    "op12_filter_interactions": op12_filter_interactions,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -202,5 +229,61 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_filter_interactions": rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {{
+    'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws), 'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)}} AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON a.f <> b.f JOIN f c ON c.f NOT IN (a.f, b.f)
+  JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY 1, 2
+), s AS (
+  SELECT g.*, filter_order, step, filter_order[step] AS f, fails[filter_order[step]] AS here,
+    len(list_filter(range(1, step), lambda i: fails[filter_order[i]])) > 0 AS gone
+  FROM g, o, (SELECT unnest(range(1, 6))::INTEGER AS step)
+), r AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE here AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE here AND len(list_filter(map_values(fails), lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE here AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+""",
+    "op13_importance_resampling": rf"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)
+), w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), v AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word, count(*) AS n FROM benchmark GROUP BY 1
+), x AS (SELECT doc_id, unnest(ws) AS word, count(*) AS n FROM w GROUP BY 1, 2),
+b AS (
+  SELECT word, xor(list_reduce(list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+    lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM x UNION SELECT word FROM v), crc
+), s AS (SELECT bucket, sum(n)::DOUBLE AS n FROM x JOIN b USING (word) GROUP BY 1),
+t AS (SELECT bucket, sum(n)::DOUBLE AS n FROM v JOIN b USING (word) GROUP BY 1),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + 10000) / ((s.n + 1) * (coalesce((SELECT sum(n) FROM t), 0) + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), m AS (SELECT doc_id, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM x JOIN b USING (word) JOIN g USING (bucket) GROUP BY 1),
+d AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h FROM w LEFT JOIN m USING (doc_id)
+), e AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM d),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) * 10 // 100 AS quota FROM e
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= quota THEN place END AS rank FROM r
 """,
 }
