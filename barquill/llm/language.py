@@ -55,7 +55,7 @@ def family_of(lang: str) -> str:
     return next((name for name, codes in FAMILIES.items() if code in codes.split()), lang)
 
 
-def runs(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Texts ``lo`` to ``hi`` (about ``size`` bytes), the features of all runs of bytes in them, and the text of each."""
     data, at = bytes_of(column)
     n, lo = len(at) - 1, 0
