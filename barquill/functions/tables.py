@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every table and file that this application has put into the shared folder by ``materialize`` or ``new_path``."""
     jvm = spark.sparkContext._jvm

@@ -20,6 +20,7 @@ from barquill.plans.selection_queries import _L, labelled
 from barquill.plans.simulation_queries import _events
 from barquill.sources import files as W
 from barquill.streaming import live
+from barquill.streaming.state import run_stateful, stateful
 
 _HOURS = "(epoch(ts) / 3600)::BIGINT"
 
@@ -196,7 +197,7 @@ def stream_latest_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("close"))
     bars.write.parquet(path)
     work = live.latest_features(live.read_bars(spark, path, bars.schema), size=50, n=6, ready=4, step_seconds=3600)
-    return _rounded(live.run_in_order(work, "features").select("symbol", "ts", F.col("kept").cast("double").alias("kept"), "reload", "ret_1", "mean", "spread", "place"))
+    return _rounded(run_stateful(stateful(work), new_path(spark, "stream-features")).select("symbol", "ts", F.col("kept").cast("double").alias("kept"), "reload", "ret_1", "mean", "spread", "place"))
 
 
 @add(f"""WITH {BARS}, o AS (SELECT symbol, ts, close, ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) > INTERVAL 1 HOUR AS gap, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n, avg(close) OVER w AS m, min(ts) OVER w AS lo FROM bars
@@ -226,7 +227,7 @@ def stream_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(summary.alias("summary"), F.when(i % 5 == 0, F.concat(F.lit("hold "), i.cast("string"))).alias("positions"), i.cast("string").alias("meta")))
     # payloads of one time in the order of their ids, which the microseconds tell
     work = live.account_state(rows.select(F.col("event_type").alias("symbol"), "ts", body.alias("value"), i.alias("no")), 40)
-    return live.run_in_order(work, "accounts").select("symbol", F.col("meta").cast("long").alias("event_id"), "equity_usd", "positions", F.col("points").cast("double").alias("points"), "peak_usd", "oldest_usd")
+    return run_stateful(stateful(work), new_path(spark, "stream-accounts")).select("symbol", F.col("meta").cast("long").alias("event_id"), "equity_usd", "positions", F.col("points").cast("double").alias("points"), "peak_usd", "oldest_usd")
 
 
 @add("""WITH t AS (SELECT 'S' || (l_suppkey % 16) AS symbol, l_shipdate AS entry_ts, CASE WHEN l_linenumber < 7 THEN l_shipdate + INTERVAL 1 DAY * l_linenumber END AS exit_ts, l_orderkey FROM lineitem),

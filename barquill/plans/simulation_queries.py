@@ -12,6 +12,7 @@ from barquill.plans.fixtures import BARS, hourly, table
 from barquill.plans.registry import add
 from barquill.sources import files as W
 from barquill.streaming import live as L
+from barquill.streaming.state import run_stateful, stateful, trade_cycles
 
 CONTRACT = S.Contract(tau=0.7, span=4, offset=0.2, confirm=2, cost_side=0.001)
 _O = "(PARTITION BY symbol ORDER BY ts)"
@@ -75,10 +76,10 @@ def stream_closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("symbol", "ts", "close").agg(F.count("*").alias("n"))
 
 
-@add("SELECT date_trunc('hour', ts) AS minute, count(*)::BIGINT AS n FROM events GROUP BY 1")
+@add("SELECT date_trunc('hour', ts) AS minute, count(*)::BIGINT AS n, count(DISTINCT event_type)::BIGINT AS symbols FROM events GROUP BY 1")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts")
-    return L.run_to_table(L.minute_progress(rows, every="1 hour"), "progress", "complete").select("minute", "n")
+    return L.run_to_table(L.minute_progress(rows, every="1 hour"), "progress", "complete").select("minute", "n", "symbols")
 
 
 @add("SELECT event_type AS symbol, max(ts) AS ts, max_by(value, ts) AS p FROM events GROUP BY 1")
@@ -92,7 +93,7 @@ SELECT symbol, CASE WHEN ts = p THEN 'replace' ELSE 'bar' END AS kind, count(*):
 UNION ALL SELECT symbol, 'gap', count(*)::BIGINT, count(*) FILTER (WHERE k > 20)::BIGINT FROM o WHERE ts - p > INTERVAL 1 HOUR GROUP BY 1""")
 def stream_upserts_and_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"))
-    done = L.run_in_order(L.upserted(rows, size=200, step_seconds=3600), "upserts")
+    done = run_stateful(stateful(L.upserted(rows, size=200, step_seconds=3600)), new_path(spark, "stream-upserts"))
     return done.groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.count_if("ready").alias("ready"))
 
 
@@ -103,10 +104,15 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.agg(F.count("*").alias("n"), F.count_if("enter").alias("entered"))
 
 
-@add()
+@add(f"""WITH RECURSIVE v AS (SELECT event_type AS symbol, ts, value AS close, event_id % 10 / 10 AS p, row_number() OVER (PARTITION BY event_type ORDER BY ts, value, event_id % 10) AS k FROM events),
+w AS (SELECT DISTINCT event_type AS symbol, 0::BIGINT AS k, NULL::TIMESTAMP AS entry, NULL::DOUBLE AS price, NULL::DOUBLE AS ema, NULL::TIMESTAMP AS entry_ts, NULL::TIMESTAMP AS exit_ts, NULL::DOUBLE AS r_net FROM events
+  UNION ALL SELECT symbol, k, CASE WHEN held IS NULL THEN CASE WHEN p >= 0.8 THEN ts END WHEN close >= m THEN held END, CASE WHEN held IS NULL THEN CASE WHEN p >= 0.8 THEN close END WHEN close >= m THEN price END,
+    CASE WHEN held IS NULL THEN CASE WHEN p >= 0.8 THEN close END WHEN close >= m THEN m END, CASE WHEN close < m THEN held END, CASE WHEN close < m THEN ts END, CASE WHEN close < m THEN close / price - 1 - 0.002 END
+  FROM (SELECT v.*, w.entry AS held, w.price, w.ema + {1 / 3!r}::DOUBLE * (v.close - w.ema) AS m FROM w JOIN v ON v.symbol = w.symbol AND v.k = w.k + 1))
+SELECT symbol, entry_ts, exit_ts, round(r_net, 6) AS r_net FROM w WHERE exit_ts IS NOT NULL""")
 def stream_online_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), (F.col("event_id") % 10 / 10).alias("p"))
-    return L.run_in_order(L.online_trades(rows, 0.8, 5), "trades")
+    return _rounded(run_stateful(stateful(L.online_trades(rows, 0.8, 5)), new_path(spark, "stream-trades")))
 
 
 @add("SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, count(*)::BIGINT AS n FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events) x GROUP BY event_type, date_trunc('hour', ts)")
@@ -119,6 +125,20 @@ def stream_backfill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("symbol", "ts").agg(F.count("*").alias("n"))
 
 
+@add("""WITH h AS (SELECT 'S' || (event_id // 2) % 16 AS symbol, (event_id // 2)::VARCHAR AS trade, event_id % 2 = 0 AS entry, ts, value AS price FROM events WHERE event_id % 2 = 0 OR (event_id // 2) % 7 <> 3),
+e AS (SELECT * FROM h WHERE entry), x AS (SELECT * FROM h WHERE NOT entry), m AS (SELECT max(ts) AS hi FROM h),
+c AS (SELECT e.symbol, e.trade, e.ts AS entry_ts, x.ts AS exit_ts, x.price / e.price - 1 - 0.002 AS r FROM e JOIN x ON e.trade = x.trade AND x.ts - e.ts BETWEEN INTERVAL '-2' DAY AND INTERVAL 2 DAY)
+SELECT symbol, trade, 'closed' AS kind, entry_ts, exit_ts, round(r, 6) AS r_net FROM c
+UNION ALL SELECT e.symbol, e.trade, 'open', e.ts, NULL, NULL FROM e ANTI JOIN c USING (trade), m WHERE e.ts + INTERVAL 2 DAY + INTERVAL 10 MINUTE < hi
+UNION ALL SELECT x.symbol, x.trade, 'exit only', NULL, x.ts, NULL FROM x ANTI JOIN c USING (trade), m WHERE x.ts + INTERVAL 2 DAY + INTERVAL 10 MINUTE < hi""")
+def stream_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries (even ids) and exits of trades, one exit in seven missing; what waits for two days is given up."""
+    trade = F.expr("event_id div 2")
+    rows = _events(spark, sf_dir).where((F.col("event_id") % 2 == 0) | (trade % 7 != 3))
+    halves = rows.select(F.concat(F.lit("S"), (trade % 16).cast("string")).alias("symbol"), trade.cast("string").alias("trade"), (F.col("event_id") % 2 == 0).alias("entry"), "ts", F.col("value").alias("price"))
+    return _rounded(run_stateful(trade_cycles(halves, 2 * 86400), new_path(spark, "stream-cycles")))
+
+
 @add("""SELECT event_type AS symbol, ts, value FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-14 12:00:00' ORDER BY ts DESC LIMIT 500""")
 def ohlc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from bisect import bisect_left
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from barquill.functions.tables import new_path
+from barquill.functions.tables import exists, new_path
+from barquill.streaming.state import InOrder
 
 MESSAGE = "data STRUCT<e: STRING, s: STRING, k: STRUCT<t: BIGINT, o: STRING, h: STRING, l: STRING, c: STRING, v: STRING, x: BOOLEAN>>"
 
@@ -29,39 +27,31 @@ def epoch_millis(x: Column) -> Column:
     return F.when(x < 10_000_000_000, x * 1000).when(x < 100_000_000_000_000, x).otherwise(F.floor(x / 1000)).cast("long")
 
 
-@dataclass(frozen=True)
-class InOrder:
-    """A stream of rows (symbol, ts, others) and the step that each symbol's rows take, in order of time, with a state.
-
-    ``step(state, values)`` takes the other values after ts, in microseconds or nothing, and gives the columns of the rows
-    to put out, symbol left out; ``state`` is a dictionary that it changes, empty at first. All rows of a micro-batch are
-    sorted by Spark, whichever files or splits they come from; a row older than what an earlier micro-batch has taken in is
-    late, unless ``run_in_order`` waits for it.
-    """
-
-    rows: DataFrame
-    output: pa.Schema
-    state: pa.Schema
-    step: Callable[[dict, tuple], list[dict]]
-
-
-_TIME = pa.timestamp("us")
-UPSERT = pa.schema([("symbol", pa.string()), ("kind", pa.string()), ("ts", _TIME), ("close", pa.float64()), ("gap_from", _TIME), ("gap_to", _TIME), ("kept", pa.int32()), ("ready", pa.bool_())])
+UPSERT = "kind string, ts timestamp_ntz, close double, gap_from timestamp_ntz, gap_to timestamp_ntz, kept int, ready boolean, behind_seconds double"
 
 
 def upserted(bars: DataFrame, size: int = 500, step_seconds: int = 60, ready: int = 20) -> InOrder:
     """Bars taken into a bounded window for each symbol.
 
-    A bar older than the last is late and ignored (kind ``late``), one at the same time replaces it (``replace``), a newer
-    one is appended (``bar``); if bars are missing before it, a ``gap`` row says which. State: the last ``size`` closes.
+    A bar older than the last is late and ignored (kind ``late``, with how far behind it is), one at the same time replaces
+    it (``replace``), a newer one is appended (``bar``); if bars are missing before it, a ``gap`` row says which.
+    If ``bars`` has a column ``filled``, rows where it is true are fetched ones: such a bar finds its place among those held
+    (``fill``), unless there is one (``have``; the first stays) or the window no longer reaches back to it. So a window whose
+    gaps were filled is that of a stream without gaps. State: the last ``size`` closes.
     """
     apart = step_seconds * 1_000_000
 
     def step(state: dict, row: tuple) -> list[dict]:
-        now, close = row
-        times, closes, out = state.setdefault("times", []), state.setdefault("closes", []), []
-        if now is None or (times and now < times[-1]):
-            kind = "late"
+        now, close, filled = row
+        times, closes, out, behind = state["times"], state["closes"], [], None
+        if now is None or (times and now < times[-1] and not filled):
+            kind, behind = "late", (times[-1] - now) / 1e6 if now is not None else None
+        elif times and filled and now <= times[-1]:
+            at = bisect_left(times, now)
+            kind = "have" if times[at] == now else "late" if at == 0 and len(times) >= size else "fill"
+            if kind == "fill":
+                times.insert(at, now)
+                closes.insert(at, close)
         elif times and now == times[-1]:
             kind, closes[-1] = "replace", close
         else:
@@ -70,14 +60,22 @@ def upserted(bars: DataFrame, size: int = 500, step_seconds: int = 60, ready: in
                 out.append({"kind": "gap", "ts": now, "gap_from": times[-1] + apart, "gap_to": now - apart, "kept": len(times), "ready": len(times) >= ready})
             times.append(now)
             closes.append(close)
-            del times[:-size], closes[:-size]
-        return [*out, {"kind": kind, "ts": now, "close": close, "kept": len(times), "ready": len(times) >= ready}]
+        del times[:-size], closes[:-size]
+        return [*out, {"kind": kind, "ts": now, "close": close, "kept": len(times), "ready": len(times) >= ready, "behind_seconds": behind}]
+
+    filled = F.coalesce(F.col("filled"), F.lit(False)) if "filled" in bars.columns else F.lit(False)
+    return InOrder(bars.select("symbol", "ts", F.col("close").cast("double").alias("close"), filled.alias("filled")), UPSERT, step, lists={"times": "long", "closes": "double"})
 
-    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"))
-    return InOrder(rows, UPSERT, pa.schema([("times", pa.list_(pa.int64())), ("closes", pa.list_(pa.float64()))]), step)
 
+def window_before(bars: DataFrame, size: int = 500) -> DataFrame:
+    """(symbol, times, closes): the last ``size`` stored bars of each symbol, for ``upserted`` to begin with."""
+    order = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    last = bars.select("symbol", "ts", F.col("close").cast("double").alias("close")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+    held = last.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "close"))).alias("x"))
+    return held.select("symbol", F.col("x.at").alias("times"), F.col("x.close").alias("closes"))
 
-POSITIONS = pa.schema([("symbol", pa.string()), ("entry_ts", _TIME), ("exit_ts", _TIME), ("r_net", pa.float64())])
+
+POSITIONS = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, r_net double"
 
 
 def online_trades(scored: DataFrame, tau: float, span: int, cost: float = 0.002) -> InOrder:
@@ -105,8 +103,7 @@ def online_trades(scored: DataFrame, tau: float, span: int, cost: float = 0.002)
         return [done]
 
     rows = scored.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.col("p").cast("double").alias("p"))
-    state = pa.schema([("entry", pa.int64()), ("price", pa.float64()), ("ema", pa.float64()), ("last", pa.int64())])
-    return InOrder(rows, POSITIONS, state, step)
+    return InOrder(rows, POSITIONS, step, kept="entry long, price double, ema double, last long")
 
 
 _FEATURES = ("ret_1", "mean", "spread", "place")
@@ -123,7 +120,7 @@ def latest_features(bars: DataFrame, size: int = 500, n: int = 20, ready: int =
 
     def step(state: dict, row: tuple) -> list[dict]:
         now, close = row
-        times, closes = state.setdefault("times", []), state.setdefault("closes", [])
+        times, closes = state["times"], state["closes"]
         if now is None or close is None or (times and now < times[-1]):
             return []
         reload = bool(times) and now - times[-1] > apart
@@ -144,21 +141,25 @@ def latest_features(bars: DataFrame, size: int = 500, n: int = 20, ready: int =
             out |= {"ret_1": close / closes[-2] - 1 if len(closes) > 1 and closes[-2] else None, "mean": mean, "spread": spread / mean if mean else None, "place": (close - low) / (high - low) if high > low else 0.5}
         return [out]
 
-    output = pa.schema([("symbol", pa.string()), ("ts", _TIME), ("close", pa.float64()), ("kept", pa.int32()), ("reload", pa.bool_()), *((c, pa.float64()) for c in _FEATURES)])
-    rows = bars.select("symbol", "ts", F.col("close").cast("double").alias("close"))
-    return InOrder(rows, output, pa.schema([("times", pa.list_(pa.int64())), ("closes", pa.list_(pa.float64()))]), step)
+    output = "ts timestamp_ntz, close double, kept int, reload boolean, " + ", ".join(f"{c} double" for c in _FEATURES)
+    return InOrder(bars.select("symbol", "ts", F.col("close").cast("double").alias("close")), output, step, lists={"times": "long", "closes": "double"})
 
 
 def reloaded(gaps: DataFrame, stored: DataFrame, size: int = 500) -> DataFrame:
     """(symbol, ts, window): for each gap (symbol, ts) the last ``size`` stored bars up to its time, oldest first.
 
-    A stored bar meets the gaps of its symbol only, and of those only the ones that its window reaches: places in time
-    are compared, so no bar is paired with all gaps.
+    Stored bars are numbered by symbol, in one order with the gaps, so that each gap knows the number of the last bar
+    before it. Bars and gaps meet by blocks of ``size`` numbers: a window lies in two of them at most.
     """
-    order = Window.partitionBy("symbol").orderBy("ts", "kind")
+    order = Window.partitionBy("symbol").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
     both = stored.select("symbol", "ts", "close", F.lit(0).alias("kind")).union(gaps.select("symbol", "ts", F.lit(None).cast("double"), F.lit(1)).distinct())
-    held = F.collect_list(F.when(F.col("kind") == 0, F.struct("ts", "close"))).over(order.rowsBetween(-2 * size, 0))
-    return both.withColumn("window", F.slice(held, F.greatest(F.lit(1), F.size(held) - size + 1), size)).where("kind = 1").select("symbol", "ts", "window")
+    both = both.withColumn("no", F.sum(1 - F.col("kind")).over(order) - 1)
+    bars = both.where("kind = 0").select("symbol", F.col("ts").alias("at"), "close", "no").withColumn("block", F.expr(f"no div {size}"))
+    asked = both.where("kind = 1").select("symbol", "ts", F.col("no").alias("last"))
+    asked = asked.withColumn("block", F.explode(F.array_distinct(F.array(F.expr(f"greatest(last - {size - 1}, 0) div {size}"), F.expr(f"greatest(last, 0) div {size}")))))
+    met = asked.join(bars, ["symbol", "block"], "left").withColumn("inside", F.coalesce(F.col("no").between(F.col("last") - (size - 1), F.col("last")), F.lit(False)))
+    bar = F.when(F.col("inside"), F.struct(F.col("at").alias("ts"), "close"))
+    return met.groupBy("symbol", "ts").agg(F.sort_array(F.collect_list(bar)).alias("window"))
 
 
 PAYLOAD = "struct<summary:struct<equity_usd:double,cash_usd:double,exposure_usd:double,realized_pnl_usd:double,unrealized_pnl_usd:double,updated_at_utc:string>,positions:string,recent_trades:string,allocation:string,meta:string>"
@@ -168,8 +169,9 @@ def account_state(payloads: DataFrame, points: int = 10_080) -> InOrder:
     """The state of each account after each payload (symbol: the account, ts, value: JSON): parts that it has replace the old ones.
 
     Every payload adds a point to the equity history, with the summary that holds then, once there is one; the last
-    ``points`` are kept. What is no JSON object changes nothing but still adds a point. Puts out the parts, how many points there
-    are, the equity of the oldest and the largest of them.
+    ``points`` count (up to a quarter more are held, so that most payloads only append). What is no JSON object changes
+    nothing but still adds a point. Puts out the parts, how many points there are, the equity of the oldest and the largest
+    of them.
     """
     names = ("equity_usd", "cash_usd", "exposure_usd", "positions", "recent_trades", "allocation", "meta")
     parsed = F.from_json("value", PAYLOAD)
@@ -181,16 +183,16 @@ def account_state(payloads: DataFrame, points: int = 10_080) -> InOrder:
         for i, (name, value) in enumerate(zip(names, parts, strict=True)):
             if (summed if i < 3 else value is not None):
                 state[name] = value
-        history = state.setdefault("history", [])
-        if state.get("equity_usd") is not None:
+        history = state["history"]
+        if state["equity_usd"] is not None:
             history.append(state["equity_usd"])
-            del history[:-points]
-        kept = {name: state.get(name) for name in names}
-        return [{"ts": now, **kept, "points": len(history), "oldest_usd": history[0] if history else None, "peak_usd": max(history, default=None)}]
+            if len(history) > points + points // 4:
+                del history[:-points]
+        some = history[-points:]
+        return [{"ts": now} | {name: state[name] for name in names} | {"points": len(some), "oldest_usd": some[0] if some else None, "peak_usd": max(some, default=None)}]
 
-    kinds = [(c, pa.float64()) for c in names[:3]] + [(c, pa.string()) for c in names[3:]]
-    output = pa.schema([("symbol", pa.string()), ("ts", _TIME), *kinds, ("points", pa.int32()), ("oldest_usd", pa.float64()), ("peak_usd", pa.float64())])
-    return InOrder(rows, output, pa.schema([*kinds, ("history", pa.list_(pa.float64()))]), step)
+    kept = ", ".join([f"{c} double" for c in names[:3]] + [f"{c} string" for c in names[3:]])
+    return InOrder(rows, f"ts timestamp_ntz, {kept}, points int, oldest_usd double, peak_usd double", step, kept, {"history": "double"})
 
 
 def last_trades(trades: DataFrame, n: int = 200) -> DataFrame:
@@ -206,9 +208,12 @@ def decisions(scored: DataFrame, tau: float, delay: str = "10 minutes") -> DataF
 
 
 def minute_progress(bars: DataFrame, delay: str = "2 minutes", every: str = "1 minute") -> DataFrame:
-    """Bars and symbols by minute; minutes that are late beyond the delay are no longer counted."""
+    """Bars and symbols by minute; minutes that are late beyond the delay are no longer counted.
+
+    Symbols are counted exactly: a minute's state is the set of them, freed when the minute is over.
+    """
     timed = bars.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay)
-    return timed.groupBy(F.window("event_ts", every)["start"].cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"), F.approx_count_distinct("symbol").alias("symbols"))
+    return timed.groupBy(F.window("event_ts", every)["start"].cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"), F.size(F.collect_set("symbol")).cast("long").alias("symbols"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -219,15 +224,10 @@ def latest(rows: DataFrame) -> DataFrame:
 def merge_missing(batch: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows of a batch whose keys a table does not have yet: the first to be written stays."""
     new = batch.dropDuplicates(keys)
-    have = batch.sparkSession.read.parquet(path) if _exists(batch.sparkSession, path) else None
+    have = batch.sparkSession.read.parquet(path) if exists(batch.sparkSession, path) else None
     (new if have is None else new.join(have.select(*keys), keys, "left_anti")).write.mode("append").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_bars(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
@@ -245,70 +245,6 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{top}/table")
 
 
-def run_in_order(work: InOrder, name: str, wait_seconds: int = 0) -> DataFrame:
-    """Run the steps of a stream over what there is and give the table that they wrote.
-
-    Each micro-batch is dealt by symbol and sorted by time, and streams through the steps behind the states that the one
-    before wrote, so a symbol takes a batch of memory and runs as often as need be with the same result. Rows within
-    ``wait_seconds`` of the newest time seen wait for the next micro-batch, or the end, as older ones may still come.
-    """
-    spark, step = work.rows.sparkSession, work.step
-    top = new_path(spark, f"stream-{name}")
-    columns, states = work.rows.columns, work.state.names
-    # a table for both: rows put out, and where _state says so the state of a symbol after the micro-batch
-    schema = pa.schema([*work.output, *(f.with_name(f"_{f.name}") for f in work.state), ("_state", pa.bool_())])
-    spark_schema = from_arrow_schema(schema, prefer_timestamp_ntz=True)
-    last: list[int] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, state, begun = None, {}, False
-
-        def kept() -> dict:
-            return {"symbol": symbol, "_state": True} | {f"_{k}": v for k, v in state.items()}
-
-        for batch in batches:
-            out = []
-            at = [batch.schema.get_field_index(c) for c in columns]
-            values = [(batch.column(i).cast(pa.int64()) if pa.types.is_timestamp(batch.schema.field(i).type) else batch.column(i)).to_pylist() for i in at]
-            old = [batch.column(batch.schema.get_field_index(f"_{k}")).to_pylist() for k in states]
-            for i, (s, *row) in enumerate(zip(*values, strict=True)):
-                if not begun or s != symbol:
-                    if begun:
-                        out.append(kept())
-                    symbol, state, begun = s, {}, True
-                if batch.column(batch.num_columns - 1)[i].as_py():
-                    state = {k: x[i] for k, x in zip(states, old, strict=True)}
-                else:
-                    out += [{"symbol": s} | x for x in step(state, tuple(row))]
-            yield pa.RecordBatch.from_pylist(out, schema)
-        if begun:
-            yield pa.RecordBatch.from_pylist([kept()], schema)
-
-    def take(rows: DataFrame, n: int) -> None:
-        have = rows.sparkSession.read.schema(spark_schema).parquet(f"{top}/table/batch={last[-1]}").where("_state") if last else rows.sparkSession.createDataFrame([], spark_schema)
-        before = have.select("symbol", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns[1:]), *(f"_{k}" for k in states), "_state")
-        now = rows.select(*columns, *(F.lit(None).cast(spark_schema[f"_{k}"].dataType).alias(f"_{k}") for k in states), F.lit(False).alias("_state"))
-        both = before.unionByName(now).repartition("symbol").sortWithinPartitions("symbol", F.col("_state").desc(), *(F.col(c).asc_nulls_last() for c in columns[1:]))
-        both.mapInArrow(run, spark_schema).write.mode("overwrite").parquet(f"{top}/table/batch={n}")
-
-    def write(batch: DataFrame, n: int) -> None:
-        del last[last.index(n) if n in last else len(last) :]  # a micro-batch that runs again
-        if wait_seconds:
-            rows = batch.union(batch.sparkSession.read.schema(work.rows.schema).parquet(f"{top}/waiting/batch={last[-1]}")) if last else batch
-            newest = F.lit(rows.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
-            early = F.coalesce(F.col("ts") <= newest - F.make_dt_interval(secs=F.lit(wait_seconds)), F.col("ts").isNull())
-            rows.where(~early).write.mode("overwrite").parquet(f"{top}/waiting/batch={n}")
-            batch = rows.where(early)
-        take(batch, n)
-        last.append(n)
-
-    work.rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    if wait_seconds and last:
-        take(spark.read.schema(work.rows.schema).parquet(f"{top}/waiting/batch={last[-1]}"), last[-1] + 1)
-    done = spark.read.schema(spark_schema).parquet(f"{top}/table") if last else spark.createDataFrame([], spark_schema)
-    return done.where("_state is null").select(work.output.names)
-
-
 def last_rows(bars: DataFrame, symbol: str, end: str, minutes: int = 1440, tail: int = 500) -> DataFrame:
     """The last bars of a symbol up to a time, at most ``tail`` of them."""
     to = F.lit(end).cast("timestamp_ntz")
