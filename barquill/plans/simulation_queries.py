@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from barquill.functions.tables import new_path
 from barquill.operators import simulate as S
-from barquill.plans.feature_queries import _rounded
+from barquill.plans.feature_queries import CONFIG, _rounded
 from barquill.plans.fixtures import BARS, hourly, table
-from barquill.plans.registry import add
+from barquill.plans.registry import ORACLE_SQL, add
 from barquill.sources import files as W
 from barquill.streaming import live as L
+from barquill.streaming.online import online_features
 from barquill.streaming.state import run_stateful, stateful, trade_cycles
 
 CONTRACT = S.Contract(tau=0.7, span=4, offset=0.2, confirm=2, cost_side=0.001)
@@ -125,6 +126,19 @@ def stream_backfill_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("symbol", "ts").agg(F.count("*").alias("n"))
 
 
+_BLOCKS = [name for name in ORACLE_SQL if name.startswith("feature_")]
+
+
+@add("SELECT * FROM " + " JOIN ".join(f"({ORACLE_SQL[name]}) {'' if i == 0 else 'AS t' + str(i) + ' USING (symbol, ts)'}" for i, name in enumerate(_BLOCKS)))
+def stream_online_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of hourly bars, bar by bar from the state of a stream; the SQL is that of the batch features."""
+    path = new_path(spark, "bars")
+    bars = hourly(spark, sf_dir)
+    bars.write.parquet(path)
+    stream = online_features(L.read_bars(spark, path, bars.schema), CONFIG)
+    return _rounded(run_stateful(stream, new_path(spark, "stream-online")).drop("close"))
+
+
 @add("""WITH h AS (SELECT 'S' || (event_id // 2) % 16 AS symbol, (event_id // 2)::VARCHAR AS trade, event_id % 2 = 0 AS entry, ts, value AS price FROM events WHERE event_id % 2 = 0 OR (event_id // 2) % 7 <> 3),
 e AS (SELECT * FROM h WHERE entry), x AS (SELECT * FROM h WHERE NOT entry), m AS (SELECT max(ts) AS hi FROM h),
 c AS (SELECT e.symbol, e.trade, e.ts AS entry_ts, x.ts AS exit_ts, x.price / e.price - 1 - 0.002 AS r FROM e JOIN x ON e.trade = x.trade AND x.ts - e.ts BETWEEN INTERVAL '-2' DAY AND INTERVAL 2 DAY)
