@@ -11,6 +11,7 @@ from barquill.plans.feature_queries import CONFIG, _rounded
 from barquill.plans.fixtures import BARS, hourly, table
 from barquill.plans.registry import ORACLE_SQL, add
 from barquill.sources import files as W
+from barquill.streaming import backfill
 from barquill.streaming import live as L
 from barquill.streaming.online import online_features
 from barquill.streaming.state import run_stateful, stateful, trade_cycles
@@ -153,6 +154,20 @@ def stream_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(run_stateful(trade_cycles(halves, 2 * 86400), new_path(spark, "stream-cycles")))
 
 
+@add(f"""WITH {BARS}, w AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY 1),
+o AS (SELECT * FROM w ANTI JOIN (SELECT * FROM bars WHERE hour(ts) % 5 <> 0) b USING (symbol, ts) WHERE NOT (hour(ts) < 6 AND day(ts) % 2 = 0 AND EXISTS (SELECT 1 FROM bars b WHERE b.symbol = w.symbol AND b.ts::DATE = w.ts::DATE))),
+i AS (SELECT *, ts - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY symbol ORDER BY ts) AS g FROM o), n AS (SELECT *, (row_number() OVER (PARTITION BY symbol, g ORDER BY ts) - 1) // 10 AS page FROM i)
+SELECT symbol, min(ts) AS lo, max(ts) + INTERVAL 1 HOUR AS hi FROM n GROUP BY symbol, g, page""")
+def backfill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of ten hours that are missing: not stored, and not in flight or got, as the first hours of every other day are."""
+    bars = hourly(spark, sf_dir)
+    wanted = bars.groupBy("symbol").agg(F.min("ts").alias("lo"), (F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("hi"))
+    days = bars.where(F.dayofmonth("ts") % 2 == 0).select("symbol", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("lo")).distinct()
+    events = F.when(F.dayofmonth("lo") % 4 == 0, F.array(F.lit("asked"), F.lit("failed"), F.lit("got"))).otherwise(F.array(F.lit("asked")))
+    log = days.select("symbol", "lo", (F.col("lo") + F.expr("INTERVAL 6 HOURS")).alias("hi"), F.explode(events).alias("event"), F.lit(1).cast("long").alias("batch"))
+    return backfill.plan(wanted, bars.where(F.hour("ts") % 5 != 0), log, 3600, 10)
+
+
 @add("""SELECT event_type AS symbol, ts, value FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-15 12:00:00' AND ts > TIMESTAMP '2024-01-14 12:00:00' ORDER BY ts DESC LIMIT 500""")
 def ohlc_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value")
