@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barquill.functions.quantiles import largest_by, quantiles_by
+
 
 def _days(key: str = "key") -> WindowSpec:
     return Window.partitionBy(key).orderBy("day")
@@ -94,28 +96,40 @@ def trade_stats(trades: DataFrame) -> DataFrame:
     part = lambda test, x: F.sum(F.when(test, x).otherwise(0.0))
     endless = F.lit(float("inf"))
     factor = lambda x: F.when(part(x < 0, -x) > 0, part(x > 0, x) / F.greatest(part(x < 0, -x), F.lit(1e-12))).when(part(x > 0, x) > 0, endless).otherwise(0.0)
-    return trades.groupBy("key").agg(
+    sums = trades.groupBy("key").agg(
         F.count("*").alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), factor(r).alias("profit_factor"), factor(w).alias("profit_factor_weighted"),
-        F.percentile("r_net", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(F.when(r > 0, r)).alias("mean_win"), F.avg(F.when(r < 0, -r)).alias("mean_loss"),
+        F.avg(F.when(r > 0, r)).alias("mean_win"), F.avg(F.when(r < 0, -r)).alias("mean_loss"),
         F.avg(r).alias("expectancy"), F.min(w).alias("worst_trade"), F.min(r).alias("worst_trade_raw"), F.sum(w).alias("ret_weighted"),
-    ).select("*", F.col("q")[0].alias("r_p25"), F.col("q")[1].alias("r_p50"), F.col("q")[2].alias("r_p75"), F.when(F.col("mean_loss").isNull(), endless).otherwise(F.coalesce("mean_win", F.lit(0.0)) / F.col("mean_loss")).alias("payoff")).drop("q")
+    )
+    q = quantiles_by(trades, ["key"], {"q": ("r_net", [0.25, 0.5, 0.75])}).withColumnRenamed("key", "_key")
+    both = sums.join(q, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+    payoff = F.when(F.col("mean_loss").isNull(), endless).otherwise(F.coalesce("mean_win", F.lit(0.0)) / F.col("mean_loss"))
+    return both.select("*", F.col("q")[0].alias("r_p25"), F.col("q")[1].alias("r_p50"), F.col("q")[2].alias("r_p75"), payoff.alias("payoff")).drop("q")
 
 
 def compounded_without_best(trades: DataFrame, n: int = 3) -> DataFrame:
-    """By key: the compounded return of all trades, without the best one, and without the n best."""
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.col("r_net").desc()))
-    grown = lambda least: F.coalesce(F.product(F.when(F.col("_k") > least, 1 + F.col("r_net"))), F.lit(1.0)) - 1
-    rows = trades.withColumn("_k", best)
-    return rows.groupBy("key").agg(grown(0).alias("ret"), grown(1).alias("ret_wo_best"), grown(n).alias("ret_wo_top"))
+    """By key: the compounded return of all trades, without the best one, and without the n best.
+
+    What the n best are follows from their least value and how many have it, so no key's trades are put in order.
+    """
+    rows = trades.join(largest_by(trades, "key", "r_net", n), "key", "left")
+
+    def grown(best: int) -> Column:
+        least = F.element_at(F.slice("top", 1, best), -1)
+        kept = F.product(F.when((F.col("r_net") < least) | least.isNull(), 1 + F.col("r_net")))
+        ties = F.count_if(F.col("r_net") == least) - F.max(F.size(F.filter(F.slice("top", 1, best), lambda v: v == least)))
+        return F.coalesce(kept, F.lit(1.0)) * F.coalesce(F.pow(1 + F.max(least), F.greatest(ties, F.lit(0))), F.lit(1.0)) - 1
+
+    return rows.groupBy("key").agg((F.coalesce(F.product(1 + F.col("r_net")), F.lit(1.0)) - 1).alias("ret"), grown(1).alias("ret_wo_best"), grown(n).alias("ret_wo_top"))
 
 
 def concentration(trades: DataFrame) -> DataFrame:
     """By key: top1_share_pos, top3_share_pos (of all gains) and ret_wo_best, ret_wo_top3 (weighted)."""
     rows = trades.withColumn("w", F.col("r_net") * F.col("weight"))
     total = rows.groupBy("key").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("w") > 0, F.col("w"))).alias("gains"))
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.col("w").desc()))).where("k <= 3")
-    top = top.groupBy("key").agg(F.max("w").alias("best"), F.sum("w").alias("best3"), F.sum(F.when(F.col("w") > 0, F.col("w"))).alias("best3_pos"))
-    both = total.join(top, "key")
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    top = largest_by(rows, "key", "w", 3).select("key", F.col("top")[0].alias("best"), add("top").alias("best3"), add(F.filter("top", lambda v: v > 0)).alias("best3_pos"))
+    both = total.join(top, "key", "left")
     share = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("gains")), F.lit(0.0))
     return both.select("key", share("best").alias("top1_share_pos"), share("best3_pos").alias("top3_share_pos"), (F.col("total") - F.col("best")).alias("ret_wo_best"), (F.col("total") - F.col("best3")).alias("ret_wo_top3"))
 

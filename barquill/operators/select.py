@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barquill.functions.components import connected_components
-from barquill.functions.nearest import k_nearest, within
+from barquill.functions.nearest import grouped, k_nearest
+from barquill.functions.quantiles import quantiles_by
 from barquill.functions.rolling import clip
+from barquill.functions.tables import materialize
 
 
 def _n(name: str, default: float) -> Column:
@@ -134,14 +135,13 @@ def cluster_radius(runs: DataFrame, floor: float = 0.55) -> float:
 
 def clustered(runs: DataFrame, radius: float) -> DataFrame:
     """Adds cluster_id: numbers of the groups of settings that steps of at most ``radius`` connect, by smallest id."""
-    found = connected_components(within(runs.select("id", "x"), radius).select("a", "b"))
-    rows = runs.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = runs.join(grouped(runs.select("id", "x"), radius), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return rows.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("component")) - 1).drop("component")
 
 
 def centres(runs: DataFrame, key: str) -> DataFrame:
     """(key, center): the median of each part of ``x``."""
-    each = runs.select(key, F.posexplode("x").alias("i", "v")).groupBy(key, "i").agg(F.percentile("v", F.lit(0.5)).alias("m"))
+    each = quantiles_by(runs.select(key, F.posexplode("x").alias("i", "v")), [key, "i"], {"q": ("v", [0.5])}).select(key, "i", F.col("q")[0].alias("m"))
     return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("center"))
 
 
@@ -151,14 +151,15 @@ def apart(a: Column, b: Column) -> Column:
 
 def cluster_stats(runs: DataFrame) -> DataFrame:
     """One row for each cluster: sizes, medians, lower quartiles, dispersion and cluster_score; ``center`` comes along."""
-    middle = centres(runs, "cluster_id")
+    runs = materialize(runs, "runs")
+    middle = materialize(centres(runs, "cluster_id"), "centres")
     rows = runs.join(middle, "cluster_id").withColumn("center_dist", apart(F.col("x"), F.col("center")))
-    half, quarter = (lambda c: F.percentile(c, F.lit(0.5))), (lambda c: F.percentile(c, F.lit(0.25)))
-    stats = rows.groupBy("cluster_id").agg(
-        F.count("*").alias("size"), half("local_robust_score").alias("local_median"), quarter("local_robust_score").alias("local_q25"), half("score").alias("raw_median"), quarter("score").alias("raw_q25"),
-        half("max_dd").alias("dd_median"), half("profit_factor").alias("pf_median"), half("trades").alias("trade_median"), half("month_pos_frac").alias("month_median"), half("max_neg_month_streak").alias("streak_median"),
-        half("underwater_frac").alias("underwater_median"), half("worst_rolling_90d").alias("roll90_median"), half("neighbor_q25_score").alias("neighbor_q25"), half("neighbor_mean_score").alias("neighbor_mean"), half("center_dist").alias("dispersion"),
-    )
+    halves = {
+        "local_median": "local_robust_score", "raw_median": "score", "dd_median": "max_dd", "pf_median": "profit_factor", "trade_median": "trades", "month_median": "month_pos_frac",
+        "streak_median": "max_neg_month_streak", "underwater_median": "underwater_frac", "roll90_median": "worst_rolling_90d", "neighbor_mean": "neighbor_mean_score", "neighbor_q25": "neighbor_q25_score", "dispersion": "center_dist",
+    }
+    quarters = {"local_q25": "local_robust_score", "raw_q25": "score"}
+    stats = _middles(rows, "cluster_id", halves, quarters).join(rows.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
     return stats.withColumn("cluster_score", ranked(CLUSTER)).join(middle, "cluster_id")
 
 
@@ -189,11 +190,18 @@ def family_key(columns: list[tuple[str, str]]) -> Column:
     return F.concat_ws("|", *(F.format_string(f"{short}=%.6f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for short, c in columns))
 
 
+def _middles(runs: DataFrame, key: str, halves: dict[str, str], quarters: dict[str, str]) -> DataFrame:
+    """By key the medians and lower quartiles of columns, exact, without a key's values in one place."""
+    wanted = {c: (c, [0.25, 0.5]) for c in dict.fromkeys([*halves.values(), *quarters.values()])}
+    found = quantiles_by(runs, [key], wanted)
+    return found.select(key, *(F.col(c)[1].alias(name) for name, c in halves.items()), *(F.col(c)[0].alias(name) for name, c in quarters.items()))
+
+
 def family_stats(runs: DataFrame) -> DataFrame:
-    half, quarter = (lambda c: F.percentile(c, F.lit(0.5))), (lambda c: F.percentile(c, F.lit(0.25)))
-    return runs.groupBy("family_key").agg(
-        F.count("*").alias("family_size"), half("score").alias("family_score_median"), quarter("score").alias("family_score_q25"), F.max("score").alias("family_score_max"), half("max_dd").alias("family_dd_median")
-    )
+    middles = _middles(runs, "family_key", {"family_score_median": "score", "family_dd_median": "max_dd"}, {"family_score_q25": "score"})
+    counts = runs.groupBy("family_key").agg(F.count("*").alias("family_size"), F.max("score").alias("family_score_max"))
+    middles = middles.withColumnRenamed("family_key", "_key")
+    return counts.join(middles, F.col("family_key").eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def pick(runs: DataFrame, order: list[Column], n: int = 1, key: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import materialize
 from barquill.operators import sampling as D
 from barquill.operators import scoring as C
 from barquill.operators import search as P
@@ -243,7 +244,8 @@ ORACLE_SQL["parameter_clusters"] = ORACLE_SQL["parameter_clusters"].replace("WIT
 @add()
 def robust_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection end to end: neighbours, clusters at the median radius, causal memory, the best of the best cluster."""
-    rows = S.local_scores(S.smoothed(S.scaled(best(spark, sf_dir), ["a", "b", "c"])))
+    rows = materialize(S.scaled(best(spark, sf_dir), ["a", "b", "c"]), "runs")
+    rows = materialize(S.local_scores(S.smoothed(rows)), "runs")
     rows = S.clustered(rows, S.cluster_radius(rows, floor=0.05))
     memory = spark.sql("SELECT * FROM VALUES (0, array(0.5D, 0.5D, 0.5D), 0.8D), (180, array(0.2D, 0.3D, 0.9D), 0.6D) AS m(step, center, quality)")
     stats = S.causal_score(S.continuity(S.cluster_stats(rows), memory, 360))

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from barquill.functions import rolling as R
-from barquill.functions.nearest import k_nearest, within
 from barquill.functions.recursive import averages, span
 from barquill.operators.simulate import rolling_correlation
 from barquill.operators import bars as B
@@ -187,22 +186,6 @@ def test_calibrations_keep_order_and_mean(spark):
         assert sum(got) / 2000 == pytest.approx(sum(y for _, y in data) / 2000, abs=0.03)
 
 
-def test_pairs_within_a_radius_like_all_pairs(spark):
-    import itertools
-    import random
-
-    rng = random.Random(4)
-    points = [(i, [rng.random() for _ in range(4)]) for i in range(150)] + [(200, [0.5] * 4), (201, [0.5] * 4)]
-    apart = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
-    df = spark.createDataFrame(points, "id long, x array<double>").repartition(3)
-    want = {(a, b) for (a, x), (b, y) in itertools.combinations(points, 2) if apart(x, y) <= 0.25}
-    got = within(df, 0.25).collect()
-    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and all(r.distance <= 0.25 for r in got)
-    near = {(r.a, r["rank"]): r.b for r in k_nearest(df, 3).collect()}
-    for a, x in points[::17]:
-        assert [near[a, n] for n in (1, 2, 3)] == [b for _, b in sorted((apart(x, y), b) for b, y in points if b != a)[:3]]
-
-
 def test_presets_name_features_that_are_made(spark):
     made = block_of()
     assert {k: len(v) for k, v in PRESETS.items()} == {"core80": 87, "core65": 70, "core50": 50} and all(x in made for v in PRESETS.values() for x in v)
