@@ -186,46 +186,58 @@ CYCLE = "symbol string, trade string, kind string, entry_ts timestamp_ntz, exit_
 
 
 class Cycles(StatefulProcessor):
-    """Entries and exits of a symbol's trades, paired by the trade's name; what stays open too long is given up by a timer."""
+    """Entries and exits of a symbol's trades, paired by the trade's name; what waits too long is given up by a timer.
+
+    The halves that wait are read once and written once for a symbol's rows of a micro-batch, and one timer stands for the
+    first of them that may be given up.
+    """
 
     def __init__(self, output: T.StructType, hold_seconds: int, cost: float):
         self.output, self.hold, self.cost = output, hold_seconds, cost
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "trade string", "at long, price double")
-        self.early = handle.getMapState("early", "trade string", "at long, price double")
+        self.waiting = handle.getListState("waiting", "trade string, entry boolean, at long, price double")
+
+    def _load(self) -> dict[tuple[str, bool], tuple[int, Any]]:
+        return {(trade, entry): (at, price) for trade, entry, at, price in self.waiting.get()} if self.waiting.exists() else {}
+
+    def _save(self, waiting: dict[tuple[str, bool], tuple[int, Any]]) -> None:
+        if waiting:
+            self.waiting.put([(*key, *half) for key, half in waiting.items()])
+            self.handle.registerTimer(self._until(min(at for at, _ in waiting.values())))
+        else:
+            self.waiting.clear()
 
-    def _done(self, symbol: str, trade: str, entry: tuple, way_out: tuple) -> dict:
-        gain = way_out[1] / entry[1] - 1 - self.cost if entry[1] and way_out[1] is not None else None
-        return {"symbol": symbol, "trade": trade, "kind": "closed", "entry_ts": entry[0], "exit_ts": way_out[0], "r_net": gain}
+    def _until(self, at: int) -> int:
+        """The first millisecond at which a half is given up."""
+        return (at + self.hold * 1_000_000) // 1000 + 1
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out, waiting = [], self._load()
         for pdf in rows:
             for trade, entry, at, price in zip(pdf["trade"], pdf["entry"], _micros(pdf["event_ts"].dt.tz_localize(None)), _plain(pdf["price"], T.DoubleType()), strict=True):
-                mine, other = (self.open, self.early) if entry else (self.early, self.open)
-                if mine.containsKey((trade,)):
+                entry = bool(entry)
+                other = waiting.get((trade, not entry))
+                if (trade, entry) in waiting:
                     continue  # said twice: the first stays
-                held = other.getValue((trade,)) if other.containsKey((trade,)) else None
-                if held is not None and abs(held[0] - at) <= self.hold * 1_000_000:
-                    other.removeKey((trade,))
-                    out.append(self._done(key[0], trade, (at, price) if entry else held, held if entry else (at, price)))
+                if other is not None and abs(other[0] - at) <= self.hold * 1_000_000:
+                    del waiting[trade, not entry]
+                    way_in, way_out = ((at, price), other) if entry else (other, (at, price))
+                    gain = way_out[1] / way_in[1] - 1 - self.cost if way_in[1] and way_out[1] is not None else None
+                    out.append({"symbol": key[0], "trade": trade, "kind": "closed", "entry_ts": way_in[0], "exit_ts": way_out[0], "r_net": gain})
                 else:
-                    mine.updateValue((trade,), (at, price))
-                    self.handle.registerTimer((at + self.hold * 1_000_000) // 1000 + 1)
+                    waiting[trade, entry] = (at, price)
+        self._save(waiting)
         if out:
             yield frame_of(out, self.output)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.hold * 1_000_000
-        out = []
-        for kind, held in (("open", self.open), ("exit only", self.early)):
-            for trade, (at, _) in [(t, v) for t, v in held.iterator() if v[0] < until]:
-                held.removeKey(trade)
-                out.append({"symbol": key[0], "trade": trade[0], "kind": kind, "entry_ts" if kind == "open" else "exit_ts": at})
-        if out:
-            yield frame_of(out, self.output)
+        now, waiting = timerValues.getCurrentWatermarkInMs(), self._load()
+        gone = {k: half for k, half in waiting.items() if self._until(half[0]) <= now}
+        if gone:
+            self._save({k: half for k, half in waiting.items() if k not in gone})
+            yield frame_of([{"symbol": key[0], "trade": trade, "kind": "open" if entry else "exit only", "entry_ts" if entry else "exit_ts": at} for (trade, entry), (at, _) in gone.items()], self.output)
 
     def close(self) -> None:
         pass
