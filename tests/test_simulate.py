@@ -20,6 +20,7 @@ from barquill.operators import select as S
 from barquill.operators import simulate
 from barquill.operators.search import neighbours, sampled_choice
 from barquill.streaming import live
+from barquill.streaming.state import run_stateful, stateful
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -93,7 +94,7 @@ def test_account_state_like_a_dictionary(spark, tmp_path):
     rows = [("acc", T0 + dt.timedelta(minutes=i), json.dumps(p) if p is not None else "no json") for i, p in enumerate(payloads)]
     spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, value string").write.parquet(str(tmp_path / "in"))
     stream = live.read_bars(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
-    got = sorted(live.run_in_order(live.account_state(stream, 3), "accounts").collect(), key=lambda r: r.ts)
+    got = sorted(run_stateful(stateful(live.account_state(stream, 3)), str(tmp_path / "accounts")).collect(), key=lambda r: r.ts)
     assert [r.equity_usd for r in got] == [10.0, 10.0, 10.0, 12.0, 12.0] and [r.points for r in got] == [1, 2, 3, 3, 3]
     assert [r.cash_usd for r in got] == [4.0] * 3 + [None] * 2 and got[-1].positions == "[]" and got[2].positions == '[{"symbol":"A"}]'
     assert got[-1].oldest_usd == 10.0 and got[-1].peak_usd == 12.0 and got[-1].meta == '{"mode":"live"}'
