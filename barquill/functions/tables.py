@@ -47,6 +47,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete every table and file that this application has put into the shared folder by ``materialize`` or ``new_path``."""
     jvm = spark.sparkContext._jvm

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,14 +139,22 @@ def train_regressor(df: DataFrame, features: list[str], target: str, depth: int
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), trees]).fit(df.withColumn("log_target", F.log1p(target)))
 
 
-def fit_platt(df: DataFrame, score: str, label: str, shrink: float = 10.0) -> Calibration:
-    """A logistic curve on the logit of a score."""
+def prior_shift(sampled: float, natural: float) -> float:
+    """What to add to a logit that was fitted on a sample with another share of positives than nature's."""
+    odds = lambda p: min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p)))
+    return math.log(odds(natural) / odds(sampled))
+
+
+def fit_platt(df: DataFrame, score: str, label: str, shrink: float = 10.0, natural_rate: float | None = None) -> Calibration:
+    """A logistic curve on the logit of a score, moved to ``natural_rate`` if the rows are a sample with another share of positives."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=["_logit"], outputCol="features").transform(df.withColumn("_logit", logit(F.col(score))))
     model = LogisticRegression(labelCol=label, regParam=shrink / max(1, df.count())).fit(rows)
-    return Calibration("platt", coef=min(10.0, max(0.05, float(model.coefficients[0]))), intercept=min(10.0, max(-10.0, float(model.intercept))))
+    sampled = df.agg(F.avg(F.col(label).cast("double"))).first()[0] if natural_rate is not None else None
+    shift = prior_shift(sampled, natural_rate) if sampled is not None else 0.0
+    return Calibration("platt", prior_shift=shift, coef=min(10.0, max(0.05, float(model.coefficients[0]))), intercept=min(10.0, max(-10.0, float(model.intercept))))
 
 
 def fit_isotonic(df: DataFrame, score: str, label: str, knots: int = 128) -> Calibration:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquill.functions.tables import materialize
+from barquill.operators import boosting as G
 from barquill.operators import sampling as D
 from barquill.operators import scoring as C
 from barquill.operators import search as P
@@ -147,6 +148,15 @@ def boosted_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select("event_id", "label", vector_to_array("probability")[1].alias("p"))
 
 
+@add()
+def boosted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ranked within their symbol and stretch of time; trees stop by the last fifth in time."""
+    rows = labelled(spark, sf_dir).withColumn("hour", F.hour("ts").cast("double")).withColumn("day", F.dayofmonth("ts").cast("double"))
+    rows = D.split_by_time(rows.withColumn("qid", D.rank_group(F.col("ts"), F.ascii("symbol") % 10).cast("long")))
+    forest = G.fit(rows, ["score", "hour", "day"], group="qid", config=G.BoostConfig(rounds=6, depth=3, bins=32, rate=0.3, patience=3, fractions=(0.01, 0.05)))
+    return forest.transform(rows).select("event_id", "label", "part", "margin")
+
+
 @add()
 def boosted_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).withColumn("hour", F.hour("ts").cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barquill.operators import bars as B
+from barquill.operators.boosting import Forest
 from barquill.operators import metrics as M
 from barquill.operators import sampling as D
 from barquill.operators import scoring as C
@@ -41,7 +42,8 @@ def score_walkforward(rows: DataFrame, models: list[tuple[str, object]], columns
     for i, ((cutoff, model), end) in enumerate(zip(models, ends, strict=True)):
         at = lambda x: F.lit(x).cast("timestamp_ntz")
         part = rows.where(F.col("ts") > at(cutoff)) if end is None else rows.where((F.col("ts") > at(cutoff)) & (F.col("ts") <= at(end)))
-        part = model.transform(part).select(*columns, F.lit(i).alias("period_id"), vector_to_array("probability")[1].alias("p_entry"))
+        p = F.col("p") if isinstance(model, Forest) else vector_to_array("probability")[1]
+        part = model.transform(part).select(*columns, F.lit(i).alias("period_id"), p.alias("p_entry"))
         out = part if out is None else out.union(part)
     return out
 
