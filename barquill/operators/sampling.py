@@ -224,3 +224,33 @@ def balanced(df: DataFrame, key: Column, target: str, n: int, bins: int = 10, se
     rows = balance_map(df, target, bins)
     rows = rows.withColumn("_w", F.col("balance") * F.col("weight"))
     return weighted(rows, key, n, "_w", seed).drop("_w")
+
+
+def bottom_pool(rows: DataFrame, key: Column, cutoffs: list[str], most: int, ratio: float, horizon_seconds: int = 0, ts: str = "ts", label: str = "label", seed: str = "0") -> DataFrame:
+    """A pool that is sampled once, from which ``from_pool`` cuts the sample of every cutoff without reading ``rows`` again.
+
+    Of each class and stretch between cutoffs, those rows are kept whose hashes are smallest, as many as any sample may
+    take, with how many rows there were (``_total``). Smallest hashes of stretches together are those of their union, so
+    pools of more rows can be merged. Rows without a label or time, or settled after the last cutoff, are not in it.
+    """
+    ends = sorted(cutoffs)
+    settled = F.expr(f"INTERVAL {horizon_seconds} SECONDS")
+    late = lambda c: (F.col(ts) > F.lit(c).cast("timestamp_ntz") - settled).cast("int")
+    stretch = sum((late(c) for c in ends[1:]), late(ends[0]))
+    side = (F.col(label) >= 0.5).cast("int")
+    known = rows.where(F.col(label).isNotNull() & F.col(ts).isNotNull()).withColumns({"_stretch": stretch, "_side": side, "_hash": drawn(key, seed)}).where(F.col("_stretch") < len(ends))
+    counts = known.groupBy("_stretch", "_side").agg(F.count("*").alias("_total"))
+    positives = int(most / (1 + ratio))
+    quota = F.when(F.col("_side") == 1, positives).otherwise(int(round(positives * ratio)))
+    kept = by_hash(known.withColumn("_quota", quota), ["_stretch", "_side"], "_quota", key, seed).drop("_quota")
+    return kept.join(counts, ["_stretch", "_side"])
+
+
+def from_pool(pool: DataFrame, cutoffs: list[str], cutoff: str, key: Column, most: int, ratio: float, seed: str = "0") -> DataFrame:
+    """The rows that ``pool_slice`` draws from all rows for one of the pool's cutoffs, drawn from the pool."""
+    seen = pool.where(F.col("_stretch") <= sorted(cutoffs).index(cutoff))
+    totals = {r._side: r.n for r in seen.select("_stretch", "_side", "_total").distinct().groupBy("_side").agg(F.sum("_total").alias("n")).collect()}
+    positives = min(totals.get(1, 0), int(most / (1 + ratio)))
+    negatives = min(totals.get(0, 0), int(round(positives * ratio)))
+    asked = seen.withColumn("_quota", F.when(F.col("_side") == 1, positives).otherwise(negatives))
+    return by_hash(asked, ["_side"], "_quota", key, seed).drop("_stretch", "_side", "_hash", "_total", "_quota")

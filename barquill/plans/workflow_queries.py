@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquill.functions.tables import new_path
+from barquill.functions.tables import materialize, new_path
 from barquill.operators import sampling as D
 from barquill.operators import select as S
 from barquill.operators import universe as U
@@ -88,6 +88,22 @@ def pool_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "label")
 
 
+_CUTOFFS = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 12:00:00"]
+
+
+@add("WITH c AS (SELECT unnest([" + ", ".join(f"TIMESTAMP '{c}'" for c in _CUTOFFS) + """]) AS cutoff), e AS (SELECT cutoff, event_id, (value > 40)::INT AS label, md5('0|' || event_id::VARCHAR) AS h FROM events, c WHERE ts <= cutoff - INTERVAL 1 HOUR),
+r AS (SELECT *, row_number() OVER (PARTITION BY cutoff, label ORDER BY h) AS k, count(*) FILTER (WHERE label = 1) OVER (PARTITION BY cutoff) AS p, count(*) FILTER (WHERE label = 0) OVER (PARTITION BY cutoff) AS n FROM e)
+SELECT cutoff::VARCHAR AS cutoff, event_id, label::DOUBLE AS label FROM r WHERE k <= CASE WHEN label = 1 THEN least(p, 500) ELSE least(n, least(p, 500) * 3) END""")
+def pool_for_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of three cutoffs, from one pool."""
+    pool = materialize(D.bottom_pool(Q.labelled(spark, sf_dir), F.col("event_id"), _CUTOFFS, 2000, 3.0, 3600), "pool")
+    out = None
+    for cutoff in _CUTOFFS:
+        part = D.from_pool(pool, _CUTOFFS, cutoff, F.col("event_id"), 2000, 3.0).select(F.lit(cutoff).alias("cutoff"), "event_id", "label")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @add(Q._L + """, q AS (SELECT list(x) AS c FROM (SELECT DISTINCT unnest(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS x FROM e)), b AS (SELECT e.*, len(list_filter(c, lambda x: x <= value)) AS bin FROM e, q), n AS (SELECT bin, count(*) AS n FROM b GROUP BY 1),
 w AS (SELECT bin, greatest(0.25, least(4, sqrt(avg(n) OVER () / n))) AS balance FROM n), d AS (SELECT event_id, value, balance, ln((('0x' || substr(h, 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / (balance * weight) AS g FROM b JOIN w USING (bin) WHERE weight > 0)
 SELECT event_id, value, round(balance, 6) AS balance FROM d ORDER BY g DESC, event_id LIMIT 800""")

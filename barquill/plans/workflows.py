@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barquill.functions.tables import materialize
 from barquill.operators import bars as B
 from barquill.operators.boosting import Forest
 from barquill.operators import metrics as M
@@ -23,10 +24,14 @@ def build_bars(ticks: DataFrame, path: str, seconds: int = 300, gap_seconds: int
 
 
 def train_walkforward(rows: DataFrame, features: list[str], cutoffs: list[str], key: str, most: int = 2_000_000, ratio: float = 3.0, horizon_seconds: int = 0, least_symbols: int = 1, **fit) -> list[tuple[str, object]]:
-    """A model for each cutoff, from what was settled before it, with classes in ratio; cutoffs with too few symbols have none."""
+    """A model for each cutoff, from what was settled before it, with classes in ratio; cutoffs with too few symbols have none.
+
+    The rows are read once, into a pool as large as the samples of all cutoffs together.
+    """
     out = []
+    pool = materialize(D.bottom_pool(rows, F.col(key), cutoffs, most, ratio, horizon_seconds), "pool") if cutoffs else None
     for cutoff in cutoffs:
-        data = D.pool_slice(rows, F.col(key), cutoff, most, ratio, horizon_seconds).cache()
+        data = D.from_pool(pool, cutoffs, cutoff, F.col(key), most, ratio).cache()
         if data.select("symbol").distinct().count() >= least_symbols and data.select("label").distinct().count() > 1:
             out.append((cutoff, C.train_classifier(data, features, **fit)))
         data.unpersist()

@@ -122,13 +122,14 @@ def test_order_within_groups_counts(spark):
 
 
 def test_calibration_moves_to_the_natural_rate(spark):
-    """Positives are half of a sample and a tenth of nature: the mean calibrated score follows."""
+    """Positives are half of a sample and a tenth of nature: weighed as in nature, the mean calibrated score is nature's."""
     r = random.Random(5)
     df = spark.createDataFrame([(0.2 + 0.6 * r.random() * y + 0.1 * r.random(), float(y)) for y in (0, 1) * 400], "p double, label double")
     plain, moved = C.fit_platt(df, "p", "label"), C.fit_platt(df, "p", "label", natural_rate=0.1)
     assert plain.prior_shift == 0 and moved.prior_shift == pytest.approx(math.log(1 / 9)) and moved.coef == plain.coef
-    mean = lambda c: df.select(F.avg(C.calibrated(F.col("p"), c))).first()[0]
-    assert mean(plain) == pytest.approx(0.5, abs=0.05) and mean(moved) < 0.3
+    nature = F.when(F.col("label") == 1, 0.1).otherwise(0.9)
+    mean = lambda c, w: df.select(F.sum(C.calibrated(F.col("p"), c) * w) / F.sum(w)).first()[0]
+    assert mean(plain, F.lit(1.0)) == pytest.approx(0.5, abs=0.02) and mean(moved, nature) == pytest.approx(0.1, abs=0.03)
 
 
 def test_odd_rows(spark):
