@@ -13,7 +13,8 @@ from barquill.operators import universe as U
 from barquill.plans import selection_queries as Q
 from barquill.plans import workflows as J
 from barquill.plans.feature_queries import _rounded
-from barquill.plans.fixtures import table, ticks
+from barquill.plans.fixtures import BARS, TRADES, table, ticks
+from barquill.plans.fixtures import trades as trades_
 from barquill.plans.metric_queries import trades
 from barquill.plans.registry import add
 
@@ -24,6 +25,31 @@ def job_build_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.build_bars(ticks(spark, sf_dir), new_path(spark, "job"), 3600, 7200)
 
 
+@add(f"WITH {BARS} SELECT * FROM bars")
+def job_cached_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the middle third of the time are asked for first, then all: the second time only the rest is computed."""
+    rows, home = ticks(spark, sf_dir), new_path(spark, "bars-cache")
+    ends = rows.groupBy("symbol").agg(F.min("ts").alias("lo"), (F.max("ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("hi"))
+    third = (F.col("hi") - F.col("lo")) / 3
+    J.cached_bars(rows, ends.select("symbol", (F.col("lo") + third).alias("lo"), (F.col("hi") - third).alias("hi")), home, 3600)
+    return J.cached_bars(rows, ends, home, 3600)
+
+
+@add(f"""WITH {TRADES}, t AS (SELECT year(exit_ts) % 2 AS step, symbol, exit_ts::DATE AS day, r_net * weight AS w FROM trades), s AS (SELECT step, symbol, count(*) AS trades, sum(w) AS pnl FROM t GROUP BY 1, 2), d AS (SELECT step, count(DISTINCT day) AS days FROM t GROUP BY 1),
+n AS (SELECT step, count(*) AS all_trades FROM t GROUP BY 1) SELECT step::DOUBLE AS step, symbol, trades::DOUBLE AS trades, round(pnl, 6) AS pnl, pnl > 0 AS in_universe, days::DOUBLE AS days, all_trades::DOUBLE AS all_trades FROM s JOIN d USING (step) JOIN n USING (step)""")
+def job_step_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of odd and even years as two steps, published in turn, the second twice; what a reader of the newest version has."""
+    home, rows = new_path(spark, "reports"), trades_(spark, sf_dir)
+    for step in (0, 1, 1):
+        part = rows.where(F.year("exit_ts") % 2 == step)
+        J.publish_step(spark, home, step, part, part.groupBy(F.lit("all").alias("key"), F.to_date("exit_ts").alias("day")).agg((F.sum("r_net") / 10000).alias("r")))
+    report = lambda name: J.step_report(spark, home, name)
+    days, all_ = report("equity").groupBy("step").agg(F.count("*").alias("days")), report("trades").groupBy("step").agg(F.count("*").alias("all_trades"))
+    chosen = report("universe").select("step", "symbol", F.lit(True).alias("in_universe"))
+    out = report("symbols").select("step", "symbol", "trades", "pnl").join(chosen, ["step", "symbol"], "left").join(days, "step").join(all_, "step")
+    return _rounded(out.withColumn("in_universe", F.coalesce("in_universe", F.lit(False))))
+
+
 @add()
 def job_walkforward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.labelled(spark, sf_dir).withColumn("hour", F.hour("ts").cast("double"))

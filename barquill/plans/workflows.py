@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barquill.functions.tables import materialize
 from barquill.operators import bars as B
-from barquill.operators.boosting import Forest
 from barquill.operators import metrics as M
 from barquill.operators import sampling as D
 from barquill.operators import scoring as C
 from barquill.operators import select as S
+from barquill.operators.boosting import Forest
+from barquill.sources import cache as K
 from barquill.sources import files as W
+from barquill.sources import versions as V
 
 
 def build_bars(ticks: DataFrame, path: str, seconds: int = 300, gap_seconds: int = 900) -> DataFrame:
@@ -23,6 +25,37 @@ def build_bars(ticks: DataFrame, path: str, seconds: int = 300, gap_seconds: int
     return W.bar_index(W.read_bars(ticks.sparkSession, path))
 
 
+def cached_bars(ticks: DataFrame, wanted: DataFrame, home: str, seconds: int = 300) -> DataFrame:
+    """Bars of the ``wanted`` intervals (symbol, lo, hi), moved out to whole bars; of ticks only those of bars that ``home`` lacks are read."""
+    end = F.col("hi") + F.make_dt_interval(secs=F.lit(seconds)) - F.expr("INTERVAL 1 MICROSECOND")
+    whole = wanted.withColumn("lo", B.bin_start(F.col("lo"), seconds)).withColumn("hi", B.bin_start(end, seconds))
+    return K.fetch(ticks.sparkSession, f"{home}/{K.key_of('bars', seconds)}", whole, lambda missing: B.from_ticks(K.inside(ticks, missing), seconds))
+
+
+def publish_step(spark: SparkSession, home: str, step: int, trades: DataFrame, returns: DataFrame) -> int:
+    """The reports of a step appear together: its trades, what symbols gave, symbols that gained as universe, and equity.
+
+    ``returns`` has key, day and r. A step that is told again replaces its reports; those of other steps stay.
+    """
+
+    def reports(_: dict[str, str]) -> dict[str, DataFrame]:
+        symbols = M.symbol_contribution(trades)
+        tables = {"trades": trades, "symbols": symbols, "universe": symbols.where("pnl > 0").select("symbol", "pnl"), "equity": M.curve(returns)}
+        return {f"{name}/step={step}": table for name, table in tables.items()}
+
+    return V.publish(spark, home, reports)
+
+
+def step_report(spark: SparkSession, home: str, name: str, version: int | None = None) -> DataFrame:
+    """One kind of report of all steps of a version, with ``step``."""
+    folders = {n: f for n, f in V.pinned(spark, home, version).items() if n.startswith(f"{name}/step=")}
+    parts = [spark.read.parquet(f).withColumn("step", F.lit(int(n.rpartition("=")[2]))) for n, f in sorted(folders.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def train_walkforward(rows: DataFrame, features: list[str], cutoffs: list[str], key: str, most: int = 2_000_000, ratio: float = 3.0, horizon_seconds: int = 0, least_symbols: int = 1, **fit) -> list[tuple[str, object]]:
     """A model for each cutoff, from what was settled before it, with classes in ratio; cutoffs with too few symbols have none.
 

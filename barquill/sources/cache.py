@@ -40,13 +40,6 @@ def widened(intervals: DataFrame, before: int, after: int = 0) -> DataFrame:
     return merged(intervals.select("symbol", (F.col("lo") - F.make_dt_interval(secs=F.lit(before))).alias("lo"), (F.col("hi") + F.make_dt_interval(secs=F.lit(after))).alias("hi")))
 
 
-def on_grid(ts: Column, seconds: int, up: bool = False) -> Column:
-    """A time moved down, or up, to a whole bar."""
-    micros = F.unix_micros(ts.cast("timestamp"))
-    whole = F.floor((micros + (seconds * 1_000_000 - 1 if up else 0)) / (seconds * 1_000_000))
-    return F.timestamp_micros(whole.cast("long") * seconds * 1_000_000).cast("timestamp_ntz")
-
-
 def cover(spark: SparkSession, home: str, version: int | None = None) -> DataFrame:
     """(symbol, lo, hi): what is stored, an interval without rows being stored, too."""
     folders = V.pinned(spark, home, version)
@@ -87,7 +80,7 @@ def fetch(spark: SparkSession, home: str, wanted: DataFrame, compute: Callable[[
         elif len(old) >= PARTS:
             rows = rows.unionByName(_parts(spark, folders, old))
         else:
-            old, rows = [], rows
+            old = []
         number = 1 + max((int(n.removeprefix("rows-")) for n in folders if n.startswith("rows-")), default=0)
         return {n: None for n in old} | {f"rows-{number:06d}": rows, "cover": merged(stored.unionByName(missing))}
 
