@@ -13,13 +13,21 @@ from barquill.functions.rolling import clip
 
 
 def as_of(rows: DataFrame, periods: DataFrame, ts: str = "ts", start: str = "train_end") -> DataFrame:
-    """Each row with the newest period that ended strictly before it, null before the first.
+    """Each row with the newest period that ended strictly before it, null before the first, without periods or without a time.
 
-    Periods become the ranges between their ends, which the join compares; a table of periods is small.
+    Periods become the ranges between their ends, and ranges the days that they touch, so that the join is by equal days
+    and Spark may shuffle or broadcast as sizes ask for; the open range after the last end is a day of its own. Periods
+    without an end are left out; of periods with equal ends one counts.
     """
-    to = F.lead(start).over(Window.orderBy(start))
-    ranges = periods.withColumn("_to", to)
-    return rows.join(ranges, (F.col(ts) > F.col(start)) & (F.col("_to").isNull() | (F.col(ts) <= F.col("_to"))), "left").drop("_to")
+    kind = periods.schema[start].dataType
+    ranges = periods.where(F.col(start).isNotNull()).withColumn("_to", F.lead(start).over(Window.orderBy(start)))
+    last = F.lit(periods.agg(F.max(start).cast("string").alias("last")).first().last).cast(kind)
+    after = F.to_date(F.lit("9999-12-31"))
+    days = F.when(F.col("_to").isNull(), F.array(after)).otherwise(F.sequence(F.to_date(start), F.to_date("_to")))
+    ranges = ranges.withColumn("_day", F.explode(days))
+    timed = rows.withColumn("_row_day", F.when(F.col(ts) > last, after).otherwise(F.to_date(ts)))
+    within = (F.col(ts) > F.col(start)) & (F.col("_to").isNull() | (F.col(ts) <= F.col("_to")))
+    return timed.join(ranges, (F.col("_row_day") == F.col("_day")) & within, "left").drop("_to", "_day", "_row_day")
 
 
 def last_before(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], strict: bool = False) -> DataFrame:

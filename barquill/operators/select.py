@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from barquill.functions.nearest import grouped, k_nearest
 from barquill.functions.quantiles import quantiles_by
+from barquill.functions.ranks import met, percent_rank, percent_ranks
 from barquill.functions.rolling import clip
 from barquill.functions.tables import materialize
+from barquill.operators.memory import CLUSTER_RATE, FAMILY_RATE, FAMILY_WEIGHTS, nearness
 
 
 def _n(name: str, default: float) -> Column:
@@ -50,14 +52,6 @@ def survival_score() -> Column:
     return F.when(out, 0.0).otherwise(F.log1p(_excess(ret) * 8.0) * F.exp(-fall) * support)
 
 
-def percent_rank(name: str, ascending: bool = True) -> Column:
-    """The mean place of equal values over the count of values; null is 0."""
-    x = F.col(name)
-    order = Window.orderBy(x.asc_nulls_last() if ascending else x.desc_nulls_last())
-    same, every = Window.partitionBy(name), Window.partitionBy()
-    return F.when(x.isNull(), 0.0).otherwise((F.rank().over(order) + (F.count(x).over(same) - 1) / 2) / F.count(x).over(every))
-
-
 def viable(runs: DataFrame) -> DataFrame:
     """Settings worth comparing; if none passes, those with any score and return."""
     strict = (F.col("score") > 0) & (F.col("ret_pct") > 0) & (F.col("max_dd") > 0) & (F.col("max_dd") <= 0.35) & (F.col("trades") >= 30) & (F.col("profit_factor") >= 1.15)
@@ -105,6 +99,7 @@ def smoothed(runs: DataFrame, k: int | None = None) -> DataFrame:
 LOCAL = {"score": 18, "neighbor_mean_score": 24, "neighbor_q25_score": 26, "-max_dd": 8, "profit_factor": 6, "trades": 4, "month_pos_frac": 3, "-max_neg_month_streak": 5, "-underwater_frac": 5, "worst_rolling_90d": 4, "-top1_share_pos": 3, "-avg_trades_per_cluster": 2}
 LOCAL_DD = {"score": 12, "neighbor_mean_score": 18, "neighbor_q25_score": 22, "-max_dd": 16, "-neighbor_dd_median": 10, "profit_factor": 6, "trades": 5, "month_pos_frac": 3, "-max_neg_month_streak": 7, "-underwater_frac": 7, "worst_rolling_90d": 5, "-top1_share_pos": 2, "-avg_trades_per_cluster": 1}
 CLUSTER = {"local_q25": 24, "local_median": 18, "raw_q25": 12, "raw_median": 8, "neighbor_q25": 12, "neighbor_mean": 8, "-dd_median": 8, "pf_median": 4, "trade_median": 3, "month_median": 2, "-streak_median": 4, "-underwater_median": 4, "roll90_median": 3, "size": 5, "-dispersion": 2}
+FAMILY = {"local_q25": 20, "local_median": 16, "-dd_median": 12, "pf_median": 6, "trade_median": 5, "month_median": 3, "-streak_median": 5, "-underwater_median": 5, "roll90_median": 6, "size": 6, "-total_exposure_median": 8, "-trade_exposure_median": 4, "prudent_median": 4}
 
 
 def ranked(weights: dict[str, int]) -> Column:
@@ -139,10 +134,10 @@ def clustered(runs: DataFrame, radius: float) -> DataFrame:
     return rows.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("component")) - 1).drop("component")
 
 
-def centres(runs: DataFrame, key: str) -> DataFrame:
-    """(key, center): the median of each part of ``x``."""
-    each = quantiles_by(runs.select(key, F.posexplode("x").alias("i", "v")), [key, "i"], {"q": ("v", [0.5])}).select(key, "i", F.col("q")[0].alias("m"))
-    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("center"))
+def centres(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, center): the median of each part of ``x``."""
+    each = quantiles_by(runs.select(*keys, F.posexplode("x").alias("i", "v")), [*keys, "i"], {"q": ("v", [0.5])}).select(*keys, "i", F.col("q")[0].alias("m"))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("center"))
 
 
 def apart(a: Column, b: Column) -> Column:
@@ -163,22 +158,15 @@ def cluster_stats(runs: DataFrame) -> DataFrame:
     return stats.withColumn("cluster_score", ranked(CLUSTER)).join(middle, "cluster_id")
 
 
-def continuity(clusters: DataFrame, memory: DataFrame, step: float, step_days: float = 180.0) -> DataFrame:
+def continuity(clusters: DataFrame, memory: DataFrame, step: float, step_days: float = 180.0, rate: float = CLUSTER_RATE, limit: int = 24) -> DataFrame:
     """Adds causal_continuity and causal_coverage_steps: how near clusters are to what earlier steps chose.
 
-    ``memory`` (step, center, quality) has a few rows for each of the last steps kept (24 at most by default). Nearness falls with distance and with steps
+    ``memory`` (step, center, quality) has a few rows for each of the last steps; the newest ``limit`` rows count. Nearness falls with distance and with steps
     between; the mean of the four nearest counts, and how many steps have one nearer than 0.55.
     """
-    held = [F.struct(F.lit(float(m.step)).alias("step"), F.array(*map(F.lit, m.center)).alias("center"), F.lit(float(m.quality)).alias("quality")) for m in memory.select("step", "center", "quality").collect()]
-    if not held:
-        return clusters.withColumn("causal_continuity", F.lit(0.0)).withColumn("causal_coverage_steps", F.lit(0.0))
-    gap = lambda m: F.greatest(F.lit(1.0), F.abs(m["step"] - F.lit(float(step))) / step_days)
-    near = lambda m: F.exp(-3.2 * apart(F.col("center"), m["center"]) - 0.30 * (gap(m) - 1))
-    rows = clusters.withColumn("_near", F.transform(F.array(*held), lambda m: F.struct(near(m).alias("s"), m["step"].alias("step"), m["quality"].alias("q"))))
-    top = F.slice(F.sort_array(F.transform("_near", lambda m: m["s"] * (0.75 + 0.25 * m["q"])), asc=False), 1, 4)
-    mean = F.when(F.size(top) > 0, F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / F.size(top)).otherwise(0.0)
-    seen = F.size(F.array_distinct(F.transform(F.filter("_near", lambda m: m["s"] >= 0.55), lambda m: m["step"])))
-    return rows.withColumn("causal_continuity", mean).withColumn("causal_coverage_steps", seen.cast("double")).drop("_near")
+    held = memory.select("step", "center", "quality").orderBy(F.col("step").desc(), F.col("quality").desc()).limit(limit).collect()
+    near, seen = nearness(F.col("center"), F.lit(float(step)), held, rate, step_days)
+    return clusters.withColumn("causal_continuity", near).withColumn("causal_coverage_steps", seen)
 
 
 def causal_score(clusters: DataFrame) -> DataFrame:
@@ -190,11 +178,12 @@ def family_key(columns: list[tuple[str, str]]) -> Column:
     return F.concat_ws("|", *(F.format_string(f"{short}=%.6f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for short, c in columns))
 
 
-def _middles(runs: DataFrame, key: str, halves: dict[str, str], quarters: dict[str, str]) -> DataFrame:
+def _middles(runs: DataFrame, key: str | list[str], halves: dict[str, str], quarters: dict[str, str]) -> DataFrame:
     """By key the medians and lower quartiles of columns, exact, without a key's values in one place."""
     wanted = {c: (c, [0.25, 0.5]) for c in dict.fromkeys([*halves.values(), *quarters.values()])}
-    found = quantiles_by(runs, [key], wanted)
-    return found.select(key, *(F.col(c)[1].alias(name) for name, c in halves.items()), *(F.col(c)[0].alias(name) for name, c in quarters.items()))
+    keys = [key] if isinstance(key, str) else key
+    found = quantiles_by(runs, keys, wanted)
+    return found.select(*keys, *(F.col(c)[1].alias(name) for name, c in halves.items()), *(F.col(c)[0].alias(name) for name, c in quarters.items()))
 
 
 def family_stats(runs: DataFrame) -> DataFrame:
@@ -204,6 +193,26 @@ def family_stats(runs: DataFrame) -> DataFrame:
     return counts.join(middles, F.col("family_key").eqNullSafe(F.col("_key"))).drop("_key")
 
 
+def family_scores(runs: DataFrame, *within: str) -> DataFrame:
+    """Families with their size, medians, lower quartile of the local score and family_score, all among those of the same ``within``.
+
+    Medians count to twelve places, so that ties are ties whatever the order of sums.
+    """
+    keys = [*within, "family_key"]
+    halves = {
+        "local_median": "local_robust_score", "dd_median": "max_dd", "pf_median": "profit_factor", "trade_median": "trades", "month_median": "month_pos_frac", "streak_median": "max_neg_month_streak", "underwater_median": "underwater_frac",
+        "roll90_median": "worst_rolling_90d", "total_exposure_median": "total_exposure", "trade_exposure_median": "max_trade_exposure", "prudent_median": "prudent_variant_score",
+    }
+    stats = _middles(runs, keys, halves, {"local_q25": "local_robust_score"})
+    stats = stats.withColumns({c: F.round(c, 12) for c in stats.columns if c not in keys})
+    stats = materialize(met(stats, runs.groupBy(*keys).agg(F.count("*").alias("size")), keys), "families")
+    places = percent_ranks(stats, {f"_place_{name.lstrip('-')}": (name.lstrip("-"), not name.startswith("-")) for name in FAMILY}, list(within))
+    score = F.lit(0.0)
+    for name, weight in FAMILY.items():
+        score = score + F.col(f"_place_{name.lstrip('-')}") * (weight / 100)
+    return places.withColumn("family_score", score).select(*stats.columns, "family_score")
+
+
 def pick(runs: DataFrame, order: list[Column], n: int = 1, key: str | None = None) -> DataFrame:
     """The first n rows in an order of several keys, of each ``key`` if one is given."""
     if key is None:
@@ -275,10 +284,10 @@ def candidates(runs: DataFrame, columns: list[str], memory: DataFrame, step: flo
     clusters = causal_score(continuity(cluster_stats(rows), memory, step))
     rows = rows.join(clusters, "cluster_id").withColumn("center_dist", apart(F.col("x"), F.col("center"))).drop("center")
     rows = rows.withColumn("cluster_center_rank", percent_rank("center_dist", False))
-    families = centres(rows, "family_key").join(family_stats(rows), "family_key")
-    families = continuity(families, memory, step).select(
-        "family_key", "center", F.col("family_size"), (percent_rank("family_score_median") * 0.5 + percent_rank("family_score_q25") * 0.22 + percent_rank("causal_continuity") * 0.20 + percent_rank("causal_coverage_steps") * 0.08).alias("family_causal_score")
-    )
+    families = family_scores(rows).select("family_key", F.col("size").alias("family_size"), "family_score").join(centres(rows, "family_key"), "family_key")
+    own, near, seen = FAMILY_WEIGHTS
+    score = F.col("family_score") * own + percent_rank("causal_continuity") * near + percent_rank("causal_coverage_steps") * seen
+    families = continuity(families, memory, step, rate=FAMILY_RATE).select("family_key", "center", "family_size", score.alias("family_causal_score"))
     rows = rows.join(families, "family_key").withColumn("family_dist", apart(F.col("x"), F.col("center"))).drop("center")
     return rows.withColumn("family_center_rank", percent_rank("family_dist", False))
 

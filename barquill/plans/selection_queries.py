@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barquill.functions.ranks import percent_ranks as ranks_of
 from barquill.functions.tables import materialize
 from barquill.operators import boosting as G
+from barquill.operators import memory as K
 from barquill.operators import sampling as D
 from barquill.operators import scoring as C
 from barquill.operators import search as P
@@ -211,7 +213,8 @@ def _rank_sql(c: str, descending: bool = False) -> str:
 
 @add(_RUN + f" SELECT id, round({_rank_sql('trades')}, 6) AS trade_rank, round({_rank_sql('max_dd', True)}, 6) AS dd_rank FROM r")
 def percent_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs(spark, sf_dir).select("id", F.round(S.percent_rank("trades"), 6).alias("trade_rank"), F.round(S.percent_rank("max_dd", False), 6).alias("dd_rank"))
+    rows = ranks_of(runs(spark, sf_dir), {"trade_rank": ("trades", True), "dd_rank": ("max_dd", False)})
+    return rows.select("id", F.round("trade_rank", 6).alias("trade_rank"), F.round("dd_rank", 6).alias("dd_rank"))
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +272,44 @@ def family_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(S.family_stats(runs(spark, sf_dir).withColumn("family_key", F.col("family"))))
 
 
+def _family_rank(name: str) -> str:
+    c = name.lstrip("-")
+    down = " DESC" if name.startswith("-") else ""
+    return f"(rank() OVER (PARTITION BY step ORDER BY {c}{down}) + (count(*) OVER (PARTITION BY step, {c}) - 1) / 2) / count(*) OVER (PARTITION BY step)"
+
+
+_HALVES = {"local_median": "score", "dd_median": "max_dd", "pf_median": "profit_factor", "trade_median": "trades", "month_median": "month_pos_frac", "streak_median": "max_neg_month_streak", "underwater_median": "underwater_frac",
+  "roll90_median": "worst_rolling_90d", "total_exposure_median": "total_exposure", "trade_exposure_median": "max_trade_exposure", "prudent_median": "prudent"}
+_FAMILIES = _RUN.replace("WITH p AS", "WITH RECURSIVE p AS") + f""", y AS (SELECT *, (id % 9 * 180)::DOUBLE AS step, score * month_pos_frac AS prudent, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS xa,
+  (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS xb, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS xc FROM r),
+g AS (SELECT step, family AS id, [quantile_cont(xa, 0.5), quantile_cont(xb, 0.5), quantile_cont(xc, 0.5)] AS center, {", ".join(f"round(quantile_cont({c}, 0.5), 12) AS {n}" for n, c in _HALVES.items())},
+  round(quantile_cont(score, 0.25), 12) AS local_q25, count(*) AS size FROM y GROUP BY 1, 2),
+b AS (SELECT step, id, center, {" + ".join(f"{_family_rank(n)} * {w / 100}" for n, w in S.FAMILY.items())} AS base FROM g)"""
+
+
+@add(_FAMILIES + """, s AS (SELECT step, row_number() OVER (ORDER BY step) AS turn, list({'id': id, 'center': center, 'base': base}) AS gs FROM b GROUP BY step),
+w AS (SELECT 0::BIGINT AS turn, 0::DOUBLE AS step, []::STRUCT(step DOUBLE, center DOUBLE[], quality DOUBLE)[] AS mem, []::STRUCT(ns DOUBLE, nb DOUBLE, id VARCHAR, center DOUBLE[], near DOUBLE, seen DOUBLE)[] AS done
+  UNION ALL SELECT turn, step, list_slice(list_concat(mem, list_transform(list_slice(done, 1, 3), lambda d: {'step': step, 'center': d.center, 'quality': -d.ns})), -24, -1), done FROM (
+    SELECT turn, step, mem, list_sort(list_transform(near, lambda x: {'ns': -round(0.74 * x.base + 0.2 * (len(list_filter(near, lambda y: y.near < x.near)) + (len(list_filter(near, lambda y: y.near = x.near)) + 1) / 2) / len(near)
+      + 0.06 * (len(list_filter(near, lambda y: y.seen < x.seen)) + (len(list_filter(near, lambda y: y.seen = x.seen)) + 1) / 2) / len(near), 12), 'nb': -x.base, 'id': x.id, 'center': x.center, 'near': x.near, 'seen': x.seen})) AS done FROM (
+      SELECT turn, step, mem, list_transform(sims, lambda x: {'id': x.id, 'center': x.center, 'base': x.base, 'near': round(coalesce(list_avg(list_slice(list_reverse_sort(list_transform(x.sims, lambda m: m.s * (0.75 + 0.25 * m.q))), 1, 4)), 0), 12),
+        'seen': len(list_distinct(list_transform(list_filter(x.sims, lambda m: m.s >= 0.55), lambda m: m.step)))::DOUBLE}) AS near FROM (
+        SELECT s.turn, s.step, w.mem, list_transform(s.gs, lambda g: {'id': g.id, 'center': g.center, 'base': g.base, 'sims': list_transform(w.mem, lambda m: {'s': exp(-3.0 * list_distance(g.center, m.center) - 0.3 * (greatest(1, abs(m.step - s.step) / 180) - 1)), 'q': m.quality, 'step': m.step})}) AS sims
+        FROM w JOIN s ON s.turn = w.turn + 1)))),
+o AS (SELECT step, unnest(list_transform(range(1, len(done) + 1), lambda i: {'d': done[i], 'i': i})) AS u FROM w)
+SELECT step, u.d.id AS family, round(-u.d.nb, 6) AS family_score, round(u.d.near, 6) AS continuity, u.d.seen AS coverage_steps, round(-u.d.ns, 6) AS causal_score, CASE WHEN u.i <= 3 THEN u.i END AS place FROM o""")
+def families_over_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of nine steps, each scored by what the steps before it remember, 24 families at most."""
+    rows = runs(spark, sf_dir).withColumnsRenamed({"family": "family_key"}).withColumn("step", (F.col("id") % 9 * 180).cast("double"))
+    rows = rows.withColumn("local_robust_score", F.col("score")).withColumn("prudent_variant_score", F.col("score") * F.col("month_pos_frac"))
+    rows = materialize(S.scaled(rows, ["a", "b", "c"]), "runs")
+    groups = S.family_scores(rows, "step").join(S.centres(rows, "step", "family_key"), ["step", "family_key"])
+    scored, _ = K.over_steps(groups.select("step", F.col("family_key").alias("id"), "center", F.col("family_score").alias("base")), rate=K.FAMILY_RATE, weights=K.FAMILY_WEIGHTS)
+    return scored.select(
+        "step", F.col("id").alias("family"), F.round("base", 6).alias("family_score"), F.round("causal_continuity", 6).alias("continuity"), F.col("causal_coverage_steps").alias("coverage_steps"), F.round("causal_score", 6).alias("causal_score"), F.col("place").cast("long").alias("place")
+    )
+
+
 @add(_RUN + " SELECT id, format('neg={:.6f}|blend={:.6f}', a, b) AS family_key FROM r")
 def family_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).select("id", S.family_key([("neg", "a"), ("blend", "b")]).alias("family_key"))

@@ -126,6 +126,18 @@ def test_the_newest_model_that_ended_before(spark):
     assert values(C.as_of(rows, periods), "period") == [None, "p1", "p1", "p2"]
 
 
+def test_many_ends_a_day_meet_rows_by_equal_days(spark):
+    at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
+    ends = [37 * i * i % 9000 for i in range(60)]
+    periods = spark.createDataFrame([(f"p{m}", at(m)) for m in sorted(set(ends))] + [("none", None)], "period string, train_end timestamp_ntz")
+    rows = spark.createDataFrame([(m, at(m)) for m in range(-50, 10_000, 7)] + [(99_999, None)], "m int, ts timestamp_ntz")
+    found = C.as_of(rows, periods)
+    want = {m: max((e for e in ends if e < m), default=None) for m in range(-50, 10_000, 7)} | {99_999: None}
+    assert {r.m: r.period for r in found.collect()} == {m: None if e is None else f"p{e}" for m, e in want.items()}
+    assert found.count() == rows.count() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert [r.period for r in C.as_of(rows.limit(3), periods.limit(0)).collect()] == [None] * 3
+
+
 def test_an_average_equal_to_the_price_is_no_exit(spark):
     got = L.entry_labels(bars(spark, range(3), [100.0, 101.0, 99.0]), L.LabelConfig(horizon=2, exit_span=1)).orderBy("ts").collect()
     assert (got[0].exit_code, got[0].exit_wait) == (-3, 2)
