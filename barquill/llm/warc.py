@@ -81,7 +81,9 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
     The version block comes first, with kind ``version``; a file without one is read as version 1. Where no usable header
     stands (other fields than the version's, a length that is no number or runs past the end), bytes are passed over up to
     the next header whose declared length ends where a header or the end of the file follows, or else to the end; what was
-    passed over comes as one record of kind ``skipped``. Empty data has no records.
+    passed over comes as one record of kind ``skipped``. So does a record whose own length is wrong: one that ends where
+    neither a header nor the end follows, unless its HTTP head declares just the body that it has, or a line end follows
+    and there is no such header inside it (then what follows is what is damaged). Empty data has no records.
     """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
@@ -98,6 +100,28 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             to += 1
         return to
 
+    def fits(m: re.Match) -> bool:
+        to = after(m)
+        return to >= size or _HEADER[version].match(data, to) is not None
+
+    def next_header(at: int, end: int) -> int:
+        """Where the first header stands, on a line after ``at`` and before ``end``, whose length fits; -1 if there is none."""
+        while (at := data.find(b"\n", at, end) + 1) and at < end:
+            m = header(at)
+            if m and fits(m):
+                return at
+        return -1
+
+    def sound(m: re.Match) -> bool:
+        to = m.end() + int(m["length"])
+        if fits(m):
+            return True
+        head, body = http_parts(data[m.end() : to])
+        declared = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$", head)
+        if declared:
+            return int(declared[1]) == len(body)
+        return data[to : to + 1] in (b"\n", b"\r") and next_header(m.end() - 1, to) < 0
+
     first = re.match(rb"filedesc:[^\r\n]* (\d{1,9})\r?\n", data)
     if first and first.end() + int(first[1]) <= size:
         block = data[first.end() : first.end() + int(first[1])]
@@ -110,15 +134,11 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
             at += 1
             continue
         m = header(at)
-        if m is None:
-            lo = at
-            while m is None or (after(m) < size and header(after(m)) is None):
-                at = data.find(b"\n", at) + 1
-                if not at:
-                    break
-                m = header(at)
-            at = at or size
-            yield ArcRecord("", "-", "-", "no usable header", data[lo:at], "skipped", lo)
+        if m is None or not sound(m):
+            lo, why = at, "no usable header" if m is None else "declared length does not fit"
+            found = next_header(at, size)
+            at = size if found < 0 else found
+            yield ArcRecord("", "-", "-", why, data[lo:at], "skipped", lo)
             continue
         to = m.end() + int(m["length"])
         yield ArcRecord(_said(m["url"]), _said(m["ip"]), _said(m["date"]), _said(m["mime"]), data[m.end() : to], "record", at)

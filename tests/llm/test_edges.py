@@ -292,6 +292,28 @@ def test_damaged_arc_headers_are_passed_over(version):
     assert [r.kind for r in warc.read_arc(b"no archive\nat all")] == ["skipped"] and list(warc.read_arc(b"")) == []
 
 
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("http", [False, True])
+@pytest.mark.parametrize("off", [-30, -1, 1, 5, 60, 200])
+def test_wrong_lengths_take_no_other_record_with_them(version, http, off):
+    body = [bytes([65 + i]) * (60 + i) + b"\nmore of it, without a line end" * 2 for i in range(4)]
+    if http:
+        body = [b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(b) + b for b in body]
+    records = [warc.ArcRecord(f"http://{i}", "1.1.1.1", "20010203040506", "text/html", b) for i, b in enumerate(body)]
+    data = warc.write_arc(records, version)
+    for i in range(4):
+        line = next(x for x in data.split(b"\n") if x.startswith(f"http://{i} ".encode()))
+        size = line.rsplit(b" ", 1)[1]
+        wrong = data.replace(line, line[: -len(size)] + str(int(size) + off).encode())
+        got = list(warc.read_arc(wrong))
+        assert [r.content for r in got if r.kind == "record" and r.url != f"http://{i}"] == [body[k] for k in range(4) if k != i]
+        if off == 1:  # the line end after a record is taken for its last byte: a header follows all the same
+            assert all(r.kind != "skipped" for r in got)
+        else:
+            assert [r.kind for r in got].count("skipped") == 1
+    assert [r.kind for r in warc.read_arc(data)] == ["version"] + ["record"] * 4
+
+
 def test_real_archives_are_converted(spark, tmp_path):
     old = [warc.ArcRecord("http://a/1", "1.2.3.4", "19970101000000", "text/html", HTTP + BINARY), warc.ArcRecord("http://a/2", "1.2.3.4", "19980101000000", "text/html", HTTP.replace(b"404", b"200") + BINARY), warc.ArcRecord("http://a/3", "-", "1999", "text/html", HTTP + LATIN), warc.ArcRecord("dns:a", "-", "1999", "text/dns", b"19990101 a. IN A 1.2.3.4"), warc.ArcRecord("http://bare", "-", "1999", "image/gif", BINARY)]
     big = warc.ArcRecord("http://big", "-", "1999", "text/html", HTTP + np.random.default_rng(1).integers(0, 256, 17 << 20, np.uint8).tobytes())
