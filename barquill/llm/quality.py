@@ -114,10 +114,12 @@ def fit(feature: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int)
 def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE) -> Ordinal:
     """Fit on at most ``sample`` rows of ``ratings`` (doc_id, grade from 0), those with the smallest hashes of doc_id.
 
-    Features are made where the texts are; one task gathers those of the sample, whose size is bounded, and fits.
+    Features are made where the texts are; one task gathers those of the sample, whose size is bounded, and fits. A document
+    that was rated several times, or stands in several rows, counts once for each of its grades, by the smallest of its
+    lists of features, however many rows it has.
     """
     rated = ratings.where("doc_id is not null and grade is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    rated = rated.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +137,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
         return pa.table({"feature": [used.astype(np.int32)], "weight": [model.weights[used]], "threshold": [model.thresholds]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
-    learned = texts.mapInArrow(extract, "doc_id long, grade int, feature array<int>").groupBy(F.lit(1).alias("all")).applyInArrow(
-        lambda table: learn(table), "feature array<int>, weight array<double>, threshold array<double>"
-    )
+    once = texts.mapInArrow(extract, "doc_id long, grade int, feature array<int>").groupBy("doc_id", "grade").agg(F.min("feature").alias("feature"))
+    learned = once.groupBy(F.lit(1).alias("all")).applyInArrow(lambda table: learn(table.select(["doc_id", "grade", "feature"])), "feature array<int>, weight array<double>, threshold array<double>")
     row = learned.first()
     model = fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32), grades)
     if row:

@@ -590,3 +590,12 @@ def test_near_dedup_tells_rows_of_one_doc_id_apart(spark):
     assert len(last) == 1 and last[0][1] in (z, z + " end")
     want = [(3, x), (5, y), (6, "other words here"), (7, "A b"), (None, "alone"), (None, None), (None, None), (8, " "), (8, "")]
     assert sorted(map(str, got)) == sorted(map(str, want + last))
+
+
+def test_many_rows_of_one_rated_document_count_once(spark):
+    texts = {0: "you vile stupid fool", 1: "buy now buy now", 2: "a calm and well made text about the sea", 3: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ratings = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 1)], "doc_id long, grade int")
+    many = docs.union(docs.where("doc_id = 1").join(spark.range(1500).select(), how="cross"))
+    once, often = quality.train(docs, ratings, 3), quality.train(many, ratings.union(ratings).union(ratings.limit(1)), 3)
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds) and once.weights.any()
