@@ -36,6 +36,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: by 0 infinite, or NaN if both are 0, where Spark's own quotient is null or an error."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / F.nullif(b, F.lit(0.0)))
+
+
 def gate(value: Column, x: Column, n: int, minp: int | None) -> Column:
     return F.when(F.count(x).over(frame(n)) >= (n if minp is None else minp), value)
 
