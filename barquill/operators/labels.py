@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barquill.functions.rolling import clip
+from barquill.functions.rolling import clip, ratio
 
 
 def by() -> WindowSpec:
@@ -73,6 +73,7 @@ class LabelConfig:
     power_neg: float = 2.2
     pos_scale: float = 1.0
     neg_scale: float = 1.0
+    zero: bool = False  # whether 0 is a price like any other, and not a missing one
 
 
 def _after(x: Column, first: int, last: int, what=F.avg) -> Column:
@@ -86,7 +87,8 @@ def walk(cfg: LabelConfig) -> Column:
     first close below it.
     """
     alpha = 2.0 / (cfg.exit_span + 1.0)
-    ahead = F.collect_list(F.struct("close", F.coalesce(F.when(F.col("low") > 0, F.col("low")), F.col("close")).alias("low"))).over(by().rowsBetween(1, cfg.horizon))
+    low = F.col("low") if cfg.zero else F.when(F.col("low") > 0, F.col("low"))
+    ahead = F.collect_list(F.struct("close", F.coalesce(low, F.col("close")).alias("low"))).over(by().rowsBetween(1, cfg.horizon))
     start = F.struct(
         (F.col("close") * (1 - cfg.exit_offset)).alias("ema"), F.lit(0).alias("k"), F.lit(0).alias("out"), F.col("close").alias("price"), F.col("close").alias("worst")
     )
@@ -117,28 +119,30 @@ def entry_labels(bars: DataFrame, cfg: LabelConfig) -> DataFrame:
     """symbol, ts, entry_label (1, 0 or null between), r_net, mae, exit_code, exit_wait, entry_weight, and what led to them.
 
     exit_code is 2 where the average ended the trade, else -3; exit_wait the bars held. A bar without a price has no label.
+    With ``cfg.zero`` a price of 0 is one: a fall to it is a fall by all, and a gain from it is infinite (none: NaN).
     """
     close = F.col("close")
-    rows = bars.where(close.isNotNull() & (close > 0)).withColumn("step", F.abs(close / F.lag("close").over(by()) - 1))
+    priced = close.isNotNull() & ((close >= 0) if cfg.zero else (close > 0))
+    rows = bars.where(priced).withColumn("before", F.lag("close").over(by())).withColumn("step", F.abs(ratio(close, F.col("before")) - 1))
     future, early = (1, cfg.future), (1, cfg.early)
     rows = rows.withColumns({
         "w": walk(cfg), "n_after": F.count("close").over(by().rowsBetween(*future)), "mean_px": _after(close, *future), "mean_early_px": _after(close, *early),
         "worst_px": _after(close, *future, F.min), "worst_early_px": _after(close, *early, F.min), "end_px": _after(close, *future, F.last),
         "path": _after(F.col("step"), *future, F.sum), "ahead": F.collect_list("close").over(by().rowsBetween(*future)),
     })
-    net = lambda px: px / close - 1 - cfg.cost
+    net = lambda px: ratio(px, close) - 1 - cfg.cost
     none = F.col("n_after") == 0
     r = net(F.col("w.price"))
     mean = F.when(none, r).otherwise(net(F.col("mean_px")))
     end = net(F.when(none, F.col("w.price")).otherwise(F.col("end_px")))
     up = F.greatest(F.lit(0.0), end + cfg.cost)
-    share = F.size(F.filter("ahead", lambda p: p / close - 1 - cfg.cost > 0)) / F.nullif(F.col("n_after"), F.lit(0))
+    share = F.size(F.filter("ahead", lambda p: net(p) > 0)) / F.nullif(F.col("n_after"), F.lit(0))
     rows = rows.withColumns({
         "r_net": r, "future_mean": mean, "future_early_mean": F.coalesce(net(F.col("mean_early_px")), mean), "future_end": end,
         "future_worst": net(F.least(close, F.coalesce("worst_px", close))), "future_early_worst": net(F.least(close, F.coalesce("worst_early_px", close))),
         "future_positive": F.when(none, (end > 0).cast("double")).otherwise(share),
         "future_efficiency": clip(F.when(F.coalesce("path", F.lit(0.0)) > 1e-12, up / F.nullif(F.col("path"), F.lit(0.0))).otherwise((up > 0).cast("double")), 0.0, 1.0),
-        "mae": F.col("w.worst") / close - 1, "exit_code": F.when(F.col("w.out") > 0, 2).otherwise(-3),
+        "mae": ratio(F.col("w.worst"), close) - 1, "exit_code": F.when(F.col("w.out") > 0, 2).otherwise(-3),
         "exit_wait": F.when(F.col("w.out") > 0, F.col("w.out")).otherwise(F.col("w.k")),
     })
     down = lambda c: F.abs(F.least(F.lit(0.0), F.col(c)))
