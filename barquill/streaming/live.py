@@ -201,9 +201,12 @@ def last_trades(trades: DataFrame, n: int = 200) -> DataFrame:
     return trades.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k").withColumn("open", F.col("exit_ts").isNull())
 
 
-def decisions(scored: DataFrame, tau: float, delay: str = "10 minutes") -> DataFrame:
-    """One decision for each symbol and time, however often it is scored within the delay."""
-    once = scored.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["symbol", "event_ts"])
+def decisions(scored: DataFrame, tau: float, delay: str = "10 minutes", apart: tuple[str, ...] = ()) -> DataFrame:
+    """One decision for each symbol and time, however often it is scored within the delay.
+
+    Rows of one symbol and time that differ in a column of ``apart`` are decided each.
+    """
+    once = scored.withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["symbol", "event_ts", *apart])
     return once.withColumn("enter", F.col("p") >= tau)
 
 
