@@ -24,8 +24,13 @@ CONFIG = FeatureConfig(
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable values: decimals cut, minus zero as zero, dates as text."""
-    return df.select(*((F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) if k in ("double", "int", "bigint") else F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for c, k in df.dtypes))
+    """Comparable values: decimals cut, minus zero as zero, dates as text.
+
+    Halves are those of the scaled double, as in SQL engines; Spark's own rounding goes by the shortest decimal text.
+    """
+    scale = F.lit(10.0**digits)
+    cut = lambda c: F.when(F.abs(F.col(c)) < 1e9, F.round(F.col(c).cast("double") * scale) / scale).otherwise(F.round(F.col(c).cast("double"), digits))
+    return df.select(*((cut(c) + F.lit(0.0)).alias(c) if k in ("double", "int", "bigint") else F.col(c).cast("string").alias(c) if k == "date" else F.col(c) for c, k in df.dtypes))
 
 
 def _block(*blocks: str):
