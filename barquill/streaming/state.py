@@ -11,15 +11,21 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barquill.functions.tables import exists, shared_dir
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Rows that are Python's own at once; the others of a symbol are columns.
+TAKEN = 1 << 13
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,9 +66,24 @@ def frame_of(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(columns)
 
 
+def _timed(f: T.StructField) -> bool:
+    return isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType))
+
+
+def _columns(pdf: pd.DataFrame, fields: list[T.StructField]) -> pa.Table:
+    """Rows as columns, nulls and NaN as nulls, times as microseconds."""
+    of = lambda f: pa.array(pdf[f.name].astype("datetime64[us]"), pa.timestamp("us")).cast(pa.int64()) if _timed(f) else pa.array(pdf[f.name], to_arrow_type(f.dataType), from_pandas=True)
+    return pa.table([of(f) for f in fields], [f.name for f in fields])
+
+
+def _tuples(table: pa.Table) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+
+
 class Steps(StatefulProcessor):
     """One symbol's rows, sorted, through its step; rows newer than the symbol's newest less ``wait`` stay in state.
 
+    A symbol's rows of a micro-batch are held as columns, which are put in order, and taken from them a few at a time.
     A late row (older than what was taken in before) is the step's business. Single values are one value state. A list is
     a list state that is appended to where it only grew, and otherwise written anew.
     """
@@ -100,22 +121,31 @@ class Steps(StatefulProcessor):
                 stored.put([(x,) for x in now])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = [f for f in self.rows if f.name != "symbol"]
-        values = [tuple(x) for x in self.waiting.get()] if self.waiting is not None and self.waiting.exists() else []
-        for pdf in rows:
-            values += zip(*(_plain(pdf[f.name], f.dataType) for f in columns), strict=True)
+        fields = [f for f in self.rows if f.name != "symbol"]
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting is not None and self.waiting.exists() else []
+        kinds = [pa.int64() if _timed(f) else to_arrow_type(f.dataType) for f in fields]
+        parts = [pa.table([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], [f.name for f in fields])] if held else []
+        parts += [_columns(pdf, fields) for pdf in rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts)
+        del parts, held
         if self.wait:
-            newest = max((r[0] for r in values if r[0] is not None), default=0)
-            later = [r for r in values if r[0] is not None and r[0] > newest - self.wait]
-            values = [r for r in values if r[0] is None or r[0] <= newest - self.wait]
-            self.waiting.put(later) if later else self.waiting.clear()
+            ts = table.column(0)
+            later = pc.fill_null(pc.greater(ts, (pc.max(ts).as_py() or 0) - self.wait), False)
+            wait = _tuples(table.filter(later))
+            table = table.filter(pc.invert(later))
+            self.waiting.put(wait) if wait else self.waiting.clear()
+        table = table.combine_chunks()
+        order = pc.sort_indices(table, sort_keys=[(f.name, "ascending") for f in fields], null_placement="at_end")
         state, before = self._load()
-        out = []
-        for row in sorted(values, key=lambda r: tuple((x is None, x) for x in r)):
-            out += [{"symbol": key[0]} | x for x in self.step(state, row)]
+        for at in range(0, len(order), TAKEN):
+            out = []
+            for row in _tuples(table.take(order.slice(at, TAKEN))):
+                out += [{"symbol": key[0]} | x for x in self.step(state, row)]
+            if out:
+                yield frame_of(out, self.output)
         self._save(state, before)
-        if out:
-            yield frame_of(out, self.output)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
@@ -224,7 +254,7 @@ class Cycles(StatefulProcessor):
                 if other is not None and abs(other[0] - at) <= self.hold * 1_000_000:
                     del waiting[trade, not entry]
                     way_in, way_out = ((at, price), other) if entry else (other, (at, price))
-                    gain = way_out[1] / way_in[1] - 1 - self.cost if way_in[1] and way_out[1] is not None else None
+                    gain = None if way_in[1] is None or way_out[1] is None else way_out[1] / way_in[1] - 1 - self.cost if way_in[1] else way_out[1] * np.inf
                     out.append({"symbol": key[0], "trade": trade, "kind": "closed", "entry_ts": way_in[0], "exit_ts": way_out[0], "r_net": gain})
                 else:
                     waiting[trade, entry] = (at, price)
@@ -246,7 +276,7 @@ class Cycles(StatefulProcessor):
 def trade_cycles(events: DataFrame, hold_seconds: int, delay: str = "10 minutes", cost: float = 0.002) -> DataFrame:
     """Trades from a stream of their entries and exits (symbol, trade, entry: yes or no, ts, price), in any order.
 
-    Halves at most ``hold_seconds`` apart make a trade that is ``closed``, with its profit. A half that has waited longer, in
+    Halves at most ``hold_seconds`` apart make a trade that is ``closed``, with its profit (infinite from a price of 0). A half that has waited longer, in
     event time, is given up as ``open`` (no exit) or ``exit only``, and its state is freed; so it does not matter how rows
     are spread over micro-batches. What is said twice counts once while its other half is awaited. Rows later than
     ``delay`` are not taken.
