@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,10 +45,11 @@ def byte_level(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("byte_level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special), ends
 
 
+@functools.cache
 def encoder(path: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     """A function from texts to ids, and for each id whether it ends a sentence.
 
-    tiktoken's regular expression gives up on about a million characters of white space in a row; such a text goes to the
+    A process makes it once, for all its tasks. tiktoken's regular expression gives up on about a million characters of white space in a row; such a text goes to the
     ``tokenizers`` library, whose ids are the same.
     """
     fast, ends = byte_level(path)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -94,14 +95,31 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Documents that a task sends to its Python process at once; an executor holds two copies of a batch for each of its cores.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Stages run inside send documents to Python in small batches, unless the session asks for smaller ones; the setting is put back."""
+    old = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, old)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = new_path(spark, "corpus")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{top}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{top}/{name}")
+    with small_batches(spark):
+        for name, stage in STAGES:
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{top}/{name}")
+            docs = spark.read.schema(out.schema).parquet(f"{top}/{name}")
     return docs
 
 
