@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from barquill.functions.tables import materialize
 
-#: Ranges that the different values of a key are cut into if there are more than ``CELL_ROWS``.
-CELLS, CELL_ROWS = 256, 1 << 20
+#: Ranges that the different values of a key are cut into if there are more than ``CELL_ROWS``. A task may get all columns of a table, so these are few.
+CELLS, CELL_ROWS = 256, 1 << 14
 
 
 def percent_rank(name: str, ascending: bool = True) -> Column:
@@ -19,50 +19,60 @@ def percent_rank(name: str, ascending: bool = True) -> Column:
     return F.when(x.isNull(), 0.0).otherwise((F.rank().over(order) + (F.count(x).over(same) - 1) / 2) / F.count(x).over(every))
 
 
+def places(values: DataFrame, by: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``values`` (by, _v, _n), each different value once, with ``_upto``, how many are not larger, and ``_all``, how many there are of its key.
+
+    A null comes first. Values of keys that have more than ``cell_rows`` of them are cut into ranges by approximate quantiles, counts
+    by range say where each begins, and each range is put in order by itself.
+    """
+    order = Window.partitionBy(*by)
+    sizes = values.groupBy(*by).agg(F.count("*").alias("_different"), F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10 * CELLS).alias("_cuts"))
+    large = materialize(sizes.where(F.col("_different") > cell_rows).select(*by, "_cuts"), "cuts", 1)
+    if large.isEmpty():
+        return values.withColumn("_upto", F.sum("_n").over(order.orderBy("_v"))).withColumn("_all", F.sum("_n").over(order))
+    cell = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    celled = met(values, large, by, "left").withColumn("_cell", cell).drop("_cuts")
+    counts = celled.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in"))
+    counts = counts.withColumn("_all", F.sum("_in").over(order)).withColumn("_before", F.sum("_in").over(order.orderBy("_cell")) - F.col("_in")).drop("_in")
+    within = celled.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v")))
+    within = met(within, counts, [*by, "_cell"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
+    return materialize(within.select(*values.columns, "_upto", "_all"), "places")
+
+
 def percent_ranks(df: DataFrame, wanted: dict[str, tuple[str, bool]], keys: list[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``df`` and for each name in ``wanted`` (a column, whether the smallest comes first) the mean place of equal values over the count.
 
     Places are those within ``keys``, or in the whole table; a null has rank 0 and is not counted, a null key is a key.
-    Equal values are counted before the shuffle. If a key has more than ``cell_rows`` different ones, approximate quantiles
-    cut them into ranges, counts by range say where each begins, and each range is put in order by a task. A rank goes back to
-    its rows by a join with one row a value, whose large partitions Spark splits.
+    ``df`` is written once, with a number for each row. The values of all columns are one table: equal ones are counted before
+    the shuffle, ``places`` puts them in order, one join gives each row's values their places, and these meet by row, so
+    that the steps are as many for twenty columns as for one. The join's large partitions are split by Spark.
     """
-    keys = keys or []
+    own = [f"_k{i}" for i in range(len(keys or []))]
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    own = [f"_k{i}" for i in range(len(keys))]
     by = [*own, "_q"]
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
-    pairs = df.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), each.alias("x")).select(*own, F.col("x.q").alias("_q"), F.col("x.v").alias("_v"))
-    values = materialize(pairs.where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n")), "values")
-    largest = values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    order = Window.partitionBy(*by)
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_q", "_v")
+    pairs = rows.select("_row", *(F.col(k).alias(o) for k, o in zip(keys or [], own, strict=True)), each).where("_v IS NOT NULL")
+    values = materialize(pairs.groupBy(*by, "_v").agg(F.count("*").alias("_n")), "values")
     mean = F.col("_upto") - (F.col("_n") - 1) / 2
-    if largest <= cell_rows:
-        upto = values.withColumn("_upto", F.sum("_n").over(order.orderBy("_v")))
-        places = upto.select(*by, "_v", mean.alias("_mean"), F.sum("_n").over(order).alias("_all"))
-    else:
-        cuts = values.groupBy(*by).agg(F.percentile_approx("_v", [i / CELLS for i in range(1, CELLS)], 10 * CELLS).alias("_cuts"))
-        celled = met(values, cuts, by).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-        counts = celled.groupBy(*by, "_cell").agg(F.sum("_n").alias("_in"))
-        counts = counts.withColumn("_all", F.sum("_in").over(order)).withColumn("_before", F.sum("_in").over(order.orderBy("_cell")) - F.col("_in")).drop("_in")
-        within = celled.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_v")))
-        places = materialize(met(within, counts, [*by, "_cell"]).select(*by, "_v", (F.col("_before") + mean).alias("_mean"), "_all"), "places")
-    for i, c in enumerate(columns):
-        side = places.where(F.col("_q") == i).drop("_q").withColumnsRenamed({o: f"_r{o}" for o in own})
-        same = F.col(c).cast("double") == F.col("_v")
-        for k, o in zip(keys, own, strict=True):
-            same = same & F.col(k).eqNullSafe(F.col(f"_r{o}"))
-        df = df.join(side, same, "left")
-        up, down = F.col("_mean") / F.col("_all"), (F.col("_all") + 1 - F.col("_mean")) / F.col("_all")
-        df = df.withColumns({name: F.coalesce(up if first else down, F.lit(0.0)) for name, (column, first) in wanted.items() if column == c})
-        df = df.drop("_v", "_mean", "_all", *(f"_r{o}" for o in own))
-    return df
-
-
-def met(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    found = met(pairs, places(values, by, cell_rows).select(*by, "_v", mean.alias("_mean"), "_all"), [*by, "_v"])
+    up, down = F.col("_mean") / F.col("_all"), (F.col("_all") + 1 - F.col("_mean")) / F.col("_all")
+    ranks = found.groupBy("_row").agg(*(F.max(F.when(F.col("_q") == columns.index(c), up if first else down)).alias(name) for name, (c, first) in wanted.items()))
+    out = rows.join(ranks, "_row", "left").drop("_row")
+    return out.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in wanted})
+
+
+def numbered(df: DataFrame, column: str, name: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` and as ``name`` the place of its value, from 0, among the different values of a column; a null comes first."""
+    values = materialize(df.groupBy(F.lit(0).alias("_q"), F.col(column).alias("_v")).agg(F.lit(1).alias("_n")), "values")
+    at = places(values, ["_q"], cell_rows).select(F.col("_v").alias(column), (F.col("_upto") - 1).cast("int").alias(name))
+    return met(df, at, [column])
+
+
+def met(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """A join by columns that takes nulls as equal."""
     right = right.withColumnsRenamed({c: f"_{c}" for c in columns})
     same = F.lit(True)
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return left.join(right, same).drop(*(f"_{c}" for c in columns))
+    return left.join(right, same, how).drop(*(f"_{c}" for c in columns))

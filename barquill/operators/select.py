@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barquill.functions.nearest import grouped, k_nearest
-from barquill.functions.quantiles import quantiles_by
-from barquill.functions.ranks import met, percent_rank, percent_ranks
+from barquill.functions.quantiles import quantiles, quantiles_by
+from barquill.functions.ranks import met, numbered, percent_rank, percent_ranks  # noqa: F401
 from barquill.functions.rolling import clip
 from barquill.functions.tables import materialize
 from barquill.operators.memory import CLUSTER_RATE, FAMILY_RATE, FAMILY_WEIGHTS, nearness
@@ -55,30 +57,32 @@ def survival_score() -> Column:
 def viable(runs: DataFrame) -> DataFrame:
     """Settings worth comparing; if none passes, those with any score and return."""
     strict = (F.col("score") > 0) & (F.col("ret_pct") > 0) & (F.col("max_dd") > 0) & (F.col("max_dd") <= 0.35) & (F.col("trades") >= 30) & (F.col("profit_factor") >= 1.15)
-    rows = runs.withColumn("_strict", F.coalesce(strict, F.lit(False)))
-    any_strict = F.max("_strict").over(Window.partitionBy())
-    return rows.withColumn("_any", any_strict).where(F.col("_strict") | (~F.col("_any") & (F.col("score") > 0) & (F.col("ret_pct") > 0))).drop("_strict", "_any")
+    best = runs.where(strict)
+    return runs.where((F.col("score") > 0) & (F.col("ret_pct") > 0)) if best.isEmpty() else best
 
 
 def elite(runs: DataFrame, least: int = 40) -> DataFrame:
     """The upper quarter by score, if it has at least ``least`` rows; else all."""
-    cut = runs.agg(F.percentile("score", F.lit(0.75)).alias("q")).first().q
+    runs = materialize(runs, "viable")
+    cut = quantiles(runs.select(F.when(F.isnan("score"), float("inf")).otherwise(F.col("score")).alias("score")), "score", [0.75])  # a NaN is above all
     if cut is None:
         return runs
-    top = runs.where(F.col("score") >= cut)
+    top = runs.where(F.col("score") >= cut[0])
     return top if top.count() >= least else runs
 
 
 def scaled(runs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``x``: columns between their least and largest value as 0 to 1, missing ones as the median; 0.5 if all are equal."""
-    found = runs.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max), ("mid", lambda c: F.percentile(c, F.lit(0.5)))))).first().asDict()
+    found = runs.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max), ("gaps", lambda c: F.count_if(F.col(c).isNull()))))).first().asDict()
     parts = []
     for c in columns:
-        lo, hi, mid = (found[f"{k}_{c}"] for k in ("lo", "hi", "mid"))
+        lo, hi = found[f"lo_{c}"], found[f"hi_{c}"]
         if lo is None or hi <= lo:
             parts.append(F.lit(0.5))
         else:
-            parts.append((F.coalesce(F.col(c).cast("double"), F.lit(float(mid))) - float(lo)) / float(hi - lo))
+            x = F.col(c).cast("double")
+            x = F.coalesce(x, F.lit((quantiles(runs, c, [0.5]) or [float("nan")])[0])) if found[f"gaps_{c}"] else x
+            parts.append((x - float(lo)) / float(hi - lo))
     return runs.withColumn("x", F.array(*parts))
 
 
@@ -102,20 +106,35 @@ CLUSTER = {"local_q25": 24, "local_median": 18, "raw_q25": 12, "raw_median": 8,
 FAMILY = {"local_q25": 20, "local_median": 16, "-dd_median": 12, "pf_median": 6, "trade_median": 5, "month_median": 3, "-streak_median": 5, "-underwater_median": 5, "roll90_median": 6, "size": 6, "-total_exposure_median": 8, "-trade_exposure_median": 4, "prudent_median": 4}
 
 
+def place(name: str) -> str:
+    """The column that ``with_places`` has the percent ranks of a name in."""
+    return f"_{'down' if name.startswith('-') else 'up'}_{name.lstrip('-')}"
+
+
+def with_places(rows: DataFrame, names: Iterable[str], *within: str) -> DataFrame:
+    """Adds a column of percent ranks for each name, those with a minus from the top, among rows of the same ``within``."""
+    return percent_ranks(rows, {place(name): (name.lstrip("-"), not name.startswith("-")) for name in dict.fromkeys(names)}, list(within))
+
+
+def without_places(rows: DataFrame) -> DataFrame:
+    return rows.drop(*(c for c in rows.columns if c.startswith(("_up_", "_down_"))))
+
+
 def ranked(weights: dict[str, int]) -> Column:
-    """A sum of percent ranks, weighted in hundredths."""
+    """A sum of percent ranks that ``with_places`` has added, weighted in hundredths."""
     out = F.lit(0.0)
     for name, weight in weights.items():
-        out = out + percent_rank(name.lstrip("-"), not name.startswith("-")) * (weight / 100)
+        out = out + F.col(place(name)) * (weight / 100)
     return out
 
 
 def local_scores(runs: DataFrame) -> DataFrame:
     """Adds local_robust_score, local_dd_score and prudent_variant_score to runs with neighbours."""
-    std, dd = percent_rank("neighbor_score_std", False), percent_rank("neighbor_dd_median", False)
-    rows = runs.withColumn("local_robust_score", ranked(LOCAL) * (0.85 + 0.15 * std) * (0.85 + 0.15 * dd)).withColumn("local_dd_score", ranked(LOCAL_DD) * (0.82 + 0.18 * std))
-    exposure = percent_rank("total_exposure", False) * 0.22 + percent_rank("max_trade_exposure", False) * 0.12 + percent_rank("max_dd", False) * 0.08
-    return rows.withColumn("prudent_variant_score", F.col("local_dd_score") * 0.40 + F.col("local_robust_score") * 0.18 + exposure)
+    rows = with_places(runs, [*LOCAL, *LOCAL_DD, "-neighbor_score_std", "-neighbor_dd_median", "-total_exposure", "-max_trade_exposure", "-max_dd"])
+    std, dd = F.col(place("-neighbor_score_std")), F.col(place("-neighbor_dd_median"))
+    rows = rows.withColumn("local_robust_score", ranked(LOCAL) * (0.85 + 0.15 * std) * (0.85 + 0.15 * dd)).withColumn("local_dd_score", ranked(LOCAL_DD) * (0.82 + 0.18 * std))
+    exposure = F.col(place("-total_exposure")) * 0.22 + F.col(place("-max_trade_exposure")) * 0.12 + F.col(place("-max_dd")) * 0.08
+    return without_places(rows.withColumn("prudent_variant_score", F.col("local_dd_score") * 0.40 + F.col("local_robust_score") * 0.18 + exposure))
 
 
 def cluster_radius(runs: DataFrame, floor: float = 0.55) -> float:
@@ -124,14 +143,14 @@ def cluster_radius(runs: DataFrame, floor: float = 0.55) -> float:
     if n < 2:
         return 0.0
     k = max(2, min(8, n - 1))
-    kth = k_nearest(runs.select("id", "x"), min(k, n - 1)).where(F.col("rank") == min(k, n - 1))
-    return max(floor, kth.agg((F.percentile("distance", F.lit(0.5)) * 1.15).alias("r")).first().r or 0.0)
+    kth = materialize(k_nearest(runs.select("id", "x"), min(k, n - 1)).where(F.col("rank") == min(k, n - 1)).select("distance"), "kth")
+    return max(floor, (quantiles(kth, "distance", [0.5]) or [0.0])[0] * 1.15)
 
 
 def clustered(runs: DataFrame, radius: float) -> DataFrame:
     """Adds cluster_id: numbers of the groups of settings that steps of at most ``radius`` connect, by smallest id."""
     rows = runs.join(grouped(runs.select("id", "x"), radius), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return rows.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("component")) - 1).drop("component")
+    return numbered(rows, "component", "cluster_id").drop("component")
 
 
 def centres(runs: DataFrame, *keys: str) -> DataFrame:
@@ -155,7 +174,7 @@ def cluster_stats(runs: DataFrame) -> DataFrame:
     }
     quarters = {"local_q25": "local_robust_score", "raw_q25": "score"}
     stats = _middles(rows, "cluster_id", halves, quarters).join(rows.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
-    return stats.withColumn("cluster_score", ranked(CLUSTER)).join(middle, "cluster_id")
+    return without_places(with_places(stats, CLUSTER).withColumn("cluster_score", ranked(CLUSTER))).join(middle, "cluster_id")
 
 
 def continuity(clusters: DataFrame, memory: DataFrame, step: float, step_days: float = 180.0, rate: float = CLUSTER_RATE, limit: int = 24) -> DataFrame:
@@ -170,7 +189,8 @@ def continuity(clusters: DataFrame, memory: DataFrame, step: float, step_days: f
 
 
 def causal_score(clusters: DataFrame) -> DataFrame:
-    return clusters.withColumn("causal_cluster_score", F.col("cluster_score") * 0.72 + percent_rank("causal_continuity") * 0.20 + percent_rank("causal_coverage_steps") * 0.08)
+    rows = with_places(clusters, ["causal_continuity", "causal_coverage_steps"])
+    return without_places(rows.withColumn("causal_cluster_score", F.col("cluster_score") * 0.72 + F.col(place("causal_continuity")) * 0.20 + F.col(place("causal_coverage_steps")) * 0.08))
 
 
 def family_key(columns: list[tuple[str, str]]) -> Column:
@@ -206,11 +226,7 @@ def family_scores(runs: DataFrame, *within: str) -> DataFrame:
     stats = _middles(runs, keys, halves, {"local_q25": "local_robust_score"})
     stats = stats.withColumns({c: F.round(c, 12) for c in stats.columns if c not in keys})
     stats = materialize(met(stats, runs.groupBy(*keys).agg(F.count("*").alias("size")), keys), "families")
-    places = percent_ranks(stats, {f"_place_{name.lstrip('-')}": (name.lstrip("-"), not name.startswith("-")) for name in FAMILY}, list(within))
-    score = F.lit(0.0)
-    for name, weight in FAMILY.items():
-        score = score + F.col(f"_place_{name.lstrip('-')}") * (weight / 100)
-    return places.withColumn("family_score", score).select(*stats.columns, "family_score")
+    return with_places(stats, FAMILY, *within).withColumn("family_score", ranked(FAMILY)).select(*stats.columns, "family_score")
 
 
 def pick(runs: DataFrame, order: list[Column], n: int = 1, key: str | None = None) -> DataFrame:

@@ -213,7 +213,7 @@ def _rank_sql(c: str, descending: bool = False) -> str:
 
 @add(_RUN + f" SELECT id, round({_rank_sql('trades')}, 6) AS trade_rank, round({_rank_sql('max_dd', True)}, 6) AS dd_rank FROM r")
 def percent_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranks_of(runs(spark, sf_dir), {"trade_rank": ("trades", True), "dd_rank": ("max_dd", False)})
+    rows = ranks_of(runs(spark, sf_dir).select("id", "trades", "max_dd"), {"trade_rank": ("trades", True), "dd_rank": ("max_dd", False)})
     return rows.select("id", F.round("trade_rank", 6).alias("trade_rank"), F.round("dd_rank", 6).alias("dd_rank"))
 
 
