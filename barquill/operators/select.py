@@ -279,8 +279,7 @@ MODES: dict[str, tuple[dict[str, int], list[str]]] = {
 def selected(candidates: DataFrame, mode: str, n: int = 1) -> DataFrame:
     """The n best candidates by one of ``MODES``; ties to the smaller id. cluster_filter guards the local score by cluster."""
     if mode == "cluster_filter":
-        every = Window.partitionBy()
-        half = lambda c: F.percentile(c, F.lit(0.5)).over(every)
+        half = lambda c: F.lit((quantiles(candidates, c, [0.5]) or [None])[0])
         guard = (F.col("size") >= 2).cast("double") * 0.5 + (F.col("local_q25") >= half("local_q25")).cast("double") * 0.3 + (F.col("dd_median") <= half("dd_median")).cast("double") * 0.2
         rows = candidates.withColumn("cluster_guard", guard).withColumn("robust_score", F.col("local_dd_score") * (0.92 + 0.12 * F.col("cluster_guard")))
         order = ["cluster_guard", "robust_score", "size", "neighbor_q25_score", "score"]
@@ -289,23 +288,26 @@ def selected(candidates: DataFrame, mode: str, n: int = 1) -> DataFrame:
         score = F.lit(0.0)
         for name, weight in blend.items():
             score = score + F.coalesce(F.col(name), F.lit(0.0)) * (weight / 100)
-        rows = candidates.withColumn("dd_rank", percent_rank("max_dd", False)).withColumn("robust_score", score)
+        rows = candidates if "dd_rank" in candidates.columns else percent_ranks(candidates, {"dd_rank": ("max_dd", False)})
+        rows = rows.withColumn("robust_score", score)
     return pick(rows, [*(F.col(c).desc_nulls_last() for c in order), F.col("id").asc()], n)
 
 
 def candidates(runs: DataFrame, columns: list[str], memory: DataFrame, step: float, floor: float = 0.55) -> DataFrame:
     """Viable settings with every score: neighbours, clusters, families, and nearness to what earlier steps chose."""
-    rows = local_scores(smoothed(scaled(elite(viable(runs)), columns)))
+    rows = materialize(scaled(elite(viable(runs)), columns), "runs")
+    rows = materialize(local_scores(smoothed(rows)), "runs")
     rows = clustered(rows, cluster_radius(rows, floor))
     clusters = causal_score(continuity(cluster_stats(rows), memory, step))
     rows = rows.join(clusters, "cluster_id").withColumn("center_dist", apart(F.col("x"), F.col("center"))).drop("center")
-    rows = rows.withColumn("cluster_center_rank", percent_rank("center_dist", False))
+    rows = materialize(percent_ranks(rows, {"cluster_center_rank": ("center_dist", False)}), "runs")
     families = family_scores(rows).select("family_key", F.col("size").alias("family_size"), "family_score").join(centres(rows, "family_key"), "family_key")
     own, near, seen = FAMILY_WEIGHTS
-    score = F.col("family_score") * own + percent_rank("causal_continuity") * near + percent_rank("causal_coverage_steps") * seen
-    families = continuity(families, memory, step, rate=FAMILY_RATE).select("family_key", "center", "family_size", score.alias("family_causal_score"))
+    families = with_places(continuity(families, memory, step, rate=FAMILY_RATE), ["causal_continuity", "causal_coverage_steps"])
+    score = F.col("family_score") * own + F.col(place("causal_continuity")) * near + F.col(place("causal_coverage_steps")) * seen
+    families = families.select("family_key", "center", "family_size", score.alias("family_causal_score"))
     rows = rows.join(families, "family_key").withColumn("family_dist", apart(F.col("x"), F.col("center"))).drop("center")
-    return rows.withColumn("family_center_rank", percent_rank("family_dist", False))
+    return percent_ranks(rows, {"family_center_rank": ("family_dist", False), "dd_rank": ("max_dd", False)})
 
 
 def remembered(clusters: DataFrame, step: float, n: int = 3) -> DataFrame:

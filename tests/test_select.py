@@ -72,3 +72,24 @@ def test_viable_settings_elite_and_guard_take_no_window_over_all(spark):
     best = [i for i in strict if i / 100 >= cut]
     assert sorted(r.id for r in S.elite(got, len(best)).collect()) == best
     assert S.elite(got, len(best) + 1).count() == len(strict)
+
+
+def test_choices_take_no_window_over_all(spark):
+    rng = random.Random(5)
+    names = ["score", "max_dd", "local_q25", "dd_median", "local_dd_score", "neighbor_q25_score", "neighbor_mean_score"]
+    data = [(i, rng.randrange(1, 4), *(rng.choice([None, 0.25, 0.5, rng.random()]) for _ in names)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, size int, " + ", ".join(f"{c} double" for c in names))
+    every = Window.partitionBy()
+    half = lambda c: F.percentile(c, F.lit(0.5)).over(every)
+    guard = (F.col("size") >= 2).cast("double") * 0.5 + (F.col("local_q25") >= half("local_q25")).cast("double") * 0.3 + (F.col("dd_median") <= half("dd_median")).cast("double") * 0.2
+    score = F.col("local_dd_score") * (0.92 + 0.12 * F.col("cluster_guard"))
+    local = F.lit(0.0) + F.coalesce("local_dd_score", F.lit(0.0)) * (100 / 100)
+    wholes = {
+        "cluster_filter": (df.withColumn("cluster_guard", guard).withColumn("robust_score", score), ["cluster_guard", "robust_score", "size", "neighbor_q25_score", "score"]),
+        "local_dd": (df.withColumn("dd_rank", percent_rank("max_dd", False)).withColumn("robust_score", local), S.MODES["local_dd"][1]),
+    }
+    for mode, (want, order) in wholes.items():
+        got = S.selected(df, mode, 20)
+        assert not in_one_task(got)
+        want = S.pick(want, [*(F.col(c).desc_nulls_last() for c in order), F.col("id").asc()], 20)
+        assert got.select(want.columns).collect() == want.collect()
