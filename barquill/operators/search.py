@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barquill.functions.quantiles import quantiles_by
+from barquill.functions.tables import materialize
 from barquill.operators import select
 
 
@@ -79,10 +81,13 @@ def refine_seeds(runs: DataFrame, columns: list[str], generation: int, radius: f
     done = runs.where("stage = 'backtest' AND status = 'ok'").where((F.coalesce("generation", F.lit(0)) < generation) & F.col("score").isNotNull())
     rows = select.clustered(select.scaled(done, columns), radius)
     rows = rows.join(select.centres(rows, "cluster_id"), "cluster_id").withColumn("cluster_dist", select.apart(F.col("x"), F.col("center")))
-    stats = rows.groupBy("cluster_id").agg(F.count("*").alias("size"), F.percentile("score", F.lit(0.25)).alias("score_q25"), F.percentile(F.coalesce("max_dd", F.lit(1.0)), F.lit(0.5)).alias("dd_median"))
+    rows = materialize(rows, "runs")
+    middles = quantiles_by(rows.withColumn("_dd", F.coalesce("max_dd", F.lit(1.0))), ["cluster_id"], {"_q": ("score", [0.25]), "_m": ("_dd", [0.5])})
+    stats = middles.select("cluster_id", F.col("_q")[0].alias("score_q25"), F.col("_m")[0].alias("dd_median")).join(rows.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
+    stats = select.with_places(stats, SEED_WEIGHTS)
     score = F.lit(0.0)
     for name, weight in SEED_WEIGHTS.items():
-        score = score + select.percent_rank(name.lstrip("-"), not name.startswith("-")) * weight
-    best = stats.withColumn("cluster_score", score).orderBy(F.col("cluster_score").desc(), F.col("score_q25").desc(), F.col("size").desc(), "cluster_id").limit(n)
+        score = score + F.col(select.place(name)) * weight
+    best = select.without_places(stats.withColumn("cluster_score", score)).orderBy(F.col("cluster_score").desc(), F.col("score_q25").desc(), F.col("size").desc(), "cluster_id").limit(n)
     top = select.pick(rows, [F.col("score").desc(), F.col("cluster_dist"), F.col("id")], 1, "cluster_id")
     return top.join(best.select("cluster_id", "cluster_score", "size"), "cluster_id").select("cluster_id", "cluster_score", "size", "id", "score", *columns)
